@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, simhash
 
-QUERIES = {"op4_simhash": simhash.op4_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op4_simhash": simhash.op4_simhash, "op9_mixing": mixing.op9_mixing}
+ORACLE: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
