@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import bpe, mixing, simhash
 
-QUERIES = {"op4_simhash": simhash.op4_simhash, "op9_mixing": mixing.op9_mixing}
+QUERIES = {"op5_byte_bpe": bpe.op5_byte_bpe, "op4_simhash": simhash.op4_simhash, "op9_mixing": mixing.op9_mixing}
 ORACLE: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
