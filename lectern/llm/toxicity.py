@@ -118,12 +118,14 @@ def held(column: str):
 def _lexicon(train: DataFrame, n1: int, n0: int, keep: int, prior: float = 4.0) -> tuple[dict, dict]:
     """Log-odds of words and stems. A stem's Dirichlet prior is the class sizes'; a word's is its stem's posterior.
 
-    The `keep` words and stems whose log-odds are most standard errors from zero stay, so the model is bounded.
+    Words and stems whose log-odds are sqrt(2 ln V) standard errors from zero (what the largest of V unrelated
+    ones reaches) stay, the `keep` most certain of each at most, so the model is bounded.
     """
     counts = train.select("text", "toxic").mapInArrow(_counter, "token string, stem boolean, toxic int, n long").groupBy("stem", "token").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("y0"))
     counts = common.materialize(counts, "counts")
     share = n1 / (n1 + n0)
+    least = math.sqrt(2 * math.log(max(2, counts.count())))
 
     def odds(p1):
         a1, a0 = F.col("y1") + prior * p1, F.col("y0") + prior * (1 - p1)
@@ -131,9 +133,9 @@ def _lexicon(train: DataFrame, n1: int, n0: int, keep: int, prior: float = 4.0)
         return d.alias("d"), (d / F.sqrt(1 / a1 + 1 / a0)).alias("z")
 
     stems = counts.where("stem").select("token", ((F.col("y1") + prior * share) / (F.col("y1") + F.col("y0") + prior)).alias("p"), "y1", "y0")
-    stem_top = stems.select("token", *odds(F.lit(share))).where("abs(z) >= 2").orderBy(F.desc(F.abs("z")), "token").limit(keep)
+    stem_top = stems.select("token", *odds(F.lit(share))).where(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "token").limit(keep)
     own = counts.where("not stem").withColumn("s", F.substring("token", 1, STEM)).join(stems.select(F.col("token").alias("s"), "p"), "s")
-    own_top = own.select("token", *odds(F.col("p"))).where("abs(z) >= 2").orderBy(F.desc(F.abs("z")), "token").limit(keep)
+    own_top = own.select("token", *odds(F.col("p"))).where(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "token").limit(keep)
     return {r[0]: r[1] for r in own_top.select("token", "d").collect()}, {r[0]: r[1] for r in stem_top.select("token", "d").collect()}
 
 
