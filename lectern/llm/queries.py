@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash
+from . import bpe, mixing, simhash, toxicity
 
-QUERIES = {"op5_byte_bpe": bpe.op5_byte_bpe, "op4_simhash": simhash.op4_simhash, "op9_mixing": mixing.op9_mixing}
+QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op9_mixing": mixing.op9_mixing,
+}
 ORACLE: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
