@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash, suffix, toxicity
+from . import bpe, mixing, simhash, suffix, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_url_filter": urls.op7_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
+ORACLE: dict[str, str] = {"op7_url_filter": urls.OP7_SQL, "op9_mixing": mixing.OP9_SQL}
