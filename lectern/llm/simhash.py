@@ -64,15 +64,18 @@ def _fingerprint_batches(words: int):
                 hashes.append(np.array(h, np.uint64))
             joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             fp = majority(joined, np.array(counts, np.int64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fp)], ["doc_id", *batch.schema.names[2:], "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): 64-bit SimHash as a signed long. Null and empty texts have fingerprint zero."""
+    return _fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, "")
+
+
+def _fingerprints(docs: DataFrame, words: int, more: str) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprint_batches(words), "doc_id long, fp long")
+    return docs.mapInArrow(_fingerprint_batches(words), f"doc_id long, {more}fp long")
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +171,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     other id, or null); repeated rows and extra columns are allowed; an empty table gives no rows.
     """
     fps = common.materialize(fingerprints(docs, words), "fps")
+    return fps.join(_members(fps, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(fps: DataFrame, radius: int) -> DataFrame:
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     distinct = common.materialize(distinct, "distinct")
     roots = common.components(links(distinct.where("rep is not null"), radius), "a", "b")
-    of = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id, of equal ids the one whose
+    text has the smallest hash, of repeated rows one. Rows without an id are a group of their own unless they
+    link to one with an id."""
+    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    fps = common.materialize(_fingerprints(d, words, "h long, "), "fps")
+    member = fps.join(_members(fps, radius), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    kept = member.groupBy(F.col("component_id").isNull().alias("none"), F.coalesce("component_id", "fp").alias("g")).agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    joined = docs.withColumn("_h", h).alias("a").join(kept.alias("b"), F.expr("a._h = b._h and cast(a.doc_id as long) <=> b._id")).select("a.*")
+    return joined.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

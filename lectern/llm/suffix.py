@@ -319,7 +319,7 @@ def removed_bytes(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -
     return np.stack((lo[first], hi[np.append(first[1:], len(lo)) - 1]), 1) if len(lo) else np.zeros((0, 2), np.int64)
 
 
-def _cutter(length: int):
+def _cutter(length: int, characters: bool):
     def run(batches):
         for b in batches:
             names = b.schema.names
@@ -334,6 +334,8 @@ def _cutter(length: int):
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept.append(b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2])]) if spans else raw)
                 removed.append(len(raw) - len(kept[-1]))
+                if characters and spans:
+                    kept[-1] = kept[-1].decode("utf-8", "ignore").encode()
                 count.append(len(spans))
             rest = [(x, c) for x, c in zip(names, b.columns) if x not in at]
             yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
@@ -341,11 +343,11 @@ def _cutter(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, characters: bool = False) -> DataFrame:
     """docs without text, plus kept (the bytes that stay, joined), n_removed and n_spans (removed runs).
 
     Each byte goes that a string of `length` bytes covers which also starts earlier in the corpus; overlaps
-    count, and strings are judged on the input. Null texts are empty; every row stays, repeated ones alike;
+    count, and strings are judged on the input. characters: what is left of a cut character goes too. Null texts are empty; every row stays, repeated ones alike;
     columns that clash with the new names are dropped; an empty table gives no rows.
     """
     gone = repeated(docs, length).groupBy("d", "tie").agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_ns"))  # of one document
@@ -358,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     j = d.join(gone.hint("shuffle_hash"), ["_d", "_tie"], "left").drop("_d", "_tie")
     fields = [f for f in j.schema.fields if f.name not in ("_data", "_starts", "_ns")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["kept binary", "n_removed long", "n_spans long"])
-    return j.mapInArrow(_cutter(length), schema)
+    return j.mapInArrow(_cutter(length, characters), schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
