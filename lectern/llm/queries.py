@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash, suffix, toxicity, urls, warc
+from . import bpe, lm, mixing, simhash, suffix, toxicity, urls, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_warc": warc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_ngram_lm": lm.op6_ngram_lm,
     "op7_url_filter": urls.op7_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
