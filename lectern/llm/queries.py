@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, mixing, simhash, suffix, toxicity, urls, warc
+from . import ann, bpe, lm, mixing, simhash, suffix, toxicity, urls, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_ann": ann.op2_ann,
     "op3_warc": warc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,
