@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, lm, mixing, simhash, suffix, toxicity, urls, warc
+from . import ann, bpe, lm, mixing, simhash, suffix, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_ngram_lm": lm.op6_ngram_lm,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_bm25": topk.op8_bm25,
     "op9_mixing": mixing.op9_mixing,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op7_url_filter": urls.OP7_SQL, "op9_mixing": mixing.OP9_SQL}
+ORACLE: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op7_url_filter": urls.OP7_SQL, "op8_bm25": topk.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
