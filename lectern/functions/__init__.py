@@ -1 +1 @@
-"""lectern.functions"""
+"""Column functions: text, identifiers, fixed values."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import retrieval
+
+MODULES = (retrieval,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
