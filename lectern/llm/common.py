@@ -1,53 +1,23 @@
-"""Shared pieces of the training-data operators: shared folder, bounded Arrow batches, components."""
+"""Pieces that the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.graph import components  # noqa: F401
+from lectern.shared import materialize, scratch, shared_dir  # noqa: F401
+
 #: The white space that separates words in every contract: space, tab, LF, VT, FF, CR.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_OWN: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh temporary one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _OWN[app]
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation.
-
-    What the write shuffled is of no use once it is done, and is removed then.
-    """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     """Arrow batches to Python of at most so many rows and about so many MB: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -61,39 +31,3 @@ def lower_ascii(c):
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
-
-
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """Connected components of an edge table: (node, root), root the smallest node reachable.
-
-    Alternating large-star and small-star steps; every step is a grouped minimum (combined before
-    the shuffle) and a join, and its result is written to the shared folder. Only a count and a
-    checksum reach the driver. Null ends and loops are ignored; a node in no edge has no row.
-    """
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("u"), F.col("v"))
-        if large:
-            both = both.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
-        if large:
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-                least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
-        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    e = materialize(e, "edges")
-    seen = None
-    for _ in range(rounds):
-        e = materialize(star(star(e, True), False), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
