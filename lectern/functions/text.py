@@ -45,11 +45,15 @@ def judgement_terms(text: Column) -> Column:
     return ordered_distinct(F.transform(keep, lambda w: F.when(F.lower(w).isin(*C.UPPER_TERMS), F.upper(w)).otherwise(w)))
 
 
-def contains_term(text: Column, term: Column) -> Column:
-    """A whole-token hit for a plain term, else a substring. Both sides are lower-case already."""
-    padded = lambda x: F.concat(F.lit(" "), F.regexp_replace(x, r"[^a-z0-9+.#-]+", " "), F.lit(" "))
+def padded(text: Column) -> Column:
+    """Plain tokens between single blanks, in which a whole token is found as a substring."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"[^a-z0-9+.#-]+", " "), F.lit(" "))
+
+
+def contains_term(text: Column, term: Column, pad: Column | None = None) -> Column:
+    """A whole-token hit for a plain term, else a substring. Both sides are lower-case already; pad: padded(text)."""
     plain = term.rlike(r"^[a-z0-9+.#-]+$")
-    return (term != "") & F.when(plain, F.contains(padded(text), F.concat(F.lit(" "), term, F.lit(" ")))).otherwise(F.contains(text, term))
+    return (term != "") & F.when(plain, F.contains(padded(text) if pad is None else pad, F.concat(F.lit(" "), term, F.lit(" ")))).otherwise(F.contains(text, term))
 
 
 def singular(token: Column) -> Column:

@@ -38,10 +38,12 @@ def analysed(queries: DataFrame, as_of_year: int) -> DataFrame:
                           T.method_terms(t).alias("methods"), T.dataset_terms(t).alias("datasets"), T.venues(t).alias("venues"), T.time_range(t, as_of_year).alias("years"), types.alias("types"))
 
 
-def signal(terms: Column, title: Column, abstract: Column, kind: str) -> Column:
-    """Per term the title's weight, else the abstract's, capped after summing."""
+def signal(terms: Column, kind: str) -> Column:
+    """Per term the title's weight, else the abstract's, capped after summing. Over the columns _t, _a (lower-case
+    title and abstract) and their padded forms _tp, _ap, which are made once."""
     in_title, in_abstract, cap = C.SIGNALS[kind]
-    one = lambda t: F.when(T.contains_term(title, F.lower(t)), in_title).when(T.contains_term(abstract, F.lower(t)), in_abstract).otherwise(0.0)
+    has = lambda c, t: T.contains_term(F.col(c), F.lower(t), F.col(c + "p"))
+    one = lambda t: F.when(has("_t", t), in_title).when(has("_a", t), in_abstract).otherwise(0.0)
     return F.least(F.lit(cap), F.aggregate(F.transform(terms, one), F.lit(0.0), lambda s, x: s + x))
 
 
@@ -66,7 +68,7 @@ def judge(candidates: DataFrame, config: Config = Config()) -> DataFrame:
     years caps the score just under the first threshold.
     """
     title, abstract = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("abstract", F.lit("")))
-    d = candidates.withColumns({"_t": title, "_a": abstract})
+    d = candidates.withColumns({"_t": title, "_a": abstract}).withColumns({"_tp": T.padded(F.col("_t")), "_ap": T.padded(F.col("_a"))})
     t, a = F.col("_t"), F.col("_a")
     found_types = F.lit(0)
     for name, words in C.PAPER_TYPE_TERMS.items():
@@ -78,8 +80,8 @@ def judge(candidates: DataFrame, config: Config = Config()) -> DataFrame:
     vkey = T.venue_key(F.coalesce("venue", F.lit("")))
     venue_hit = F.exists("venues", lambda v: F.contains(vkey, T.venue_key(v)))
     parts = {
-        "topic": signal(F.col("keywords"), t, a, "topic"), "method": signal(F.col("methods"), t, a, "method"), "dataset": signal(F.col("datasets"), t, a, "dataset"),
-        "domain_match": signal(domain_terms, t, a, "domain"),
+        "topic": signal(F.col("keywords"), "topic"), "method": signal(F.col("methods"), "method"), "dataset": signal(F.col("datasets"), "dataset"),
+        "domain_match": signal(domain_terms, "domain"),
         "type": F.when(F.size("types") == 0, 0.0).when(found_types > 0, F.least(F.lit(config.type_cap), found_types * config.type_bonus)).otherwise(config.type_penalty),
         "venue_match": F.when(F.size("venues") == 0, 0.0).when(venue_hit, config.venue_bonus).otherwise(config.venue_penalty),
         "time": time_signal(F.col("years"), F.col("year"), config),
@@ -92,7 +94,7 @@ def judge(candidates: DataFrame, config: Config = Config()) -> DataFrame:
     score = F.when(outside, F.least(score, F.lit(round(high - 0.0001, 4)))).otherwise(score)
     if "excludes" in candidates.columns:
         score = F.when(F.exists("excludes", lambda x: T.contains_term(t, F.lower(x)) | T.contains_term(a, F.lower(x))), 0.0).otherwise(score)
-    return d.withColumn("score", score).withColumn("category", category(F.col("score"))).drop("_t", "_a")
+    return d.withColumn("score", score).withColumn("category", category(F.col("score"))).drop("_t", "_a", "_tp", "_ap")
 
 
 def authority(citations: Column, sources: Column, identifiers: Column, venue: Column) -> Column:

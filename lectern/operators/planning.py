@@ -51,9 +51,10 @@ def adapted(analysed: DataFrame, limit: int = 200) -> DataFrame:
     safe = T.cut_at_word(F.trim(F.regexp_replace(F.regexp_replace("text", r'[+\-&|!(){}\[\]^"~*?:\\/]+', " "), r"\s+", " ")), limit)
     compact = F.array_join(F.slice("keywords", 1, 12), " ")
     kept = T.retention(T.query_tokens(F.col("text")), T.tokens(compact))
-    d = analysed.select("query_id", F.explode(sources(F.col("domain"))).alias("source"), F.array(
-        F.struct(F.lit("safe_original").alias("variant"), safe.alias("text"), F.lit(1.0).alias("retention")),
-        F.struct(F.lit("compact").alias("variant"), compact.alias("text"), F.round(kept, 6).alias("retention"))).alias("v"))
+    d = analysed.select("query_id", "domain", safe.alias("safe"), compact.alias("compact"), F.round(kept, 6).alias("kept"))
+    d = d.select("query_id", F.explode(sources(F.col("domain"))).alias("source"), F.array(
+        F.struct(F.lit("safe_original").alias("variant"), F.col("safe").alias("text"), F.lit(1.0).alias("retention")),
+        F.struct(F.lit("compact").alias("variant"), F.col("compact").alias("text"), F.col("kept").alias("retention"))).alias("v"))
     d = d.select("query_id", "source", F.explode("v").alias("v")).select("query_id", "source", "v.*")
     return d.where((F.col("text") != "") & ((F.col("variant") == "safe_original") | (F.col("retention") >= 0.5)))
 

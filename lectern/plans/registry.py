@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import analysis, records, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, analysis, records)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
