@@ -31,6 +31,11 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_re
     return s.select("source", "source_size", F.when(F.col("ratio") <= F.col("level"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("line")).alias("target"))
 
 
+def words():
+    """The number of words of a text; none in a null one."""
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(common.WORD_RE)), F.lit(0)).cast("long")
+
+
 def uniform(key, seed: str = SEED):
     """A number strictly between 0 and 1 from the key's text: 52 bits of its MD5."""
     return (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -49,8 +54,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     share a doc_id draw alike and are ordered by size; ties in rank go to the smaller doc_id.
     An empty table gives no rows; extra columns are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(common.WORD_RE)), F.lit(0)).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
     base = common.materialize(base.withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("tilt", F.floor(F.lit(1000) * F.col("size") / (F.col("size") + 512))), "sizes")
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("tilt") * F.col("size")).alias("tilted"))
     totals = common.materialize(totals, "totals")
@@ -87,9 +91,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: every document as often as `mixed` says, with the columns of docs."""
-    n = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    kept = docs.join(n, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
+    """The mixed corpus: every document as often as `mixed` says, with the columns of docs. Rows that share id,
+    source and size have the same number of copies, so these three find it."""
+    n = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).agg(F.max("copies").alias("_copies"))
+    d = docs.withColumn("_size", words())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
+    kept = d.join(n.where("_copies > 0"), same)
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

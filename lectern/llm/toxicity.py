@@ -245,7 +245,7 @@ def _scorer(model):
             score, passages = [], []
             for text in b.column(k).to_pylist():
                 ws = WORD.finditer(text.lower()) if text else ()
-                found = [(lex[x[0]], x.span()) for x in ws] if text and m.own else []
+                found = [(lex[x[0]], x.span()) for x in ws] if text and (m.own or m.stems) else []
                 s = np.array([x for x, _ in found])
                 segs = maximal_segments(s) if len(s) and s.max() > 0 else []
                 x = evidence([v for v, _, _ in segs], len(s), m.lam, m.k)
