@@ -4,6 +4,8 @@ A task indexes what it reads, shard by shard, and writes each index to the share
 frequencies are shuffled. Queries go in blocks, with weights from the statistics of all documents, to groups of
 shards. For each query and shard the bound of a block of documents is the sum of its terms' largest impacts
 there; blocks are scored from the largest bound on, and those that cannot reach the k-th score are left out.
+Terms of many documents make such sums loose, so their part of the bound is taken from a product of matrices
+over all queries of a block: the largest sum that one document of the block has.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ K1, B = 1.2, 0.75
 K = 10
 #: Documents and words of a shard at most, documents of a block (as a power of two), queries of a block, shards of a group.
 SHARD_DOCS, SHARD_WORDS, BITS, BLOCK, GROUP = 8192, 6_000_000, 6, 512, 8
+#: A term that one of so many documents of a shard has is bounded by the product of matrices.
+OFTEN = 10
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +170,7 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Shard:
     """A shard's postings of the terms that a block of queries has, with impacts and block maxima."""
 
-    def __init__(self, s: dict[str, np.ndarray], terms: np.ndarray, mean: float):
+    def __init__(self, s: dict[str, np.ndarray], terms: np.ndarray, mean: float, own: np.ndarray, w: np.ndarray, edges: np.ndarray):
         at = np.minimum(np.searchsorted(s["terms"], terms), max(0, len(s["terms"]) - 1))
         has = s["terms"][at] == terms if len(s["terms"]) else np.zeros(len(terms), bool)
         self.ids, self.n = s["ids"], len(s["ids"])
@@ -184,37 +188,50 @@ class Shard:
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.start = np.searchsorted(term[first], np.arange(len(terms) + 1))
         self.blocks = -(-self.n // (1 << BITS))
-
-    def best(self, own: np.ndarray, w: np.ndarray, k: int, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of what is known (score, ids) and this shard, for a query of terms `own` with weights w."""
+        self.often = size * OFTEN >= max(1, self.n)
+        row = np.cumsum(self.often) - 1
+        dense = np.zeros((self.often.sum(), self.blocks << BITS), np.float32)
+        hit = self.often[term]
+        dense[row[term[hit]], self.doc[hit]] = self.impact[hit]
+        weight = np.zeros((len(edges) - 1, len(dense)), np.float32)
+        hit = self.often[own]
+        weight[np.repeat(np.arange(len(edges) - 1), np.diff(edges))[hit], row[own[hit]]] = w[hit]
+        # single precision: raised by more than its error
+        self.often_sum = (weight @ dense) * np.float32(1 + 1e-4)
+        self.often_most = self.often_sum.reshape(len(weight), self.blocks, -1).max(2).astype(np.float64)
+
+    def best(self, i: int, own: np.ndarray, w: np.ndarray, k: int, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of what is known (score, ids) and this shard, for query i of the block, of terms `own` with weights w."""
+        least = score[k - 1] if len(score) >= k else 0.0
         count = self.start[own + 1] - self.start[own]
-        e = spread(self.start[own], count)
-        if not len(e):
+        rare = ~self.often[own]
+        e, we = spread(self.start[own[rare]], count[rare]), np.repeat(w[rare], count[rare])
+        bound = self.often_most[i] + np.bincount(self.block[e], we * self.most[e], self.blocks) * (1 + 1e-9)
+        open_ = (bound >= least) & (bound > 0)
+        if not open_.any():
             return score, ids
-        we = np.repeat(w, count)
-        bound = np.bincount(self.block[e], we * self.most[e], self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        done = 0
-        while done < len(order):
-            least = score[k - 1] if len(score) >= k else 0.0
-            # first the block of the largest bound, then all that may still reach the k-th score
-            left = order[done:done + 1] if not done and len(score) < k else order[done:]
-            left = left[(bound[left] >= least) & (bound[left] > 0)]
-            if not len(left):
-                break
-            done += len(left)
-            open_ = np.zeros(self.blocks, bool)
-            open_[left] = True
-            x = open_[self.block[e]]
-            p = spread(self.lo[e[x]], self.size[e[x]])
-            total = np.bincount(self.doc[p], np.repeat(we[x], self.size[e[x]]) * self.impact[p], self.n)
-            hit = np.flatnonzero((total >= least) & (total > 0))
-            if len(hit) > 4 * k:
-                hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k]]
-            score, ids = np.concatenate((score, total[hit])), np.concatenate((ids, self.ids[hit]))
-            keep = np.lexsort((ids, -score))[:k]
-            score, ids = score[keep], ids[keep]
-        return score, ids
+        # in the blocks that are left, rare terms are summed for each document, which gives sharper bounds
+        upper = self.often_sum[i].astype(np.float64) + self._sums(e, we, open_) * (1 + 1e-9)
+        upper = np.where(open_[:, None], upper.reshape(self.blocks, -1), 0.0)
+        if upper.size > k:
+            least = max(least, np.partition(upper.ravel(), upper.size - k)[upper.size - k] * (1 - 3e-4))
+        most = upper.max(1)
+        open_ = (most >= least) & (most > 0)
+        e = spread(self.start[own], count)
+        total = self._sums(e, np.repeat(w, count), open_)
+        hit = np.flatnonzero((total >= least) & (total > 0))
+        if len(hit) > 4 * k:
+            hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k]]
+        score, ids = np.concatenate((score, total[hit])), np.concatenate((ids, self.ids[hit]))
+        keep = np.lexsort((ids, -score))[:k]
+        return score[keep], ids[keep]
+
+    def _sums(self, e: np.ndarray, we: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Weighted impacts of entries (term and block) that are in the given blocks, added up for each document."""
+        x = blocks[self.block[e]]
+        e, size = e[x], self.size[e[x]]
+        p = spread(self.lo[e], size)
+        return np.bincount(self.doc[p], np.repeat(we[x], size) * self.impact[p], self.blocks << BITS)
 
 
 def _search(k: int, mean: float):
@@ -226,9 +243,9 @@ def _search(k: int, mean: float):
                 best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q["ids"]]
                 edges = q["start"].tolist()
                 for path in paths:
-                    s = Shard(_load(path), terms, mean)
+                    s = Shard(_load(path), terms, mean, own, q["w"], q["start"])
                     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                        best[i] = s.best(own[lo:hi], q["w"][lo:hi], k, *best[i])
+                        best[i] = s.best(i, own[lo:hi], q["w"][lo:hi], k, *best[i])
                 size = [len(x[0]) for x in best]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q["ids"], size)), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))], ["query_id", "doc_id", "score"])
     return run
