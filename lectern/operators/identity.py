@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import ids
 from lectern.functions.text import title_key
+from lectern.shared import materialize
 
 from .graph import components
 
@@ -61,9 +62,9 @@ def pairs(profiled: DataFrame) -> DataFrame:
 def clusters(papers: DataFrame) -> DataFrame:
     """(paper_id, cluster): the smallest paper_id of those that equivalent pairs connect. Conflicting pairs give no
     link; two papers of a cluster may still conflict, which `conflicts` reports."""
-    p = profiles(papers)
-    own = classes(p)
-    reps = p.join(own.select(F.col("rep").alias("paper_id")).distinct(), "paper_id")
+    p = materialize(profiles(papers), "profiles")
+    own = materialize(classes(p), "classes")
+    reps = materialize(p.join(own.select(F.col("rep").alias("paper_id")).distinct(), "paper_id"), "representatives")
     found = pairs(reps).where(F.col("rule").isin("shared_stable_identifier", "exact_title_author_year"))
     roots = components(found, "left", "right")
     return own.join(roots, own.rep == roots.node, "left").select("paper_id", F.coalesce("root", "rep").alias("cluster"))
