@@ -37,7 +37,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(toks: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
-    """Term-major postings; documents are renumbered so that alike ones share blocks: by their most frequent
+    """Postings by term and by document; documents are renumbered so that alike ones share blocks: by their most frequent
     term, then by length."""
     n = len(count)
     terms, own = np.unique(toks, return_inverse=True)
@@ -51,10 +51,12 @@ def postings(toks: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
     place = np.empty(n, np.int64)
     place[np.lexsort((count, top))] = np.arange(n)
     doc = place[doc]
+    own = np.argsort(doc, kind="stable")  # by document, its terms in order
+    forward = {"fstart": np.searchsorted(doc[own], np.arange(n + 1)), "fterm": term[own].astype(np.int32), "ftf": tf[own].astype(np.int32)}
     order = np.lexsort((doc, term))
     length = np.empty(n, np.int64)
     length[place] = count
-    return {"terms": terms, "start": np.searchsorted(term[order], np.arange(len(terms) + 1)), "doc": doc[order].astype(np.int32), "tf": tf[order].astype(np.int32), "length": length, "place": place}
+    return {"terms": terms, "start": np.searchsorted(term[order], np.arange(len(terms) + 1)), "doc": doc[order].astype(np.int32), "tf": tf[order].astype(np.int32), "length": length, "place": place} | forward
 
 
 _BUILT = pa.schema([("kind", pa.int32()), ("term", pa.int64()), ("n", pa.int64()), ("words", pa.int64()), ("path", pa.string())])
@@ -176,10 +178,13 @@ class Shard:
         self.ids, self.n = s["ids"], len(s["ids"])
         size = np.where(has, s["start"][np.minimum(at + 1, len(s["start"]) - 1)] - s["start"][at], 0)
         pick = spread(s["start"][at], size)
+        self.s, self.norm = s, K1 * (1 - B + B * s["length"] / mean) if mean else np.ones(len(s["ids"]))
+        self.asked = np.full(len(s["terms"]), -1, np.int32)
+        self.asked[at[has]] = np.flatnonzero(has)
+        self.weight = np.zeros(len(terms))
         self.doc = s["doc"][pick].astype(np.int64)
         tf = s["tf"][pick].astype(np.float64)
-        norm = K1 * (1 - B + B * s["length"] / mean) if mean else np.ones(self.n)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        self.impact = tf * (K1 + 1) / (tf + self.norm[self.doc])
         term = np.repeat(np.arange(len(terms)), size)
         group = self.doc >> BITS
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (group[1:] != group[:-1])))) if len(term) else np.zeros(0, np.int64)
@@ -213,19 +218,28 @@ class Shard:
         # in the blocks that are left, rare terms are summed for each document, which gives sharper bounds
         upper = self.often_sum[i].astype(np.float64) + self._sums(e, we, open_) * (1 + 1e-9)
         upper = np.where(open_[:, None], upper.reshape(self.blocks, -1), 0.0)
-        if upper.size > k:
-            least = max(least, np.partition(upper.ravel(), upper.size - k)[upper.size - k] * (1 - 3e-4))
-        most = upper.max(1)
-        open_ = (most >= least) & (most > 0)
-        e = spread(self.start[own], count)
-        total = self._sums(e, np.repeat(w, count), open_)
-        hit = np.flatnonzero((total >= least) & (total > 0))
-        if len(hit) > 4 * k:
-            hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k]]
-        score, ids = np.concatenate((score, total[hit])), np.concatenate((ids, self.ids[hit]))
+        near = upper[upper >= max(least, 1e-300)]
+        if len(near) > k:
+            least = max(least, np.partition(near, len(near) - k)[len(near) - k] * (1 - 3e-4))
+        doc = np.flatnonzero((upper.ravel() >= least) & (upper.ravel() > 0))
+        total = self._exact(doc, own, w)
+        hit = (total >= least) & (total > 0)
+        score, ids = np.concatenate((score, total[hit])), np.concatenate((ids, self.ids[doc[hit]]))
         keep = np.lexsort((ids, -score))[:k]
         return score[keep], ids[keep]
 
+    def _exact(self, doc: np.ndarray, own: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Scores of documents, each summed over its terms in order."""
+        size = self.s["fstart"][doc + 1] - self.s["fstart"][doc]
+        p = spread(self.s["fstart"][doc], size)
+        slot, term, tf = np.repeat(np.arange(len(doc)), size), self.asked[self.s["fterm"][p]], self.s["ftf"][p].astype(np.float64)
+        ok = term >= 0
+        slot, term, tf = slot[ok], term[ok], tf[ok]
+        self.weight[own] = w
+        out = np.bincount(slot, self.weight[term] * (tf * (K1 + 1) / (tf + self.norm[doc[slot]])), len(doc))
+        self.weight[own] = 0
+        return out
+
     def _sums(self, e: np.ndarray, we: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Weighted impacts of entries (term and block) that are in the given blocks, added up for each document."""
         x = blocks[self.block[e]]
