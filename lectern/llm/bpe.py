@@ -123,7 +123,7 @@ FAR = 1 << 60
 class Vocabulary:
     """Ranks of a tiktoken file, which are also the ids, with a cache of merged pre-tokens, cleared when full."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = 200_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes = {i: b for b, i in self.ranks.items()}
