@@ -78,15 +78,16 @@ def _fingerprints(docs: DataFrame, words: int, more: str) -> DataFrame:
     return docs.mapInArrow(_fingerprint_batches(words), f"doc_id long, {more}fp long")
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs of a and b within radius bits, compared tile by tile."""
-    left, right = [], []
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, block: int = 256):
+    """Indexes of the pairs of a and b within radius bits, tile by tile: at most block rows of a at a time."""
     for lo in range(0, len(a), block):
+        left, right = [], []
         for ro in range(0, len(b), block):
             i, j = np.nonzero(np.bitwise_count(a[lo:lo + block, None] ^ b[None, ro:ro + block]) <= radius)
             left.append(i + lo)
             right.append(j + ro)
-    return np.concatenate(left) if left else np.zeros(0, int), np.concatenate(right) if right else np.zeros(0, int)
+        if left:
+            yield np.concatenate(left), np.concatenate(right)
 
 
 def spanning(nodes_a: np.ndarray, nodes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +119,14 @@ def _compare_tiles(radius: int):
             src, dst = [], []
             for k in range(batch.num_rows):
                 x, y = slice(oa[k], oa[k + 1]), slice(ob[k], ob[k + 1])
-                i, j = close_pairs(fa[x], fb[y], radius)
-                left, right = ra[x][i], rb[y][j]
-                differ = left != right
-                if differ.any():
-                    s, d = spanning(left[differ], right[differ])
+                found = []
+                for i, j in close_pairs(fa[x], fb[y], radius):
+                    left, right = ra[x][i], rb[y][j]
+                    differ = left != right
+                    if differ.any():  # a group of near copies has as many pairs as its square: only a star is kept
+                        found.append(spanning(left[differ], right[differ]))
+                if found:
+                    s, d = spanning(*(np.concatenate(z) for z in zip(*found)))
                     src.append(s)
                     dst.append(d)
             e = np.zeros(0, np.int64)
