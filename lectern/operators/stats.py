@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.shared import materialize
+
+#: Cases of a group that one task resamples.
+BLOCK = 16384
+_U = np.uint64
+
 
 def draw(seed: str, *key: Column) -> Column:
     """32 bits of the MD5 of the key."""
@@ -53,15 +61,86 @@ def sign_flip(df: DataFrame, value: str, by: list[str], key: str, rounds: int =
     return j.groupBy(*by).agg(F.round((F.count(F.when(F.col("s") >= F.col("own") - 1e-9, 1)) + 1) / (rounds + 1), 6).alias("p"))
 
 
-def exact_sign_flip(df: DataFrame, value: str, by: list[str], key: str, most: int = 12) -> DataFrame:
-    """The exact test over all 2**m sign patterns of the m non-zero differences; groups with m > most have none."""
-    c = df.where(F.col(value) != 0)
-    c = numbered(c, by, key).where(F.col("n") <= most)
-    d = c.select(*by, "n", "i", value, F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)).alias("pattern"))
-    bit = F.pmod(F.floor(F.col("pattern") / F.pow(F.lit(2), F.col("i"))), F.lit(2))
-    s = d.groupBy(*by, "pattern").agg(F.abs(F.sum(F.when(bit == 1, F.col(value)).otherwise(-F.col(value)))).alias("s"))
-    own = c.groupBy(*by).agg(F.abs(F.sum(value)).alias("own"))
-    return s.join(own, by).groupBy(*by).agg(F.round(F.count(F.when(F.col("s") >= F.col("own") - 1e-9, 1)) / F.count(F.lit(1)), 6).alias("p"))
+def _group(by: list[str]) -> Column:
+    """A group as one string that is never null, so that groups of null keys join too."""
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("{}")
+
+
+def _cases(df: DataFrame, value: str, by: list[str], key: str, seed: str) -> DataFrame:
+    """(_g, by, _k, _v): the group, a hash of the case, its value."""
+    return df.select(_group(by).alias("_g"), *by, F.col(key).alias("_key"), F.col(value).cast("double").alias("_v")).select("_g", *by, F.xxhash64(F.lit(seed), "_g", "_key").alias("_k"), "_v")
+
+
+def _blocks(cases: DataFrame, groups: DataFrame, n: str) -> DataFrame:
+    """(_g, _b, _ks, _vs): the cases of a group by hash in blocks of about BLOCK, at most 256, in the order of the hash."""
+    many = groups.select("_g", F.least(F.lit(256), F.ceil(F.col(n) / BLOCK)).alias("_m"))
+    d = cases.join(many, "_g").groupBy("_g", F.pmod("_k", "_m").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_k", "_v"))).alias("_c"))
+    return d.select("_g", "_b", F.col("_c._k").alias("_ks"), F.col("_c._v").alias("_vs"))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _flipped(rounds: int):
+    """A block's sum of signed values in every round: 64 rounds' signs are the bits of a hash of the case and their number."""
+    def run(batches):
+        for b in batches:
+            for g, ks, vs in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                k, v = np.array(ks.values).view(np.uint64), np.array(vs.values)
+                _, first, size = np.unique(k, return_index=True, return_counts=True)
+                again = np.arange(len(k)) - np.repeat(np.sort(first), size[np.argsort(first)])  # cases of one key have signs of their own
+                k = _mix(k + _U(0xD6E8FEB86659FD93) * again.astype(np.uint64))
+                words = -(-rounds // 64)
+                out = np.zeros(64 * words)
+                for lo in range(0, words, 64):
+                    number = np.arange(lo + 1, min(lo + 64, words) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
+                    for i in range(0, len(k), 512):
+                        bits = np.unpackbits(_mix(k[i:i + 512, None] + number).view(np.uint8), axis=1)
+                        out[64 * lo:64 * (lo + len(number))] += v[i:i + 512] @ bits.astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([2 * out[:rounds] - v.sum()], pa.list_(pa.float64()))], ["_g", "_s"])
+    return run
+
+
+def _patterns(batches):
+    """The share of all sign patterns of a group's values that are as extreme as its own sum."""
+    for b in batches:
+        p = []
+        for vs in b.column(1):
+            v = np.array(vs.values)
+            s = v[:1]  # the first sign stays: the other half mirrors these patterns
+            for x in v[1:]:
+                s = np.concatenate((s + x, s - x))
+            p.append(float(np.mean(np.abs(s) >= abs(v.sum()) - 1e-9)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["_g", "p"])
+
+
+def permutation(df: DataFrame, value: str, by: list[str], key: str, most: int = 20, rounds: int = 100_000, seed: str = "flip") -> DataFrame:
+    """(by, p, method, evaluated, nonzero): two-sided paired sign-flip test of every group.
+
+    Over all 2**m patterns of its m non-zero differences if m <= most, else over so many random ones, with
+    p = (extreme + 1) / (rounds + 1); p is 1 if all are ties. Null differences are no pairs; a group of nothing
+    else has a null p. A random sign is a bit of a hash of the seed, group, key and round.
+    """
+    d = _cases(df, value, by, key, seed)
+    real = F.abs("_v") > 1e-12
+    groups = materialize(d.groupBy("_g", *by).agg(F.count("_v").alias("n"), F.count(F.when(real, 1)).alias("nonzero"), F.abs(F.sum(F.when(real, F.col("_v")))).alias("own")), "groups")
+    small, large = groups.where(F.col("nonzero").between(1, most)), groups.where(F.col("nonzero") > most)
+    exact = d.where(real).join(small.select("_g"), "_g").groupBy("_g").agg(F.sort_array(F.collect_list("_v")).alias("_vs")).mapInArrow(_patterns, "_g string, p double")
+    sums = _blocks(d.where(real), large, "nonzero").select("_g", "_ks", "_vs").mapInArrow(_flipped(rounds), "_g string, _s array<double>")
+    sums = sums.select("_g", F.posexplode("_s").alias("round", "s")).groupBy("_g", "round").agg(F.abs(F.sum("s")).alias("s"))
+    drawn = sums.join(large.select("_g", "own"), "_g").groupBy("_g").agg(((F.count(F.when(F.col("s") >= F.col("own") - 1e-9, 1)) + 1) / (rounds + 1)).alias("p"))
+    kind = F.when(F.col("n") == 0, "no_evaluable_pairs").when(F.col("nonzero") == 0, "exact_all_ties").when(F.col("nonzero") <= most, "exact_sign_flip").otherwise("monte_carlo_sign_flip")
+    done = F.when(F.col("n") == 0, 0).when(F.col("nonzero") <= most, F.pow(F.lit(2), "nonzero")).otherwise(rounds).cast("long")
+    p = F.when((F.col("n") > 0) & (F.col("nonzero") == 0), 1.0).otherwise(F.round("p", 6))
+    return groups.join(exact.unionByName(drawn), "_g", "left").select(*by, p.alias("p"), kind.alias("method"), done.alias("evaluated"), "nonzero")
+
+
+def exact_sign_flip(df: DataFrame, value: str, by: list[str], key: str, most: int = 20) -> DataFrame:
+    """(by, p) of permutation: every group has a row, exact up to `most` non-zero differences."""
+    return permutation(df, value, by, key, most).select(*by, "p")
 
 
 def holm(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
