@@ -61,16 +61,24 @@ def pad(ranked: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataF
     return ranked.select("query_id", "doc", "score", "rank").unionByName(more.select("query_id", "doc", F.lit(0.0).alias("score"), "rank"))
 
 
+def _rounded(s: np.ndarray) -> np.ndarray:
+    """To six places, halves away from zero, as top_k rounds."""
+    return np.where(np.abs(s) < 1e9, np.copysign(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6, s), s)
+
+
 def _products(k: int):
+    """The k best of a pair of blocks by rounded score, ties to the smaller doc: top_k's order, so that no merge misses one."""
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 q = np.array(b.column(0)[i].values.flatten()).reshape(len(b.column(1)[i].values), -1)
                 v = np.array(b.column(2)[i].values.flatten()).reshape(len(b.column(3)[i].values), -1)
                 own, doc = np.array(b.column(1)[i].values), np.array(b.column(3)[i].values)
-                s = q @ v.T
+                by_id = np.argsort(doc, kind="stable")
+                v, doc = v[by_id], doc[by_id]
+                s = _rounded(q @ v.T)
                 s[own[:, None] == doc[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :2 * k]
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 row = np.repeat(np.arange(len(own)), top.shape[1])
                 keep = np.isfinite(s[row, top.ravel()])
                 yield pa.RecordBatch.from_arrays([pa.array(own[row[keep]]), pa.array(doc[top.ravel()[keep]]), pa.array(s[row, top.ravel()][keep])], ["query_id", "doc", "score"])
@@ -81,7 +89,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) ->
     """(query_id, doc, score): exact nearest by inner product, a query's own id left out.
 
     queries (query_id, vec) and vectors (doc, vec) meet block by block; each pair of blocks is one matrix product
-    in a task, which keeps 2 k candidates a query, and the blocks' candidates are merged by top_k.
+    in a task, which keeps k candidates a query in top_k's order, and the blocks' candidates are merged by top_k.
     """
     def blocks(df, key, name):
         n = max(1, -(-df.count() // block))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lectern.operators import stats
+from lectern.operators import retrieval, stats
 
 
 def test_permutation_keeps_every_group(spark):
@@ -20,3 +20,15 @@ def test_permutation_keeps_every_group(spark):
     assert got["big"]["p"] == pytest.approx(drawn.mean(), abs=0.012) and got["big"]["evaluated"] == 20000
     assert got["ties"]["p"] == 1.0 and got["none"]["p"] is None and got[None]["p"] == 0.25
     assert {r["g"] for r in stats.exact_sign_flip(d, "d", ["g"], "i").collect()} == set(got)
+
+
+def test_dense_ties_go_to_the_smallest_ids(spark):
+    """A hundred copies of one vector, in descending order of their ids."""
+    v = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(100, 0, -1)] + [(500, [0.9, 0.5]), (501, [0.1, 0.2])], "doc long, vec array<double>").coalesce(1)
+    q = v.where("doc in (1, 50, 500)").withColumnRenamed("doc", "query_id")
+    for block in (2048, 16):
+        got = {}
+        for r in retrieval.dense(q, v, 3, block).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["doc"])
+        assert got == {1: [2, 3, 4], 50: [1, 2, 3], 500: [1, 2, 3]}
+    assert retrieval._rounded(np.array([0.0078125, -0.0078125, 2.5e-7])).tolist() == [0.007813, -0.007813, 0.0]
