@@ -12,9 +12,11 @@ from . import common
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Segments of a template; a segment stays literal with 1/SHARE of its node's pages; the prior's weight;
+#: Levels of a template that every path has; a segment stays literal with 1/SHARE of its node's pages; the prior's weight;
 #: Hoeffding's factor for a chance of 5 % that equal branches are kept apart; purity beyond which a template goes.
 DEPTH, SHARE, PRIOR, APART, PURITY = 3, 50, 4, 1.3581, 0.5
+#: Labelled pages with which a segment stays literal whatever its share.
+SUPPORT = 100
 SALTS = 32
 
 
@@ -38,59 +40,75 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def _salted(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def _salted(big: DataFrame, small: DataFrame, keys: list[str], by: tuple[str, ...] = ("sign",)) -> DataFrame:
     """A left join whose hot keys (a host may hold a third of all pages) are dealt over SALTS tasks."""
     few = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(few, [*keys, "_salt"], "left").drop("_salt")
+    return big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(few, [*keys, "_salt"], "left").drop("_salt")
 
 
-def templates(pages: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
-    """pages (page_id, host, path, ...) plus t1 ... t<depth>: the page's template after each segment.
+def templates(paths: DataFrame, share: int = SHARE, support: int = SUPPORT, apart: float = APART) -> tuple[DataFrame, int]:
+    """paths (host, sign, n, b, a: a path with runs of digits as one sign, its pages, labelled block, labelled
+    allow) plus ts, the path's template after each level, and the number of levels.
 
-    Runs of digits count as one sign. A segment stays literal if it is in at least two of its node's pages and
-    in 1/share of them, else it becomes a wildcard; segments beyond the depth fold into one wildcard. A path
-    that has ended keeps its last template.
+    A segment stays literal if it is in at least two of its node's pages and in 1/share of them, or has `support`
+    labelled ones, or its share of blocked differs from that of its siblings beyond Hoeffding's bound; else it
+    becomes a wildcard. Levels go on until no path has another segment; below the first DEPTH a path that is alone
+    in its node ends at once, with all its segments in one level.
     """
-    parts = F.split(F.regexp_replace(F.substring("path", 2, 1 << 30), "[0-9]+", "#"), "/", -1)
-    d = pages.withColumn("_n", F.when(F.col("path") == "", 0).otherwise(F.size(parts)))
-    d = d.withColumn("_s", F.slice(parts, 1, depth)).withColumn("t0", F.lit(""))
-    for k in range(1, depth + 1):
-        node, seg = f"t{k - 1}", F.get("_s", F.lit(k - 1))
-        here = d.where(F.col("_n") >= k).groupBy("host", node, seg.alias("_seg")).agg(F.count(F.lit(1)).alias("_c"))
-        total = d.where(F.col("_n") >= k).groupBy("host", node).agg(F.count(F.lit(1)).alias("_all"))
-        kept = here.where("_c >= 2").join(total, ["host", node]).where(F.col("_c") * share >= F.col("_all")).select("host", node, "_seg", F.lit(True).alias("_own"))
-        word = F.when(F.col("_own"), F.col("_seg")).otherwise("*")
-        if k == depth:
-            word = F.when(F.col("_n") > depth, F.concat(word, F.lit("/**"))).otherwise(word)
-        d = _salted(d.withColumn("_seg", seg), kept, ["host", node, "_seg"]).withColumn(
-            f"t{k}", F.when(F.col("_n") >= k, F.concat(node, F.lit("/"), word)).otherwise(F.col(node))).drop("_seg", "_own")
-        d = common.materialize(d, "templates")
-    return d.drop("_n", "_s", "t0")
-
-
-def merged(leaves: DataFrame, p0: float, depth: int = DEPTH, prior: int = PRIOR, apart: float = APART) -> DataFrame:
-    """leaves (host, t1 ... t<depth>, n, b, a: pages, labelled block, labelled allow) plus m (the merged
-    branch) and prior (from the same template on all hosts).
+    s = F.when(F.col("sign") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("sign", 2, 1 << 30), "/", -1))
+    d = common.materialize(paths.withColumn("_s", s).withColumn("ts", F.array().cast("array<string>")).withColumn("_t", F.lit("")), "templates")
+    done, d, k = [d.where(F.size("_s") == 0)], d.where(F.size("_s") > 0), 0
+    while not d.isEmpty():
+        k += 1
+        d = d.withColumn("_seg", F.get("_s", F.lit(k - 1)))
+        node = d.groupBy("host", "_t").agg(F.sum("n").alias("_all"), F.sum("b").alias("_nb"), F.sum("a").alias("_na"), F.count(F.lit(1)).alias("_paths"))
+        here = d.groupBy("host", "_t", "_seg").agg(F.sum("n").alias("_c"), F.sum("b").alias("_b"), F.sum("a").alias("_a")).join(node, ["host", "_t"])
+        own, rest = F.col("_b") + F.col("_a"), F.col("_nb") - F.col("_b") + F.col("_na") - F.col("_a")
+        gap = F.when((own > 0) & (rest > 0), F.abs(F.try_divide("_b", own) - F.try_divide(F.col("_nb") - F.col("_b"), rest)) - apart * (1 / F.sqrt(own) + 1 / F.sqrt(rest)))
+        literal = (F.col("_c") >= 2) & ((F.col("_c") * share >= F.col("_all")) | (own >= support) | F.coalesce(F.round(gap, 9) > 0, F.lit(False)))
+        kept = here.select("host", "_t", "_seg", literal.alias("_own"), ((F.col("_paths") == 1) & F.lit(k > DEPTH)).alias("_alone"))
+        after = F.slice("_s", k, F.greatest(F.size("_s") - (k - 1), F.lit(0)))
+        word = F.when(F.col("_alone"), F.array_join(F.when(F.col("n") >= 2, after).otherwise(F.transform(after, lambda x: F.lit("*"))), "/"))
+        word = word.when(F.col("_own"), F.col("_seg")).otherwise("*")
+        d = _salted(d, kept, ["host", "_t", "_seg"]).withColumn("_t", F.concat("_t", F.lit("/"), word)).withColumn("ts", F.concat("ts", F.array("_t")))
+        d = common.materialize(d.withColumn("_end", F.col("_alone") | (F.size("_s") <= k)).drop("_seg", "_own", "_alone"), "templates")
+        done.append(d.where("_end").drop("_end"))
+        d = d.where("not _end").drop("_end")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.drop("_s", "_t"), k
+
+
+def last(ts: str = "ts"):
+    return F.coalesce(F.get(ts, F.size(ts) - 1), F.lit(""))
+
+
+def merged(leaves: DataFrame, p0: float, depth: int, prior: int = PRIOR, apart: float = APART) -> DataFrame:
+    """leaves (host, ts, n, b, a: templates after each level, pages, labelled block, labelled allow) plus m (the
+    merged branch) and prior (from the same template on all hosts).
 
     Level by level, branches of a merged node are ordered by their smoothed share of blocked pages; a branch
-    joins the one before it unless the shares differ beyond Hoeffding's bound.
+    joins the one before it unless the shares differ beyond Hoeffding's bound. A path that has ended keeps its
+    last template.
     """
     m = leaves.withColumn("m0", F.lit(""))
     for k in range(1, depth + 1):
-        t, up = f"t{k}", f"m{k - 1}"
-        all_hosts = leaves.groupBy(t).agg(F.sum("b").alias("_gb"), F.sum("a").alias("_ga"))
+        t, up = "_t", f"m{k - 1}"
+        at = F.coalesce(F.get("ts", F.lit(k - 1)), last())
+        m = m.withColumn(t, at)
+        all_hosts = leaves.groupBy(at.alias(t)).agg(F.sum("b").alias("_gb"), F.sum("a").alias("_ga"))
         branch = m.groupBy("host", up, t).agg(F.sum("b").alias("_b"), F.sum("a").alias("_a")).join(all_hosts, t)
         pg = (F.col("_gb") + prior * p0) / (F.col("_gb") + F.col("_ga") + prior)
         branch = branch.withColumn("_pg", pg).withColumn("_r", F.round((F.col("_b") + prior * F.col("_pg")) / (F.col("_b") + F.col("_a") + prior), 9))
         branch = branch.withColumn("_w", 1 / F.sqrt(F.col("_b") + F.col("_a") + F.col("_gb") + F.col("_ga") + 1))
-        order = Window.partitionBy("host", up).orderBy("_r", t)  # the branches of one node: few, as literals hold a share
+        order = Window.partitionBy("host", up).orderBy("_r", t)  # the branches of one node: few, as literals hold a share or labelled pages
         gap = F.round(F.col("_r") - F.lag("_r").over(order) - apart * (F.col("_w") + F.lag("_w").over(order)), 9)
         branch = branch.withColumn("_new", F.coalesce(gap > 0, F.lit(False)).cast("long"))
         branch = branch.withColumn(f"m{k}", F.concat(up, F.lit("/"), F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("string")))
         keep = branch.select("host", up, t, f"m{k}", *(["_pg"] if k == depth else []))
-        m = m.join(keep, ["host", up, t])
-        m = common.materialize(m, "branches")
-    return m.withColumnRenamed(f"m{depth}", "m").withColumnRenamed("_pg", "prior").drop(*[f"m{k}" for k in range(depth)])
+        m = common.materialize(m.join(keep, ["host", up, t]).drop(up, t), "branches")
+    return m.withColumnRenamed(f"m{depth}", "m").withColumnRenamed("_pg", "prior")
 
 
 def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH, share: int = SHARE, prior: int = PRIOR, purity: float = PURITY) -> DataFrame:
@@ -100,21 +118,21 @@ def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH, share: int = SHARE,
     blocked labelled pages, smoothed towards that of the same template on all hosts, is beyond `purity`. Null
     urls and those without '://' have empty host and path, and are a template of their own; repeated rows and
     null page ids stay; extra columns are ignored; without labelled pages everything is allowed; an empty
-    table gives no rows.
+    table gives no rows. `depth` is the least number of levels, not a bound.
     """
-    p = ruled(parsed(pages.select("page_id", "url")), rules).drop("url")
-    d = templates(p, depth, share)
-    leaf = [f"t{k}" for k in range(1, depth + 1)]
-    leaves = common.materialize(d.groupBy("host", *leaf).agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("rule_verdict") == "block", 1)).alias("b"), F.count(F.when(F.col("rule_verdict") == "allow", 1)).alias("a")), "leaves")
+    d = ruled(parsed(pages.select("page_id", "url")), rules).drop("url").withColumn("sign", F.regexp_replace("path", "[0-9]+", "#"))
+    paths, levels = templates(d.groupBy("host", "sign").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("rule_verdict") == "block", 1)).alias("b"), F.count(F.when(F.col("rule_verdict") == "allow", 1)).alias("a")), share)
+    leaves = common.materialize(paths.groupBy("host", "ts").agg(*[F.sum(c).alias(c) for c in ("n", "b", "a")]), "leaves")
     b, a = leaves.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
-    m = merged(leaves, (b + 1) / (b + a + 2), depth, prior)
+    m = merged(leaves, (b + 1) / (b + a + 2), max(depth, levels), prior)
     units = m.groupBy("host", "m").agg(F.sum("b").alias("_b"), F.sum("a").alias("_a"), (F.sum(F.col("n") * F.col("prior")) / F.sum("n")).alias("_p"))
     score = F.round((F.col("_b") + prior * F.col("_p")) / (F.col("_b") + F.col("_a") + prior), 9)
-    found = m.select("host", *leaf, "m").join(units, ["host", "m"]).select("host", *leaf, score.alias("score"))
-    out = _salted(d, found, ["host", *leaf])
+    found = m.select("host", "ts", "m").join(units, ["host", "m"]).select("host", "ts", score.alias("score"))
+    found = _salted(paths.select("host", "sign", "ts"), found, ["host", "ts"]).select("host", "sign", last().alias("template"), "score")
+    out = _salted(d, found, ["host", "sign"], ("page_id", "path"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > purity, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col(leaf[-1]).alias("template"), "score")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "score")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
