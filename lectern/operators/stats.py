@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,8 +43,8 @@ def numbered(df: DataFrame, by: list[str], key: str) -> DataFrame:
     return df.withColumn("i", F.row_number().over(w.orderBy(key)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
 
 
-def bootstrap(df: DataFrame, value: str, by: list[str], key: str, rounds: int = 200, seed: str = "boot") -> DataFrame:
-    """Percentile interval (95 %) of the mean over resampled cases: every round draws n cases of a group by hash."""
+def bootstrap(df: DataFrame, value: str, by: list[str], key: str, rounds: int = 20_000, seed: str = "boot") -> DataFrame:
+    """interval in the form of SQL, a row for each draw. Percentile interval (95 %) of the mean over resampled cases: every round draws n cases of a group by hash."""
     c = numbered(df, by, key).select(*by, "i", "n", value)
     d = c.select(*by, "n", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     d = d.withColumn("i", F.pmod(draw(seed, F.col("round"), F.col("slot")), F.col("n")).cast("int"))
@@ -50,8 +52,8 @@ def bootstrap(df: DataFrame, value: str, by: list[str], key: str, rounds: int =
     return means.groupBy(*by).agg(F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"), F.count(F.lit(1)).alias("rounds"))
 
 
-def sign_flip(df: DataFrame, value: str, by: list[str], key: str, rounds: int = 200, seed: str = "flip") -> DataFrame:
-    """Two-sided Monte-Carlo permutation test of a zero mean: p = (extreme + 1) / (rounds + 1)."""
+def sign_flip(df: DataFrame, value: str, by: list[str], key: str, rounds: int = 100_000, seed: str = "flip") -> DataFrame:
+    """permutation in the form of SQL, a row for each sign. Two-sided Monte-Carlo permutation test of a zero mean: p = (extreme + 1) / (rounds + 1)."""
     c = numbered(df, by, key).select(*by, "i", value)
     d = c.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     sign = F.when(F.pmod(draw(seed, F.col("round"), F.col("i")), F.lit(2)) == 0, 1).otherwise(-1)
@@ -143,6 +145,45 @@ def exact_sign_flip(df: DataFrame, value: str, by: list[str], key: str, most: in
     return permutation(df, value, by, key, most).select(*by, "p")
 
 
+def _resampled(rounds: int, seed: str):
+    """A block's sum of drawn values in every round. How many of a round's n draws fall into each block is one multinomial
+    draw of the group, which all its blocks repeat; so blocks need not meet before their sums do."""
+    def start(*key) -> np.random.Generator:
+        return np.random.default_rng(list(hashlib.sha256(repr((seed, *key)).encode()).digest()))
+
+    def run(batches):
+        for b in batches:
+            for g, at, vs, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                v = np.array(vs.values)
+                size = np.array([x["n"] for x in of], np.int64)
+                place = [x["_b"] for x in of].index(at)
+                dealing, drawing, out = start(g), start(g, at), np.zeros(rounds)
+                for lo in range(0, rounds, 1024):
+                    count = dealing.multinomial(size.sum(), size / size.sum(), size=min(1024, rounds - lo))[:, place]
+                    step = max(1, 2_000_000 // len(v))
+                    for i in range(0, len(count), step):
+                        c = count[i:i + step]
+                        out[lo + i:lo + i + len(c)] = np.bincount(np.repeat(np.arange(len(c)), c), v[drawing.integers(0, len(v), c.sum())], len(c))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([out], pa.list_(pa.float64()))], ["_g", "_s"])
+    return run
+
+
+def interval(df: DataFrame, value: str, by: list[str], key: str, rounds: int = 20_000, seed: str = "boot") -> DataFrame:
+    """(by, n, low, high, rounds): percentile interval (95 %) of every group's mean over resampled cases.
+
+    Null values are no cases; a group of nothing else has null bounds.
+    """
+    d = _cases(df, value, by, key, seed)
+    groups = materialize(d.groupBy("_g", *by).agg(F.count("_v").alias("n")), "groups")
+    blocks = materialize(_blocks(d.where(F.col("_v").isNotNull()), groups.where("n > 0"), "n").select("_g", "_b", "_vs"), "blocks")
+    of = blocks.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_b", F.size("_vs").alias("n")))).alias("_of"))  # 256 at most
+    sums = blocks.join(of, "_g").select("_g", "_b", "_vs", "_of").mapInArrow(_resampled(rounds, seed), "_g string, _s array<double>")
+    sums = sums.select("_g", F.posexplode("_s").alias("round", "s")).groupBy("_g", "round").agg(F.sum("s").alias("s")).join(groups.select("_g", "n"), "_g")
+    mean = F.col("s") / F.col("n")
+    bounds = sums.groupBy("_g").agg(F.round(F.percentile(mean, 0.025), 6).alias("low"), F.round(F.percentile(mean, 0.975), 6).alias("high"))
+    return groups.join(bounds, "_g", "left").select(*by, "n", "low", "high", F.lit(rounds).alias("rounds"))
+
+
 def holm(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
     """Holm's adjusted p values (running maximum of (m - i) p) and rejections. The tests of one family."""
     order = Window.orderBy(p, key)

@@ -213,13 +213,25 @@ def drawn(*parts: str) -> str:
 @query(f"""WITH {BALANCES}, {NUM}, d AS (SELECT seg, round, {drawn("'boot'", 'round', 'i')} % n AS pick FROM c, (SELECT unnest(range(0, 200)) AS round)),
 m AS (SELECT d.seg, d.round, avg(c.v) AS mean FROM d JOIN c ON c.seg = d.seg AND c.i = d.pick GROUP BY ALL) SELECT seg, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS rounds FROM m GROUP BY seg""")
 def bootstrap_interval(spark, sf_dir):
-    return stats.bootstrap(balances(spark, sf_dir), "v", ["seg"], "key")
+    """The 200 rounds of its SQL; resampled_interval has the whole number."""
+    return stats.bootstrap(balances(spark, sf_dir), "v", ["seg"], "key", 200)
+
+
+@query()
+def resampled_interval(spark, sf_dir):
+    return stats.interval(balances(spark, sf_dir), "v", ["seg"], "key")
 
 
 @query(f"""WITH {BALANCES}, {NUM}, d AS (SELECT seg, round, abs(sum(CASE WHEN {drawn("'flip'", 'round', 'i')} % 2 = 0 THEN v ELSE -v END)) AS s FROM c, (SELECT unnest(range(0, 200)) AS round) GROUP BY seg, round),
 o AS (SELECT seg, abs(sum(v)) AS own FROM c GROUP BY seg) SELECT seg, round((count(*) FILTER (s >= own - 1e-9) + 1) / 201.0::DOUBLE, 6) AS p FROM d JOIN o USING (seg) GROUP BY seg""")
 def sign_flip_test(spark, sf_dir):
-    return stats.sign_flip(balances(spark, sf_dir), "v", ["seg"], "key")
+    """The 200 rounds of its SQL; random_sign_test has the whole number."""
+    return stats.sign_flip(balances(spark, sf_dir), "v", ["seg"], "key", 200)
+
+
+@query()
+def random_sign_test(spark, sf_dir):
+    return stats.permutation(balances(spark, sf_dir), "v", ["seg"], "key")
 
 
 def suppliers(spark, sf_dir):

@@ -32,3 +32,18 @@ def test_dense_ties_go_to_the_smallest_ids(spark):
             got.setdefault(r["query_id"], []).append(r["doc"])
         assert got == {1: [2, 3, 4], 50: [1, 2, 3], 500: [1, 2, 3]}
     assert retrieval._rounded(np.array([0.0078125, -0.0078125, 2.5e-7])).tolist() == [0.007813, -0.007813, 0.0]
+
+
+def test_interval_has_all_rounds(spark, monkeypatch):
+    """Bounds of 20,000 rounds lie close to those of another generator, in one block and in many."""
+    rng = np.random.default_rng(4)
+    v = [float(x) for x in rng.exponential(2, 80)]
+    d = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)] + [("none", 0, None)], "g string, i int, d double").repartition(3)
+    low, high = np.percentile(rng.choice(v, (100000, 80)).mean(axis=1), [2.5, 97.5])
+    for block in (stats.BLOCK, 9):
+        monkeypatch.setattr(stats, "BLOCK", block)
+        got = {r["g"]: r for r in stats.interval(d, "d", ["g"], "i").collect()}
+        assert got["a"]["rounds"] == 20000 and got["a"]["n"] == 80 and got["none"]["low"] is None
+        assert got["a"]["low"] == pytest.approx(low, abs=0.02) and got["a"]["high"] == pytest.approx(high, abs=0.03)
+    again = {r["g"]: r for r in stats.interval(d.repartition(5), "d", ["g"], "i").collect()}
+    assert again["a"]["low"] == pytest.approx(got["a"]["low"], abs=1e-6)
