@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators import retrieval
+
 from . import common
 
 #: Nodes of a shard, edges of a node, beam of a search, relaxation of the pruning, queries of a block.
@@ -233,3 +235,11 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = common.materialize(usable(common.table(spark, sf_dir, "embeddings")), "vectors")
     shards = common.materialize(index(v), "graphs")
     return search(v.where("vec_id % 20 = 0"), shards)
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, recall) of op2_ann's neighbours against the exact ones by inner product."""
+    got = op2_ann(spark, sf_dir).withColumnRenamed("vec_id", "doc")
+    v = usable(common.table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("doc"), F.col("e").alias("vec"))
+    best = retrieval.dense(v.where("doc % 20 = 0").withColumnRenamed("doc", "query_id"), v, K)
+    return retrieval.recall_overlap(got, best, K)

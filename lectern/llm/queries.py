@@ -7,6 +7,7 @@ from . import ann, bpe, lm, mixing, simhash, suffix, topk, toxicity, urls, warc
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_ann": ann.op2_ann,
+    "ann_recall": ann.ann_recall,
     "op3_warc": warc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,

@@ -101,6 +101,25 @@ def rrf_fusion(spark, sf_dir):
     return fusion.rrf(_lists(spark, sf_dir)[2], top=20).select("query_id", "doc", "score", "lists", "rank")
 
 
+HYBRID = f"""queries AS (SELECT doc_id AS query_id, array_to_string({B.TOK.format('text')}[1:12], ' ') AS text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+{B.TERMS}, {B.bm25_sql('found', 61)}, {DENSE.format(k=60)},
+lists AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM found WHERE doc <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 60
+  UNION ALL SELECT query_id, doc, rank FROM dense SEMI JOIN queries USING (query_id))"""
+
+
+@query(f"WITH {HYBRID}, {FUSED} SELECT query_id, doc, score, lists, rank FROM fused WHERE rank <= 20")
+def hybrid_topk(spark, sf_dir):
+    """What is like a document: BM25 of its first twelve words and its vector, 60 of each fused; vectors and documents share ids."""
+    v = _vectors(spark, sf_dir)
+    own = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), T.tokens(F.col("text")).alias("words")).where("query_id % 50 = 0")
+    q = own.join(v.select(F.col("doc").alias("query_id")), "query_id", "left_semi").select("query_id", F.array_join(F.slice("words", 1, 12), " ").alias("text"))
+    q = materialize(q, "queries")
+    post, docs = B.postings(spark, sf_dir)
+    sparse = retrieval.bm25(q.select("query_id", T.query_tokens(F.col("text")).alias("terms")), post, docs).where("doc <> query_id")
+    near = _dense(spark, sf_dir, 60).join(q.select("query_id"), "query_id", "left_semi")
+    return fusion.hybrid(retrieval.top_k(sparse, 60), near, top=20).select("query_id", "doc", "score", "lists", "rank")
+
+
 @query(f"""WITH {BOTH}, {FUSED} SELECT query_id, doc, r.rank AS before, f.rank AS after,
   CASE WHEN coalesce(r.rank <= 10, false) AND coalesce(f.rank <= 10, false) THEN 'retained' WHEN coalesce(f.rank <= 10, false) THEN 'entered' WHEN coalesce(r.rank <= 10, false) THEN 'exited' ELSE 'outside' END AS change
 FROM ranked r FULL JOIN fused f USING (query_id, doc)""")

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from lectern.operators import retrieval, stats
+from lectern.llm import ann
+from lectern.operators import fusion, retrieval, stats
 
 
 def test_permutation_keeps_every_group(spark):
@@ -47,3 +48,12 @@ def test_interval_has_all_rounds(spark, monkeypatch):
         assert got["a"]["low"] == pytest.approx(low, abs=0.02) and got["a"]["high"] == pytest.approx(high, abs=0.03)
     again = {r["g"]: r for r in stats.interval(d.repartition(5), "d", ["g"], "i").collect()}
     assert again["a"]["low"] == pytest.approx(got["a"]["low"], abs=1e-6)
+
+
+def test_hybrid_and_recall(spark):
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc long, rank int")
+    b = spark.createDataFrame([(1, 11, 1), (1, 12, 2), (2, 10, 1)], "query_id long, doc long, rank int")
+    got = [(r["query_id"], r["doc"], r["lists"]) for r in fusion.hybrid(a, b, top=2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 11, 2), (1, 10, 1), (2, 10, 1)]
+    found = ann.ann_recall(spark, "/root/testdata/sf0.001").collect()
+    assert found and min(r["recall"] for r in found) >= 0.5
