@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.graph import components  # noqa: F401
-from lectern.shared import materialize, scratch, shared_dir  # noqa: F401
+from lectern.shared import batches, materialize, remove, scratch, shared_dir  # noqa: F401
 
 #: The white space that separates words in every contract: space, tab, LF, VT, FF, CR.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Arrow batches to Python of at most so many rows and about so many MB: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+    """For frames that are returned unplanned: lowers the session's limits of Arrow batches to so many rows and MB, as texts
+    may be very long. It never raises them; what is written on the way takes its limits from materialize."""
+    for key, most in batches(rows, mb).items():
+        now = re.match(r"(\d+)", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= int(most):
+            spark.conf.set(key, most)
 
 
 def lower_ascii(c):

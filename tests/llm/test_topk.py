@@ -47,6 +47,7 @@ def got(spark, queries, docs, k):
 def test_equals_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "BLOCK", 3)
     monkeypatch.setattr(topk, "BITS", 2)
+    monkeypatch.setattr(topk, "LED", 2)
     docs = corpus(150)
     if shard < 8192:
         monkeypatch.setattr(topk, "SHARD_DOCS", shard)
