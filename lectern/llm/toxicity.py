@@ -17,9 +17,10 @@ WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
 DRIFT = 1.0
 BIN = 0.05
-#: Bounds of the classifier: labelled rows of each class that it is fitted on, and words and stems that it keeps.
+#: Bound of the classifier: labelled rows of each class that it is fitted on.
 TRAIN_ROWS = 20_000
-MODEL_WORDS = 40_000
+#: Steps of the logarithm of evidence by which the calibration's cells are told apart.
+CELL = 1000
 
 
 def words(text: str | None) -> list[str]:
@@ -68,11 +69,12 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 def evidence(segments: list[float], n: int, lam: float, k: float) -> float:
     """-ln P of the best sum of normalised segment scores (Karlin and Altschul): how surprising a text is.
 
-    P of the r best segments summing to t is about exp(-t) t**(r-1) / (r! (r-1)!).
+    P of the r best segments summing to t is about exp(-t) t**(r-1) / (r! (r-1)!). Every segment counts that is
+    better than the best one to expect of n tokens.
     """
     best, t = 0.0, 0.0
     base = math.log(max(k * n, 1e-12))
-    for r, s in enumerate(sorted(segments, reverse=True)[:50], 1):
+    for r, s in enumerate(sorted(segments, reverse=True), 1):
         x = lam * s - base
         if x <= 0:
             break
@@ -115,15 +117,15 @@ def held(column: str):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def _lexicon(train: DataFrame, n1: int, n0: int, keep: int, prior: float = 4.0) -> tuple[dict, dict]:
+def _lexicon(train: DataFrame, n1: int, n0: int, prior: float = 4.0) -> tuple[dict, dict]:
     """Log-odds of words and stems. A stem's Dirichlet prior is the class sizes'; a word's is its stem's posterior.
 
     Words and stems whose log-odds are sqrt(2 ln V) standard errors from zero (what the largest of V unrelated
-    ones reaches) stay, the `keep` most certain of each at most, so the model is bounded.
+    ones reaches) stay, all of them; they come from the bounded training sample, so the model is bounded by its text.
     """
     counts = train.select("text", "toxic").mapInArrow(_counter, "token string, stem boolean, toxic int, n long").groupBy("stem", "token").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("y0"))
-    counts = common.materialize(counts, "counts")
+    counts = common.materialize(counts, "counts", rows=1000)
     share = n1 / (n1 + n0)
     least = math.sqrt(2 * math.log(max(2, counts.count())))
 
@@ -133,9 +135,9 @@ def _lexicon(train: DataFrame, n1: int, n0: int, keep: int, prior: float = 4.0)
         return d.alias("d"), (d / F.sqrt(1 / a1 + 1 / a0)).alias("z")
 
     stems = counts.where("stem").select("token", ((F.col("y1") + prior * share) / (F.col("y1") + F.col("y0") + prior)).alias("p"), "y1", "y0")
-    stem_top = stems.select("token", *odds(F.lit(share))).where(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "token").limit(keep)
+    stem_top = stems.select("token", *odds(F.lit(share))).where(F.abs("z") >= least)
     own = counts.where("not stem").withColumn("s", F.substring("token", 1, STEM)).join(stems.select(F.col("token").alias("s"), "p"), "s")
-    own_top = own.select("token", *odds(F.col("p"))).where(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "token").limit(keep)
+    own_top = own.select("token", *odds(F.col("p"))).where(F.abs("z") >= least)
     return {r[0]: r[1] for r in own_top.select("token", "d").collect()}, {r[0]: r[1] for r in stem_top.select("token", "d").collect()}
 
 
@@ -198,23 +200,22 @@ class Model:
         self.own, self.stems, self.lam, self.k, self.a, self.b = own, stems, lam, k, a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: int = MODEL_WORDS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from labelled, not held-out documents; None if there is not a document of each class.
 
     The classifier is fitted on at most `rows` labelled rows of each class; everything that it is applied to is
     read whole.
     """
     spark = docs.sparkSession
-    common.bounded_batches(spark)
     ids = common.materialize(_train_ids(docs, labels, rows), "train")
     train = common.materialize(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), "toxic", "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic"), "train")
     n = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return None
-    own, stems = _lexicon(train, n1, n0, keep)
+    own, stems = _lexicon(train, n1, n0)
     sent = spark.sparkContext.broadcast((own, stems))
-    profile = common.materialize(train.select("text", "toxic").mapInArrow(_profile(sent), "toxic int, n long, segments array<double>, bins array<long>, counts array<long>"), "profile")
+    profile = common.materialize(train.select("text", "toxic").mapInArrow(_profile(sent), "toxic int, n long, segments array<double>, bins array<long>, counts array<long>"), "profile", rows=1000)
     hist = {r[0]: r[1] for r in profile.select(F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("x.bins").agg(F.sum("x.counts")).collect()}
     lam = extreme_lambda(hist)
     top = F.coalesce(F.array_max("segments"), F.lit(0.0))
@@ -224,15 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: int =
     def weigh(batches):
         for b in batches:
             x = [evidence(s, m, lam, k) for s, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([round(min(v, 200.0) * 10) for v in x], pa.int64())], ["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([round(math.log1p(v) * CELL) for v in x], pa.int64())], ["toxic", "x"])
 
-    cells = profile.select("toxic", "segments", "n").mapInArrow(weigh, "toxic int, x long").groupBy("toxic", "x").count().collect()  # 2 * 2001 rows at most
+    cells = profile.select("toxic", "segments", "n").mapInArrow(weigh, "toxic int, x long").groupBy("toxic", "x").count().collect()  # 2 * rows at most
     known = labels.where("toxic is not null and doc_id is not null").where(held("doc_id") != 1).groupBy("toxic").count().collect()
     prior = {r[0]: r[1] for r in known}
     w = {t: prior.get(t, c) / c for t, c in ((0, n0), (1, n1))}
     scale = (n0 + n1) / (w[0] * n0 + w[1] * n1)
-    x, y = np.array([c[1] / 10 for c in cells]), np.array([c[0] for c in cells], float)
-    a, b = logistic(np.log1p(x), y, np.array([c[2] * w[c[0]] * scale for c in cells], float))
+    x, y = np.array([c[1] / CELL for c in cells]), np.array([c[0] for c in cells], float)
+    a, b = logistic(x, y, np.array([c[2] * w[c[0]] * scale for c in cells], float))
     return Model(own, stems, lam, k, a, b)
 
 
@@ -249,7 +250,7 @@ def _scorer(model):
                 s = np.array([x for x, _ in found])
                 segs = maximal_segments(s) if len(s) and s.max() > 0 else []
                 x = evidence([v for v, _, _ in segs], len(s), m.lam, m.k)
-                score.append(1 / (1 + math.exp(-max(-40.0, min(40.0, m.a + m.b * math.log1p(min(x, 200.0)))))))
+                score.append(1 / (1 + math.exp(-max(-40.0, min(40.0, m.a + m.b * math.log1p(x))))))
                 base = math.log(max(m.k * len(s), 1e-12))
                 passages.append([{"start": found[f][1][0], "end": found[e][1][1], "score": v} for v, f, e in segs if m.lam * v - base > 3.0])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
