@@ -283,7 +283,7 @@ def _word_share(folder: str, discounts: tuple[float, float, float]):
             free = discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3
             order = np.argsort(used[0])
             h, c, free, p = used[0][order], used[1][order], free[order], p[order]
-            name = _create(folder, f"words-{uuid.uuid4().hex}", h, free.astype(np.float64), c.astype(np.uint32), p.astype(np.uint32))
+            name = _create(folder, f"words-{uuid.uuid4().hex}", h, free.astype(np.float64), c.astype(np.uint64), p.astype(np.uint64))
             real = h != START
             once = [int((p[real] == k).sum()) for k in (1, 2, 3, 4)]
             meta = np.array([len(h), int(c[real].sum()), int(real.sum()), int((p[real] >= 3).sum()), *once], "<i8").tobytes() + name.encode()
@@ -298,6 +298,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.1 * (k + 1)), k + 0.95) for k, x in enumerate(d))
 
 
+def _spans(share: np.ndarray) -> list[tuple[int, int, int]]:
+    """(share, first, end) of the runs of a sorted array."""
+    edge = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), len(share)]
+    return [(int(share[lo]), lo, hi) for lo, hi in zip(edge, edge[1:]) if lo < hi]
+
+
 class Files:
     """A fitted model: the names of its arrays and the figures that hold for all of them."""
 
@@ -311,7 +317,6 @@ _WIRE = "share int, kind int, n long, data binary"
 def fit(docs: DataFrame, text: str = "text") -> Files:
     """Counts all of docs and writes the arrays. Only a row for each share reaches the driver: file names and totals."""
     spark = docs.sparkSession
-    common.bounded_batches(spark, mb=8)
     data = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
     size = data.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     shares = 1 << max(0, math.ceil(math.log2(max(1, size / SHARE_BYTES))))
@@ -324,10 +329,10 @@ def _fit(spark: SparkSession, sent: DataFrame, shares: int, folder: str) -> File
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartitionById(shares, F.col("share")).sortWithinPartitions("share")
 
-    first = common.materialize(dealt(sent).mapInArrow(_pair_share(folder, shares), _WIRE), "pairs")
+    first = common.materialize(dealt(sent).mapInArrow(_pair_share(folder, shares), _WIRE), "pairs", rows=1000, mb=8)
     pairs = [(r["share"], *_meta(r["data"], 6)) for r in first.where("kind = 3").select("share", "data").collect()]
     d2 = discounts(*(sum(p[1][k] for p in pairs) for k in (2, 3, 4, 5)))
-    second = common.materialize(dealt(first.where("kind in (1, 2)")).mapInArrow(_word_share(folder, d2), _WIRE), "words")
+    second = common.materialize(dealt(first.where("kind in (1, 2)")).mapInArrow(_word_share(folder, d2), _WIRE), "words", rows=1000, mb=8)
     words = [(r["share"], *_meta(r["data"], 8)) for r in second.select("share", "data").collect()]
     n, v, more, *once = (sum(w[1][k] for w in words) for k in range(1, 8))
     d1 = discounts(*once)
@@ -340,28 +345,41 @@ def _meta(data: bytes, n: int) -> tuple[list[int], str]:
     return np.frombuffer(data, "<i8", n).tolist(), bytes(data[8 * n:]).decode()
 
 
+def _mounted(uri: str) -> bool:
+    return urlsplit(uri).scheme in ("", "file")
+
+
 def _mapped(uri: str):
     """A file's bytes: memory-mapped where the shared folder is mounted, else read."""
     fs, path = pafs.FileSystem.from_uri(uri)
-    if urlsplit(uri).scheme in ("", "file"):
+    if _mounted(uri):
         return np.memmap(path, np.uint8, "r")
     with fs.open_input_file(path) as f:
         return np.frombuffer(f.read_buffer(), np.uint8)
 
 
 class Arrays:
-    """Lookups in the sorted arrays of a model."""
+    """Lookups in the sorted arrays of a model. Maps are kept; where files are read instead, it is one share at a time."""
 
     def __init__(self, files: Files):
-        self.files = files
-        self.pairs, self.words = {}, {}
-        for s, (n, big, name) in files.pairs.items():
-            m = _mapped(name)
-            e = [0, 8 * n, 8 * (n + big), 8 * (n + 2 * big), 8 * (n + 2 * big) + n]
-            self.pairs[s] = (m[e[0]:e[1]].view("<u8"), m[e[1]:e[2]].view("<u8"), m[e[2]:e[3]].view("<u8"), m[e[3]:e[4]])
-        for s, (n, name) in files.words.items():
-            m = _mapped(name)
-            self.words[s] = (m[:8 * n].view("<u8"), m[8 * n:16 * n].view("<f8"), m[16 * n:20 * n].view("<u4"), m[20 * n:24 * n].view("<u4"))
+        self.files, self.maps = files, {}
+
+    def _file(self, name: str) -> np.ndarray:
+        if not _mounted(name):
+            return _mapped(name)
+        if name not in self.maps:
+            self.maps[name] = _mapped(name)
+        return self.maps[name]
+
+    def _pairs(self, s: int) -> tuple[np.ndarray, ...]:
+        n, big, name = self.files.pairs[s]
+        m, e = self._file(name), [0, 8 * n, 8 * (n + big), 8 * (n + 2 * big), 8 * (n + 2 * big) + n]
+        return m[e[0]:e[1]].view("<u8"), m[e[1]:e[2]].view("<u8"), m[e[2]:e[3]].view("<u8"), m[e[3]:e[4]]
+
+    def _words(self, s: int) -> tuple[np.ndarray, ...]:
+        n, name = self.files.words[s]
+        m = self._file(name)
+        return m[:8 * n].view("<u8"), m[8 * n:16 * n].view("<f8"), m[16 * n:24 * n].view("<u8"), m[24 * n:32 * n].view("<u8")
 
     @staticmethod
     def _find(sorted_keys, keys):
@@ -372,9 +390,11 @@ class Arrays:
         """Freed mass, count and predecessors of distinct words; zero if never seen."""
         free, c, p = np.zeros(len(h)), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         share = _share(h << _U(16), self.files.shares)
-        for s, (keys, f, n, q) in self.words.items():
-            own = np.flatnonzero(share == s)
-            if len(own):
+        order = np.argsort(share, kind="stable")
+        for s, lo, hi in _spans(share[order]):
+            if s in self.files.words:
+                keys, f, n, q = self._words(s)
+                own = order[lo:hi]
                 at, ok = self._find(keys, h[own])
                 own, at = own[ok], at[ok]
                 free[own], c[own], p[own] = f[at], n[at], q[at]
@@ -383,10 +403,9 @@ class Arrays:
     def pair(self, g: np.ndarray) -> np.ndarray:
         """Counts of distinct sorted pair hashes."""
         out = np.zeros(len(g), np.int64)
-        edge = np.searchsorted(_share(g, self.files.shares), np.arange(self.files.shares + 1))
-        for s, (keys, big, more, c) in self.pairs.items():
-            lo, hi = edge[s], edge[s + 1]
-            if lo < hi:
+        for s, lo, hi in _spans(_share(g, self.files.shares)):
+            if s in self.files.pairs:
+                keys, big, more, c = self._pairs(s)
                 at, ok = self._find(keys, g[lo:hi])
                 n = np.where(ok, c[at], 0).astype(np.int64)
                 large = np.flatnonzero(n == 255)

@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import lm
@@ -71,8 +73,6 @@ def test_equals_brute_force(spark, monkeypatch, n, share):
 def test_probabilities_sum_to_one(spark):
     d = spark.createDataFrame([(t,) for t in texts(60)], "text string")
     m = lm.Arrays(lm.fit(d))
-    import numpy as np
-
     vocabulary = np.unique(lm.tokens([t.encode() for t in texts(60)])[0])
     every = np.append(vocabulary, lm.tokens([b"unseen"])[0][0])
     free, c, p = m.word(every)
@@ -91,3 +91,29 @@ def test_chunks_do_not_cut_words(monkeypatch):
     whole = lm.tokens(t)
     monkeypatch.setattr(lm, "CHUNK", 7)
     assert all((a == b).all() for a, b in zip(whole, lm.tokens(t)))
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """Counts and predecessors of a word that no table here could hold."""
+    h = np.sort(lm.tokens([b"the of"])[0])
+    used, before = np.array([5_000_000_000, 7, (1 << 40) + 3]), np.array([1, (1 << 33) + 1, 255])
+    zero = np.zeros(3, np.int64)
+    order = np.argsort(h & lm._CUT)
+    short = lm._pack_words(h[order], [zero, zero, zero, before[order]], True)
+    rows = [{"share": 0, "kind": 1, "n": 3, "data": lm._pack_words(h, [used])}, {"share": 0, "kind": 2, "n": 3, "data": short}]
+    out = list(lm._word_share(tmp_path.as_uri(), (0.5, 1.0, 1.5))([pa.RecordBatch.from_pylist(rows, lm._BLOBS)]))[0].to_pylist()[0]
+    meta, name = lm._meta(out["data"], 8)
+    assert meta[1] == used.sum()
+    files = lm.Files(1, {}, {0: (meta[0], name)}, meta[1], meta[2], (0.5, 1, 1.5), (0.5, 1, 1.5), 1.0, 1)
+    _, c, p = lm.Arrays(files).word(h)
+    assert c.tolist() == used.tolist() and p.tolist() == before.tolist()
+
+
+def test_very_long_text_ties_and_repeats(spark):
+    long = " ".join(f"w{k % 700}" for k in range(300_000))
+    rows = [(1, long), (1, long), (2, "w1 w2 w3"), (3, "w1 w2 w3"), (4, None)]
+    d = spark.createDataFrame([(i, t, 2.0) for i, t in rows], "doc_id long, text string, perplexity double")
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in lm.score(d, lm.fit(d)).collect())
+    want = brute([t for _, t in rows], [t for _, t in rows])
+    for (_, n, s), w in zip(got, want):
+        assert n == w[0] and s == pytest.approx(w[4], rel=1e-9)
