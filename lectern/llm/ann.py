@@ -2,6 +2,9 @@
 
 Within a shard every vector gets one more component that lifts it to the largest norm, so that the largest
 inner product is the smallest angle, and the graph is built on one sphere. Equal vectors are one node.
+
+A task that builds a shard writes its vectors and graph to the shared folder, and so does one that has gathered
+a block of queries: what is dealt out for the search are pairs of names. The tasks of the search map both.
 """
 
 from __future__ import annotations
@@ -14,10 +17,13 @@ from pyspark.sql import functions as F
 from lectern.operators import retrieval
 
 from . import common
+from .topk import _load as load, _save as save
 
 #: Nodes of a shard, edges of a node, beam of a search, relaxation of the pruning, queries of a block.
 SHARD, DEGREE, BEAM, ALPHA, BLOCK = 4096, 32, 64, 1.2, 1024
 K = 20
+#: Shards whose names are gathered in one row before they meet the blocks of queries.
+FAN = 64
 SALTS = 16
 #: Nodes that one step expands for each query.
 STEP = 4
@@ -141,34 +147,50 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return s
 
 
-def _build(degree: int, beam: int, alpha: float):
+_NAMES = "dim int, part long, path string"
+_NAMED = pa.schema([("dim", pa.int32()), ("part", pa.int64()), ("path", pa.string())])
+
+
+def _named(key, path: str) -> pa.Table:
+    return pa.Table.from_pylist([{"dim": key[0].as_py(), "part": key[1].as_py(), "path": path}], _NAMED)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _build(folder: str, degree: int, beam: int, alpha: float):
+    """Writes a shard: vectors, graph, entry, and each node's ids."""
     def run(key, table):
-        v = np.array(table.column("e").to_pylist(), np.float64)
+        v = _matrix(table.column("e"))
         graph, entry = build(lifted(v), degree, beam, alpha)
-        return pa.Table.from_pylist([{"dim": key[0].as_py(), "shard": key[1].as_py(), "entry": entry, "vectors": v.tobytes(), "graph": graph.tobytes(), "members": table.column("members").to_pylist()}],
-                                    pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("entry", pa.int32()), ("vectors", pa.binary()), ("graph", pa.binary()), ("members", pa.list_(pa.list_(pa.int64())))]))
+        ids = table.column("members").combine_chunks()
+        return _named(key, save(folder, {"v": v.ravel(), "graph": graph.ravel(), "entry": np.array([entry]), "ids": np.asarray(ids.flatten()), "many": np.diff(ids.offsets.to_numpy())}))
+    return run
+
+
+def _gather(folder: str):
+    """Writes a block of queries."""
+    def run(key, table):
+        ids, tags = (table.column(c).to_numpy() for c in ("vec_id", "tag"))
+        return _named(key, save(folder, {"ids": ids, "tags": tags, "q": _matrix(table.column("e")).ravel()}))
     return run
 
 
 def _search(k: int, beam: int):
     def run(batches):
         for b in batches:
-            for r in range(b.num_rows):
-                row = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
-                dim, n = row["dim"].as_py(), len(row["members"].values)
-                v = np.frombuffer(row["vectors"].as_buffer(), np.float64).reshape(n, dim)
-                graph = np.frombuffer(row["graph"].as_buffer(), np.int32).reshape(n, -1)
-                own = np.asarray(row["ids"].values)
-                q = np.asarray(row["qs"].values.flatten()).reshape(len(own), dim)
-                tag = np.asarray(row["tags"].values)
-                x = lifted(v)
-                ids, _ = beam_search(x, graph, row["entry"].as_py(), np.concatenate((q, np.zeros((len(q), 1))), 1).astype(np.float32), max(beam, k + 1))
+            for dim, shard, block in zip(*(b.column(i).to_pylist() for i in range(3))):
+                s, block = load(shard), load(block)
+                v, own, tag = s["v"].reshape(-1, dim), block["ids"], block["tags"]
+                q = block["q"].reshape(-1, dim)
+                ids, _ = beam_search(lifted(v), s["graph"].reshape(len(v), -1), int(s["entry"][0]), np.concatenate((q, np.zeros((len(q), 1))), 1).astype(np.float32), max(beam, k + 1))
                 at, c = np.nonzero(ids >= 0)
                 node = ids[at, c]
                 score = exact(q[at], v[node])
-                members = row["members"].values
-                size = np.diff(members.offsets.to_numpy())
-                flat, first = np.asarray(members.flatten()), np.cumsum(size) - size
+                size, flat = s["many"], s["ids"]
+                first = np.cumsum(size) - size
                 many = size[node]
                 at, score, start = np.repeat(at, many), np.repeat(score, many), np.repeat(first[node], many)
                 vec = flat[start + np.arange(len(start)) - np.repeat(np.cumsum(many) - many, many)]
@@ -191,7 +213,7 @@ def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 def index(vectors: DataFrame, k: int = K, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
-    """A row for each shard: dim, shard, entry, vectors, graph, and the smallest k + 1 ids of each node.
+    """A row for each shard: dim, part and the path of its vectors, its graph and the smallest k + 1 ids of each node.
 
     Every usable vector is indexed; vectors of different lengths are in different shards. A node's ids are
     taken salt by salt, so that a vector which a third of the rows share is never in one task.
@@ -206,7 +228,9 @@ def index(vectors: DataFrame, k: int = K, shard: int = SHARD, degree: int = DEGR
     for dim, n in count.items():
         shards = F.when(F.col("dim") == dim, -(-n // shard)).otherwise(shards)
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("e"), shards.cast("long")))
-    return dealt.groupBy("dim", "shard").applyInArrow(_build(degree, beam, alpha), "dim int, shard long, entry int, vectors binary, graph binary, members array<array<long>>")
+    folder = common.scratch(vectors.sparkSession, "graphs")
+    built = dealt.select("dim", "shard", "e", "members").groupBy("dim", "shard").applyInArrow(_build(folder, degree, beam, alpha), _NAMES)
+    return common.materialize(built, "shards")
 
 
 def search(queries: DataFrame, shards: DataFrame, k: int = K, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
@@ -216,25 +240,24 @@ def search(queries: DataFrame, shards: DataFrame, k: int = K, beam: int = BEAM,
     smaller vec_id. Rows that share an id but not the vector are searched one by one; a null vector, a zero one
     or one with a null or non-finite component gives no rows; an empty table gives none.
     """
-    n = queries.count()
-    last = F.lit(-1)
-    for dim, top in shards.groupBy("dim").agg(F.max("shard")).collect():  # a row for each vector length
-        last = F.when(F.col("dim") == dim, top).otherwise(last)
+    spark = queries.sparkSession
+    n, parts = queries.count(), shards.count()
     q = queries.withColumn("tag", F.xxhash64("e")).withColumn("block", F.pmod(F.xxhash64("vec_id", "tag"), F.lit(max(1, -(-n // block)))))
-    blocks = q.groupBy(F.size("e").alias("dim"), "block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("e").alias("qs"), F.collect_list("tag").alias("tags"))
-    every = F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last.cast("long")))).alias("shard")
-    pairs = blocks.select("*", every).join(shards, ["dim", "shard"]).select(
-        "dim", "entry", "vectors", "graph", "members", "ids", "qs", "tags")
-    common.bounded_batches(queries.sparkSession, rows=4)
-    found = pairs.mapInArrow(_search(k, beam), "query_id long, tag long, vec_id long, score double")
+    blocks = q.select(F.size("e").alias("dim"), F.col("block").cast("long").alias("part"), "vec_id", "tag", "e").groupBy("dim", "part").applyInArrow(_gather(common.scratch(spark, "queries")), _NAMES)
+    blocks = common.materialize(blocks, "blocks")
+    groups = max(1, -(-parts // FAN))  # names of about FAN shards go together
+    near = shards.groupBy("dim", F.pmod(F.xxhash64("part"), F.lit(groups)).alias("group")).agg(F.collect_list("path").alias("shards"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
+    pairs = blocks.select("dim", F.col("path").alias("block"), every).join(near, ["dim", "group"]).select("dim", F.explode("shards").alias("shard"), "block")
+    found = pairs.repartition(max(1, -(-parts * blocks.count() // 4)), "shard", "block").select("dim", "shard", "block").mapInArrow(_search(k, beam), "query_id long, tag long, vec_id long, score double")
+    found = common.materialize(found, "found", rows=4)
     rank = F.row_number().over(Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = common.materialize(usable(common.table(spark, sf_dir, "embeddings")), "vectors")
-    shards = common.materialize(index(v), "graphs")
-    return search(v.where("vec_id % 20 = 0"), shards)
+    return search(v.where("vec_id % 20 = 0"), index(v))
 
 
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
