@@ -30,11 +30,21 @@ def query_tokens(text: Column) -> Column:
     return F.when(F.size(focused) > 0, focused).otherwise(every)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value made once for each row, also where lambdas over arrays use it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ordered_distinct(values: Column) -> Column:
     """Trimmed values, the first spelling of each, empty ones dropped."""
     trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-    seen = F.transform(trimmed, lambda v: F.lower(v))
-    return F.filter(trimmed, lambda v, i: F.array_position(seen, F.lower(v)) == i + 1)
+    return let(trimmed, lambda t: let(F.transform(t, lambda v: F.lower(v)), lambda seen: F.filter(t, lambda v, i: F.array_position(seen, F.lower(v)) == i + 1)))
+
+
+def translated(text: Column, pairs) -> Column:
+    """The terms that stand for words which the text holds, in the order of the pairs."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*[F.when(F.contains(t, F.lit(word)), F.lit(term)) for word, term in pairs]))
 
 
 def judgement_terms(text: Column) -> Column:
@@ -42,7 +52,7 @@ def judgement_terms(text: Column) -> Column:
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9+.#-]*"), F.lit(0))
     bare = lambda w: F.regexp_replace(F.lower(w), r"^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$", "")
     keep = F.filter(words, lambda w: (bare(w) != "") & ~bare(w).isin(*C.JUDGEMENT_STOPWORDS) & ((F.length(bare(w)) > 2) | bare(w).isin("ai", "ml", "cv")))
-    return ordered_distinct(F.transform(keep, lambda w: F.when(F.lower(w).isin(*C.UPPER_TERMS), F.upper(w)).otherwise(w)))
+    return ordered_distinct(F.concat(F.transform(keep, lambda w: F.when(F.lower(w).isin(*C.UPPER_TERMS), F.upper(w)).otherwise(w)), translated(text, C.JUDGEMENT_TRANSLATIONS)))
 
 
 def padded(text: Column) -> Column:
@@ -56,6 +66,13 @@ def contains_term(text: Column, term: Column, pad: Column | None = None) -> Colu
     return (term != "") & F.when(plain, F.contains(padded(text) if pad is None else pad, F.concat(F.lit(" "), term, F.lit(" ")))).otherwise(F.contains(text, term))
 
 
+def contained(terms: Column, text: Column) -> Column:
+    """Those of the terms that contains_term finds in the text: plain ones among its tokens, which are gathered once."""
+    plain = lambda t: t.rlike(r"^[a-z0-9+.#-]+$")
+    tokens_ = F.split(F.regexp_replace(text, r"[^a-z0-9+.#-]+", " "), " ")
+    return F.concat(F.array_intersect(F.filter(terms, plain), tokens_), F.filter(terms, lambda t: (t != "") & ~plain(t) & F.contains(text, t)))
+
+
 def singular(token: Column) -> Column:
     """Plain English plurals to singulars; a result of three letters or fewer is not taken."""
     n = F.length(token)
@@ -166,11 +183,11 @@ def method_terms(text: Column) -> Column:
 
 
 def keyword_terms(text: Column) -> Column:
-    """Latin words that analysis keeps, in order, then the venues."""
+    """Latin words that analysis keeps, in order, then terms for Chinese words, then the venues."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9+.#-]*"), F.lit(0))
     bare = lambda w: F.regexp_replace(F.lower(w), r"^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$", "")
     keep = F.filter(words, lambda w: (bare(w) != "") & ~bare(w).isin(*C.ANALYSIS_STOPWORDS) & ((F.length(bare(w)) > 2) | F.upper(w).isin("AI", "ML", "CV")))
-    return ordered_distinct(F.concat(F.transform(keep, lambda w: F.when(F.lower(w).isin(*C.UPPER_TERMS), F.upper(w)).otherwise(w)), venues(text)))
+    return ordered_distinct(F.concat(F.transform(keep, lambda w: F.when(F.lower(w).isin(*C.KEYWORD_UPPER_TERMS), F.upper(w)).otherwise(w)), translated(text, C.KEYWORD_TRANSLATIONS), venues(text)))
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:

@@ -25,26 +25,62 @@ class Config:
     time_early_far: float = -0.15
     time_early_near: float = -0.08
     time_late: float = -0.06
+    missing_abstract: float = 0.0
+    missing_metadata: float = 0.0
+    coverage_bonus: float = 0.02
+    coverage_bonus_cap: float = 0.08
+    coverage_penalty: float = -0.06
+    broad_topic_cap: float = 0.68
+    dataset_penalty: float = -0.08
+
+
+#: What a query may ask for; each has a column of an analysed query.
+CONSTRAINTS = ("must", "methods", "datasets", "types", "venues", "years", "excludes")
 
 
 def analysed(queries: DataFrame, as_of_year: int) -> DataFrame:
-    """queries (query_id, text) plus language, intent, domain, keywords, methods, datasets, venues, years, types."""
+    """queries (query_id, text) plus language, intent, domain, keywords and what is asked for, as far as the text tells;
+    required terms are the keywords then. `explicit` names what a user has set, which is nothing yet; own_terms are the words
+    of the text that a judgement compares."""
     t = F.col("text")
     low = F.lower(t)
-    types = F.filter(T.words_of(C.PAPER_TYPE_TERMS), lambda k: F.lit(False))
+    none = F.array().cast("array<string>")
+    types = none
     for name, words in C.PAPER_TYPE_TERMS.items():
         types = F.when(T.contains_any(low, words), F.concat(types, F.array(F.lit(name)))).otherwise(types)
-    return queries.select("*", T.language(t).alias("language"), T.intent(t).alias("intent"), T.domain(t).alias("domain"), T.keyword_terms(t).alias("keywords"),
-                          T.method_terms(t).alias("methods"), T.dataset_terms(t).alias("datasets"), T.venues(t).alias("venues"), T.time_range(t, as_of_year).alias("years"), types.alias("types"))
+    return queries.select("*", T.language(t).alias("language"), T.intent(t).alias("intent"), T.domain(t).alias("domain"), T.keyword_terms(t).alias("keywords"), T.keyword_terms(t).alias("must"),
+                          T.method_terms(t).alias("methods"), T.dataset_terms(t).alias("datasets"), T.venues(t).alias("venues"), T.time_range(t, as_of_year).alias("years"), types.alias("types"),
+                          none.alias("excludes"), none.alias("explicit"), T.judgement_terms(t).alias("own_terms"))
+
+
+def overlay(queries: DataFrame, explicit: DataFrame) -> DataFrame:
+    """Analysed queries with what `explicit` (query_id and some of CONSTRAINTS) sets instead of what was inferred.
+
+    Only values that are neither null nor empty count; their names are added to `explicit`. One row per query.
+    """
+    e = explicit.select("query_id", *[F.col(c).alias(f"_{c}") for c in CONSTRAINTS if c in explicit.columns])
+    d = queries.join(e, "query_id", "left")
+    given = {c: F.col(f"_{c}").isNotNull() & (F.lit(True) if c == "years" else F.size(F.coalesce(F.col(f"_{c}"), F.array())) > 0) for c in CONSTRAINTS if f"_{c}" in e.columns}
+    names = F.array_compact(F.array(*[F.when(g, F.lit(c)) for c, g in given.items()])) if given else F.array().cast("array<string>")
+    return d.withColumns({**{c: F.when(g, F.col(f"_{c}")).otherwise(F.col(c)) for c, g in given.items()}, "explicit": F.array_union("explicit", names)}).drop(*[f"_{c}" for c in given])
+
+
+def lowered(terms: Column) -> Column:
+    """Distinct terms in lower case, empty ones dropped."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.lower(t)), lambda t: F.trim(t) != ""))
+
+
+def matched(terms: Column) -> Column:
+    """How many of the terms the paper has, over the column _in of all that it has."""
+    return F.size(F.array_intersect(terms, F.col("_in")))
 
 
 def signal(terms: Column, kind: str) -> Column:
-    """Per term the title's weight, else the abstract's, capped after summing. Over the columns _t, _a (lower-case
-    title and abstract) and their padded forms _tp, _ap, which are made once."""
+    """The title's or else the abstract's weight for each distinct term, capped after summing, over the columns _in_title and
+    _in_abstract of the terms that either has."""
     in_title, in_abstract, cap = C.SIGNALS[kind]
-    has = lambda c, t: T.contains_term(F.col(c), F.lower(t), F.col(c + "p"))
-    one = lambda t: F.when(has("_t", t), in_title).when(has("_a", t), in_abstract).otherwise(0.0)
-    return F.least(F.lit(cap), F.aggregate(F.transform(terms, one), F.lit(0.0), lambda s, x: s + x))
+    n = lambda found: F.size(F.array_intersect(terms, F.col(found)))
+    return F.least(F.lit(cap), n("_in_title") * F.lit(in_title) + n("_in_abstract") * F.lit(in_abstract))
 
 
 def time_signal(years: Column, year: Column, c: Config) -> Column:
@@ -61,40 +97,104 @@ def category(score: Column) -> Column:
     return out
 
 
+ORDER = (*[name for name, _ in C.THRESHOLDS], "irrelevant", "insufficient_evidence")
+
+
+def worse(a: Column, b: Column) -> Column:
+    place = lambda c: F.array_position(T.words_of(ORDER), c)
+    return F.when(place(b) > place(a), b).otherwise(a)
+
+
+def completeness(title: Column, abstract: Column, authors: Column, year: Column, identifiers: Column) -> Column:
+    """The share of five fields that a record has: title, abstract, authors, year, an identifier."""
+    has = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return F.round((has(F.trim(title) != "") + has(F.trim(abstract) != "") + has(authors > 0) + has(year.isNotNull()) + has(identifiers > 0)) / 5.0, 4)
+
+
+def coverage_adjustment(score: Column, coverages: Column, topic_terms: Column, topic_matched: Column, c: Config) -> Column:
+    """The score after a bonus for two or more well covered demands, or a penalty and a cap if there are several demands and
+    at most one is covered. coverages: the covered share of each demand (0.9 is well covered)."""
+    n, strong = F.size(coverages), F.size(F.filter(coverages, lambda x: x >= 0.9))
+    mean = F.aggregate(coverages, F.lit(0.0), lambda s, x: s + x) / n
+    out = (F.when((n >= 2) & (strong >= 2) & (mean >= 0.6), score + F.least(F.lit(c.coverage_bonus_cap), strong * c.coverage_bonus))
+           .when((n >= 2) & (strong <= 1), F.least(score + c.coverage_penalty, 0.5 + 0.25 * mean)).otherwise(score))
+    broad = (topic_terms >= 3) & (topic_matched <= 1) & (strong <= 1)
+    return F.when(n == 0, score).when(broad, F.least(out, F.lit(c.broad_topic_cap))).otherwise(out)
+
+
+#: The components of a score, in the order in which they are added.
+PARTS = ("topic", "must", "method", "dataset", "paper_type", "domain_match", "venue", "temporal", "venue_penalty", "temporal_penalty", "type_penalty", "abstract_penalty", "metadata_penalty")
+#: Sums of a match and its penalty, which ablation takes away together.
+PAIRED = {"type": ("paper_type", "type_penalty"), "venue_match": ("venue", "venue_penalty"), "time": ("temporal", "temporal_penalty")}
+
+
 def judge(candidates: DataFrame, config: Config = Config()) -> DataFrame:
-    """candidates hold an analysed query and a paper (title, abstract, venue, year): adds each component, score, category.
+    """candidates hold an analysed query and a paper (title, abstract, venue, year; n_authors and n_ids if known): adds each of
+    PARTS (and PAIRED) as s_<part>, the coverage adjustment, score and category.
 
-    Excluded terms, if the query has `excludes`, make a candidate irrelevant with score 0; being out of the asked
-    years caps the score just under the first threshold.
+    The sum is adjusted by how well the demands are covered, clamped and rounded. Then hard constraints: an excluded term
+    gives score 0 and irrelevant; a missing explicit required term or a year out of range keeps the score under the first
+    threshold; missing explicit data sets or paper types cost a penalty. Nulls are empty; a paper without title and
+    abstract has insufficient evidence.
     """
-    title, abstract = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("abstract", F.lit("")))
-    d = candidates.withColumns({"_t": title, "_a": abstract}).withColumns({"_tp": T.padded(F.col("_t")), "_ap": T.padded(F.col("_a"))})
-    t, a = F.col("_t"), F.col("_a")
-    found_types = F.lit(0)
-    for name, words in C.PAPER_TYPE_TERMS.items():
-        hit = T.contains_any(t, words) | T.contains_any(a, words)
-        found_types = found_types + F.when(F.array_contains("types", name) & hit, 1).otherwise(0)
-    domain_terms = F.lit(None).cast("array<string>")
+    c = config
+    none = F.array().cast("array<string>")
+    d = candidates.withColumns({x: none for x in ("must", "methods", "datasets", "types", "venues", "excludes", "explicit") if x not in candidates.columns})
+    d = d.withColumns({"_t": F.lower(F.coalesce("title", F.lit(""))), "_a": F.lower(F.coalesce("abstract", F.lit("")))})
+    domain_terms = none
     for name, words in C.DOMAIN_TERMS.items():
         domain_terms = F.when(F.col("domain") == name, T.words_of(words)).otherwise(domain_terms)
+    own = F.col("own_terms") if "own_terms" in d.columns else T.judgement_terms(F.col("text"))
+    d = d.withColumns({"_own": lowered(own), "_must": lowered(F.col("must")), "_methods": lowered(F.col("methods")), "_datasets": lowered(F.col("datasets"))})
+    d = d.withColumns({"_topic": F.array_union(F.array_union("_own", "_must"), F.array_union("_methods", "_datasets")), "_domain": domain_terms, "_excludes": lowered(F.col("excludes"))})
+    every = F.array_union(F.array_union("_topic", "_domain"), F.array_union("_excludes", T.words_of(sorted({w for words in C.PAPER_TYPE_TERMS.values() for w in words}))))
+    d = d.withColumn("_in_title", T.contained(every, F.col("_t")))
+    d = d.withColumn("_in_abstract", T.contained(F.array_except(every, "_in_title"), F.col("_a"))).withColumn("_in", F.concat("_in_title", "_in_abstract"))
+    found_types = F.lit(0)
+    for name, words in C.PAPER_TYPE_TERMS.items():
+        found_types = found_types + F.when(F.array_contains("types", name) & F.arrays_overlap("_in", T.words_of(words)), 1).otherwise(0)
     vkey = T.venue_key(F.coalesce("venue", F.lit("")))
-    venue_hit = F.exists("venues", lambda v: F.contains(vkey, T.venue_key(v)))
-    parts = {
-        "topic": signal(F.col("keywords"), "topic"), "method": signal(F.col("methods"), "method"), "dataset": signal(F.col("datasets"), "dataset"),
-        "domain_match": signal(domain_terms, "domain"),
-        "type": F.when(F.size("types") == 0, 0.0).when(found_types > 0, F.least(F.lit(config.type_cap), found_types * config.type_bonus)).otherwise(config.type_penalty),
-        "venue_match": F.when(F.size("venues") == 0, 0.0).when(venue_hit, config.venue_bonus).otherwise(config.venue_penalty),
-        "time": time_signal(F.col("years"), F.col("year"), config),
-    }
+    d = d.withColumns({"_types": found_types, "_venue": F.exists("venues", lambda v: F.contains(vkey, T.venue_key(v))) & (vkey != ""),
+                       "_time": time_signal(F.col("years"), F.col("year"), c), "_out": F.coalesce((F.col("year") < F.col("years.start_year")) | (F.col("year") > F.col("years.end_year")), F.lit(False))})
+    asked = lambda x: F.size(x) > 0
+    zero = F.lit(0.0)
+    have = lambda x: F.col(x) if x in d.columns else F.lit(1)
+    whole = completeness(F.col("_t"), F.col("_a"), have("n_authors"), F.col("year"), have("n_ids"))
+    parts = dict(zip(PARTS, (
+        signal(F.col("_topic"), "topic"), signal(F.col("_must"), "must"), signal(F.col("_methods"), "method"), signal(F.col("_datasets"), "dataset"),
+        F.least(F.lit(c.type_cap), F.col("_types") * c.type_bonus), signal(F.col("_domain"), "domain"),
+        F.when(asked("venues") & F.col("_venue"), c.venue_bonus).otherwise(zero), F.greatest(F.col("_time"), zero),
+        F.when(asked("venues") & ~F.col("_venue"), c.venue_penalty).otherwise(zero), F.least(F.col("_time"), zero),
+        F.when(asked("types") & (F.col("_types") == 0), c.type_penalty).otherwise(zero),
+        F.when(F.trim("_a") == "", -c.missing_abstract).otherwise(zero), -c.missing_metadata * (1 - whole))))
     d = d.withColumns({f"s_{k}": F.round(v, 6) for k, v in parts.items()})
-    total = sum((F.col(f"s_{k}") for k in parts), F.lit(0.0))
-    outside = F.coalesce((F.col("year") < F.col("years.start_year")) | (F.col("year") > F.col("years.end_year")), F.lit(False))
-    score = F.round(T.clamp(total), 4)
-    high = C.THRESHOLDS[0][1]
-    score = F.when(outside, F.least(score, F.lit(round(high - 0.0001, 4)))).otherwise(score)
-    if "excludes" in candidates.columns:
-        score = F.when(F.exists("excludes", lambda x: T.contains_term(t, F.lower(x)) | T.contains_term(a, F.lower(x))), 0.0).otherwise(score)
-    return d.withColumn("score", score).withColumn("category", category(F.col("score"))).drop("_t", "_a", "_tp", "_ap")
+    d = d.withColumns({f"s_{k}": F.round(F.col(f"s_{a}") + F.col(f"s_{b}"), 6) for k, (a, b) in PAIRED.items()})
+    share = lambda f: matched(F.col(f)) / F.size(f)
+    explicit = lambda x: F.array_contains("explicit", x)
+    same = (F.size(F.array_except("_must", "_own")) == 0) & (F.size(F.array_except("_own", "_must")) == 0)
+    yes = lambda x: F.when(x, 1.0).otherwise(0.0)
+    coverages = F.array_compact(F.array(
+        F.when(asked("_own"), share("_own")), F.when(asked("_methods"), share("_methods")), F.when(asked("_datasets"), share("_datasets")),
+        F.when(asked("_must") & (explicit("must") | ~same), share("_must")), F.when(asked("types"), F.col("_types") / F.size("types")),
+        F.when(asked("venues"), yes(F.col("_venue"))), F.when(F.col("years").isNotNull(), yes(F.col("year").isNotNull() & ~F.col("_out")))))
+    total = sum((F.col(f"s_{k}") for k in PARTS), zero)
+    d = d.withColumn("_sum", total).withColumn("_score", coverage_adjustment(F.col("_sum"), coverages, F.size("_own"), matched(F.col("_own")), c)).withColumn("coverage_adjustment", F.round(F.col("_score") - F.col("_sum"), 6))
+    blank = (F.trim("_t") == "") & (F.trim("_a") == "")
+    first = C.THRESHOLDS[0][1]
+    below = F.lit(round(first - 0.0001, 4))
+    d = d.withColumn("_score", F.when(blank, 0.0).otherwise(F.round(T.clamp(F.col("_score")), 4))).withColumn("_category", F.when(blank, "insufficient_evidence").otherwise(category(F.col("_score"))))
+    partial = F.lit(C.THRESHOLDS[1][0])
+    steps = [  # condition, score then, category then
+        (explicit("must") & (matched(F.col("_must")) < F.size("_must")), lambda s: F.least(s, below), lambda s: partial),
+        (asked("_datasets") & explicit("datasets") & (matched(F.col("_datasets")) == 0), lambda s: F.greatest(s + c.dataset_penalty, zero), category),
+        (asked("types") & (F.col("_types") == 0), lambda s: F.greatest(s + c.type_penalty, zero), category),
+        (F.col("_out"), lambda s: F.least(s, below), lambda s: partial)]
+    for when, then, least in steps:
+        d = d.withColumn("_next", F.when(when, then(F.col("_score"))).otherwise(F.col("_score")))
+        d = d.withColumn("_category", F.when(when, worse(F.col("_category"), least(F.col("_next")))).otherwise(F.col("_category"))).withColumn("_score", F.col("_next"))
+    excluded = matched(F.col("_excludes")) > 0
+    d = d.withColumns({"score": F.when(excluded, 0.0).otherwise(F.round(T.clamp(F.col("_score")), 4)), "category": F.when(excluded, "irrelevant").otherwise(F.col("_category"))})
+    return d.drop(*[x for x in d.columns if x.startswith("_")])
 
 
 def authority(citations: Column, sources: Column, identifiers: Column, venue: Column) -> Column:
@@ -162,6 +262,6 @@ def soft_rank(ranked: DataFrame, weight: float = 0.02) -> DataFrame:
 
 
 def ablation(judged: DataFrame, rule: str) -> DataFrame:
-    """Score and category without one component."""
+    """Score and category without one component (of PARTS), by thresholds alone."""
     score = F.round(T.clamp(F.col("score") - F.col(f"s_{rule}")), 4)
     return judged.withColumn("ablated", score).withColumn("ablated_category", category(score))

@@ -95,7 +95,7 @@ def analysed(spark, sf_dir):
     return materialize(judgement.analysed(B.queries(spark, sf_dir), B.AS_OF), "analysed")
 
 
-KEYWORDS = rf"""kw AS (SELECT query_id, pos, CASE WHEN lower(w) IN ({B.sql_list(C.UPPER_TERMS)}) THEN upper(w) ELSE w END AS w FROM (
+KEYWORDS = rf"""kw AS (SELECT query_id, pos, CASE WHEN lower(w) IN ({B.sql_list(C.KEYWORD_UPPER_TERMS)}) THEN upper(w) ELSE w END AS w FROM (
   SELECT query_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM (SELECT query_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+.#-]*') AS ws FROM queries))
   WHERE rtrim(lower(w), '.') <> '' AND rtrim(lower(w), '.') NOT IN ({B.sql_list(C.ANALYSIS_STOPWORDS)}) AND (length(rtrim(lower(w), '.')) > 2 OR upper(w) IN ('AI', 'ML', 'CV'))),
 keys AS (SELECT query_id, list(w ORDER BY pos) AS keywords FROM (SELECT query_id, w, pos, row_number() OVER (PARTITION BY query_id, lower(w) ORDER BY pos) AS n FROM kw) WHERE n = 1 GROUP BY query_id)"""
@@ -134,8 +134,20 @@ def term_coverage(spark, sf_dir):
     return planning.coverage(analysed(spark, sf_dir), found)
 
 
+def constrained(spark, sf_dir):
+    """The queries with explicit demands made of their own words, so that every rule has cases."""
+    q = analysed(spark, sf_dir)
+    j, i = T.judgement_terms(F.col("text")), F.col("query_id")
+    some = lambda n, r, v: F.when(i % n == r, v)
+    bare = q.withColumns({c: F.array().cast("array<string>") for c in ("methods", "datasets", "venues", "types")}).withColumn("years", F.lit(None).cast("struct<start_year:int,end_year:int,label:string>"))
+    wanted = F.struct(F.lit(2000).cast("int").alias("start_year"), F.lit(2015).cast("int").alias("end_year"), F.lit("explicit").alias("label"))
+    explicit = q.select("query_id", some(3, 0, F.slice(j, 1, 2)).alias("must"), some(5, 0, F.slice(j, 4, 2)).alias("methods"), some(4, 0, F.slice(j, 3, 1)).alias("datasets"),
+                        some(6, 0, F.array(F.lit("method"), F.lit("survey"))).alias("types"), some(3, 1, F.array(F.lit("EN"))).alias("venues"), some(7, 0, wanted).alias("years"), some(11, 0, F.slice(j, 6, 1)).alias("excludes"))
+    return materialize(judgement.overlay(bare, explicit), "constrained")
+
+
 def candidates(spark, sf_dir):
-    return B.ranked(spark, sf_dir).select("query_id", "doc").join(analysed(spark, sf_dir), "query_id").join(B.papers(spark, sf_dir), "doc")
+    return B.ranked(spark, sf_dir).select("query_id", "doc").join(constrained(spark, sf_dir), "query_id").join(B.papers(spark, sf_dir), "doc")
 
 
 def padded(x: str) -> str:
@@ -146,44 +158,111 @@ def hit_sql(text: str, term: str) -> str:
     return f"CASE WHEN regexp_full_match({term}, '[a-z0-9+.#-]+') THEN contains({text}_p, ' ' || {term} || ' ') ELSE contains({text}, {term}) END"
 
 
-def signal_sql(terms: str, kind: str) -> str:
-    a, b, cap = C.SIGNALS[kind]
-    return f"least({cap}::DOUBLE, coalesce(list_sum(list_transform({terms}, lambda w: CASE WHEN {hit_sql('t', 'lower(w)')} THEN {a}::DOUBLE WHEN {hit_sql('a', 'lower(w)')} THEN {b}::DOUBLE ELSE 0::DOUBLE END)), 0))"
-
-
-TOPIC = f"""cand AS (SELECT query_id, doc, p.title, p.abstract, lower(p.title) AS t, lower(p.abstract) AS a, {padded('lower(p.title)')} AS t_p, {padded('lower(p.abstract)')} AS a_p, coalesce(keywords, []) AS keywords, {DOMAIN.replace('text', 'q.text')} AS domain
-  FROM ranked JOIN queries q USING (query_id) LEFT JOIN keys USING (query_id) JOIN papers p USING (doc)),
-scores AS (SELECT query_id, doc, round({signal_sql('keywords', 'topic')}, 6) AS s_topic, round(CASE domain {' '.join(f"WHEN '{k}' THEN {signal_sql('[' + B.sql_list(v) + ']', 'domain')}" for k, v in C.DOMAIN_TERMS.items())} END, 6) AS s_domain_match FROM cand)"""
+def places_sql(terms: str) -> str:
+    return f"list_transform({terms}, lambda w: CASE WHEN {hit_sql('t', 'w')} THEN 2 WHEN {hit_sql('a', 'w')} THEN 1 ELSE 0 END)"
 
 
-@query(f"WITH {B.BASE}, {B.PAPERS}, {B.bm25_sql('ranked')}, {KEYWORDS}, {TOPIC} SELECT query_id, doc, s_topic, s_domain_match FROM scores")
+def signal_sql(found: str, kind: str) -> str:
+    a, b, cap = C.SIGNALS[kind]
+    n = lambda p: f"len(list_filter({found}, lambda x: x = {p}))"
+    return f"round(least({cap}::DOUBLE, {n(2)} * {a}::DOUBLE + {n(1)} * {b}::DOUBLE), 6)"
+
+
+def share_sql(found: str) -> str:
+    return f"len(list_filter({found}, lambda x: x > 0)) / len({found})::DOUBLE"
+
+
+def category_sql(score: str) -> str:
+    return "CASE " + " ".join(f"WHEN {score} >= {least} THEN '{name}'" for name, least in C.THRESHOLDS) + " ELSE 'irrelevant' END"
+
+
+def worse_sql(a: str, b: str) -> str:
+    order = f"[{B.sql_list(judgement.ORDER)}]"
+    return f"CASE WHEN list_position({order}, {b}) > list_position({order}, {a}) THEN {b} ELSE {a} END"
+
+
+CONFIG = judgement.Config(B.AS_OF)
+OWN = rf"""own AS (SELECT query_id, coalesce(list(w ORDER BY pos), []) AS own FROM (SELECT query_id, w, pos, row_number() OVER (PARTITION BY query_id, w ORDER BY pos) AS n FROM (
+  SELECT query_id, generate_subscripts(ws, 1) AS pos, lower(unnest(ws)) AS w FROM (SELECT query_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+.#-]*') AS ws FROM queries))
+  WHERE rtrim(w, '.') <> '' AND rtrim(w, '.') NOT IN ({B.sql_list(C.JUDGEMENT_STOPWORDS)}) AND (length(rtrim(w, '.')) > 2 OR rtrim(w, '.') IN ('ai', 'ml', 'cv'))) WHERE n = 1 GROUP BY query_id)"""
+ASKED = f"""wants AS (SELECT query_id, text, own, {DOMAIN} AS domain, ({INTENT}) AS intent, CASE WHEN query_id % 3 = 0 AND len(own) > 0 THEN own[1:2] ELSE list_distinct(list_transform(coalesce(keywords, []), lambda x: lower(x))) END AS must,
+  query_id % 3 = 0 AND len(own) > 0 AS explicit_must, CASE WHEN query_id % 5 = 0 THEN own[4:5] ELSE [] END AS methods, CASE WHEN query_id % 4 = 0 THEN own[3:3] ELSE [] END AS datasets, query_id % 6 = 0 AS typed, query_id % 3 = 1 AS placed,
+  CASE WHEN query_id % 7 = 0 THEN 2000 END AS start_year, CASE WHEN query_id % 7 = 0 THEN 2015 END AS end_year, CASE WHEN query_id % 11 = 0 THEN own[6:6] ELSE [] END AS excludes
+  FROM (SELECT *, ' ' || lower(text) || ' ' AS t FROM queries) LEFT JOIN own USING (query_id) LEFT JOIN keys USING (query_id))"""
+JUDGED = f"""cand AS (SELECT *, lower(title) AS t, lower(abstract) AS a, {padded('lower(title)')} AS t_p, {padded('lower(abstract)')} AS a_p FROM (SELECT query_id, doc FROM ranked) JOIN wants USING (query_id) JOIN papers USING (doc)),
+hits AS MATERIALIZED (SELECT *, {places_sql('list_distinct(list_concat(own, must, methods, datasets))')} AS f_topic, {places_sql('own')} AS f_own, {places_sql('must')} AS f_must, {places_sql('methods')} AS f_methods, {places_sql('datasets')} AS f_datasets,
+  {places_sql('excludes')} AS f_excludes, CASE domain {' '.join(f"WHEN '{k}' THEN " + places_sql('[' + B.sql_list(v) + ']') for k, v in C.DOMAIN_TERMS.items())} END AS f_domain,
+  CASE WHEN typed THEN {' + '.join('CASE WHEN len(list_filter(' + places_sql('[' + B.sql_list(C.PAPER_TYPE_TERMS[k]) + ']') + ', lambda x: x > 0)) > 0 THEN 1 ELSE 0 END' for k in ('method', 'survey'))} ELSE 0 END AS n_types,
+  contains(regexp_replace(lower(venue), '[\\s_-]+', '', 'g'), 'en') AS v, coalesce(year < start_year OR year > end_year, false) AS outside FROM cand),
+part AS MATERIALIZED (SELECT *, {signal_sql('f_topic', 'topic')} AS s_topic, {signal_sql('f_must', 'must')} AS s_must, {signal_sql('f_methods', 'method')} AS s_method, {signal_sql('f_datasets', 'dataset')} AS s_dataset, {signal_sql('f_domain', 'domain')} AS s_domain_match,
+  least({CONFIG.type_cap}::DOUBLE, n_types * {CONFIG.type_bonus}::DOUBLE) AS s_paper_type, CASE WHEN placed AND v THEN {CONFIG.venue_bonus}::DOUBLE ELSE 0 END AS s_venue, CASE WHEN placed AND NOT v THEN {CONFIG.venue_penalty}::DOUBLE ELSE 0 END AS s_venue_penalty,
+  CASE WHEN typed AND n_types = 0 THEN {CONFIG.type_penalty}::DOUBLE ELSE 0 END AS s_type_penalty,
+  CASE WHEN start_year IS NULL THEN 0::DOUBLE WHEN year <= start_year - 2 THEN {CONFIG.time_early_far} WHEN year < start_year THEN {CONFIG.time_early_near} WHEN year > end_year THEN {CONFIG.time_late} ELSE {CONFIG.time_bonus} END AS tm FROM hits),
+summed AS MATERIALIZED (SELECT *, greatest(tm, 0) AS s_temporal, least(tm, 0) AS s_temporal_penalty, 0::DOUBLE + s_topic + s_must + s_method + s_dataset + s_paper_type + s_domain_match + s_venue + greatest(tm, 0) + s_venue_penalty + least(tm, 0) + s_type_penalty AS raw,
+  list_filter([CASE WHEN len(own) > 0 THEN {share_sql('f_own')} END, CASE WHEN len(methods) > 0 THEN {share_sql('f_methods')} END, CASE WHEN len(datasets) > 0 THEN {share_sql('f_datasets')} END,
+    CASE WHEN len(must) > 0 AND (explicit_must OR list_sort(must) <> list_sort(own)) THEN {share_sql('f_must')} END, CASE WHEN typed THEN n_types / 2::DOUBLE END, CASE WHEN placed THEN CASE WHEN v THEN 1::DOUBLE ELSE 0 END END,
+    CASE WHEN start_year IS NOT NULL THEN CASE WHEN outside THEN 0::DOUBLE ELSE 1 END END], lambda x: x IS NOT NULL) AS cov FROM part),
+means AS (SELECT *, len(cov) AS n_cov, len(list_filter(cov, lambda x: x >= 0.9)) AS strong, list_sum(cov) / len(cov) AS mean, len(own) >= 3 AND len(list_filter(f_own, lambda x: x > 0)) <= 1 AS broad FROM summed),
+bonus AS MATERIALIZED (SELECT *, CASE WHEN n_cov >= 2 AND strong >= 2 AND mean >= 0.6 THEN raw + least({CONFIG.coverage_bonus_cap}::DOUBLE, strong * {CONFIG.coverage_bonus}::DOUBLE) WHEN n_cov >= 2 AND strong <= 1 THEN least(raw + {CONFIG.coverage_penalty}::DOUBLE, 0.5::DOUBLE + 0.25::DOUBLE * mean) ELSE raw END AS adj FROM means),
+capped AS (SELECT *, CASE WHEN n_cov = 0 THEN raw WHEN broad AND strong <= 1 THEN least(adj, {CONFIG.broad_topic_cap}::DOUBLE) ELSE adj END AS full_score FROM bonus),
+first AS MATERIALIZED (SELECT *, trim(t) = '' AND trim(a) = '' AS blank, round(least(greatest(full_score, 0), 1), 4) AS clamped FROM capped),
+c0 AS MATERIALIZED (SELECT *, CASE WHEN blank THEN 0::DOUBLE ELSE clamped END AS sc, CASE WHEN blank THEN 'insufficient_evidence' ELSE {category_sql('clamped')} END AS ca FROM first),
+c1 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN m THEN least(sc, 0.7199::DOUBLE) ELSE sc END AS sc, CASE WHEN m THEN {worse_sql('ca', "'partially_relevant'")} ELSE ca END AS ca) FROM (SELECT *, explicit_must AND len(list_filter(f_must, lambda x: x > 0)) < len(must) AS m FROM c0)),
+c2 AS MATERIALIZED (SELECT * REPLACE (nx AS sc, CASE WHEN d THEN {worse_sql('ca', '(' + category_sql('nx') + ')')} ELSE ca END AS ca) FROM (SELECT *, CASE WHEN d THEN greatest(sc + {CONFIG.dataset_penalty}::DOUBLE, 0) ELSE sc END AS nx FROM (SELECT *, len(datasets) > 0 AND len(list_filter(f_datasets, lambda x: x > 0)) = 0 AS d FROM c1))),
+c3 AS MATERIALIZED (SELECT * EXCLUDE (nx) REPLACE (nx AS sc, CASE WHEN y THEN {worse_sql('ca', '(' + category_sql('nx') + ')')} ELSE ca END AS ca) FROM (SELECT * EXCLUDE (nx), CASE WHEN y THEN greatest(sc + {CONFIG.type_penalty}::DOUBLE, 0) ELSE sc END AS nx FROM (SELECT *, typed AND n_types = 0 AS y FROM c2))),
+c4 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN outside THEN least(sc, 0.7199::DOUBLE) ELSE sc END AS sc, CASE WHEN outside THEN {worse_sql('ca', "'partially_relevant'")} ELSE ca END AS ca) FROM c3),
+judged AS MATERIALIZED (SELECT *, len(list_filter(f_excludes, lambda x: x > 0)) > 0 AS ex, CASE WHEN len(list_filter(f_excludes, lambda x: x > 0)) > 0 THEN 0::DOUBLE ELSE round(least(greatest(sc, 0), 1), 4) END AS score, CASE WHEN len(list_filter(f_excludes, lambda x: x > 0)) > 0 THEN 'irrelevant' ELSE ca END AS category FROM c4)"""
+JUDGE = f"{B.BASE}, {B.PAPERS}, {B.bm25_sql('ranked')}, {KEYWORDS}, {OWN}, {ASKED}, {JUDGED}"
+
+
+@query(f"WITH {JUDGE} SELECT query_id, doc, s_topic, s_domain_match FROM judged")
 def judgement_signals(spark, sf_dir):
-    return judgement.judge(candidates(spark, sf_dir), judgement.Config(B.AS_OF)).select("query_id", "doc", "s_topic", "s_domain_match")
+    return judgement.judge(candidates(spark, sf_dir), CONFIG).select("query_id", "doc", "s_topic", "s_domain_match")
 
 
 def judged(spark, sf_dir):
-    return materialize(judgement.judge(candidates(spark, sf_dir), judgement.Config(B.AS_OF)), "judged")
+    return materialize(judgement.judge(candidates(spark, sf_dir), CONFIG), "judged")
 
 
-@query()
+@query(f"WITH {JUDGE} SELECT query_id, doc, s_must, s_method, s_dataset, s_paper_type, s_venue, s_temporal, s_venue_penalty, s_temporal_penalty, s_type_penalty, round(full_score - raw, 6) AS coverage_adjustment, score, category FROM judged")
+def judgement_components(spark, sf_dir):
+    j = judged(spark, sf_dir)
+    return j.select("query_id", "doc", *[f"s_{x}" for x in judgement.PARTS if x not in ("topic", "domain_match", "abstract_penalty", "metadata_penalty")], "coverage_adjustment", "score", "category")
+
+
+@query(f"WITH {JUDGE} SELECT category, count(*) AS n, round(avg(score), 6) AS mean FROM judged GROUP BY category")
 def judged_categories(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query()
+def weights_sql(i: int) -> str:
+    return "CASE intent " + " ".join(f"WHEN '{k}' THEN {w[i]}::DOUBLE" for k, w in C.INTENT_WEIGHTS.items()) + f" ELSE {C.OTHER_WEIGHTS[i]}::DOUBLE END"
+
+
+TIERS = f"[{B.sql_list(C.CATEGORY_MULTIPLIER)}]"
+FINAL = f"""broken AS MATERIALIZED (SELECT *, round(0.65::DOUBLE * least(log10(citation_count + 1.0::DOUBLE) / log10(1001.0::DOUBLE), 1) + 0.15::DOUBLE * least(n_sources / 3.0::DOUBLE, 1) + 0.12::DOUBLE * least(n_ids / 5.0::DOUBLE, 1) + CASE WHEN placed THEN CASE WHEN s_venue > 0 THEN 0.12::DOUBLE ELSE 0 END WHEN venue <> '' THEN 0.08::DOUBLE ELSE 0 END, 6) AS authority,
+  round(CASE WHEN start_year IS NOT NULL THEN CASE WHEN outside THEN 0 ELSE 0.7::DOUBLE + 0.3::DOUBLE * (year - start_year) / (end_year - start_year) END ELSE 1 - least(greatest(0, {B.AS_OF} - year), 12) / 12.0::DOUBLE END, 6) AS timeliness,
+  round(CASE WHEN title <> '' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN abstract <> '' THEN 0.25::DOUBLE ELSE 0 END + 0.15::DOUBLE + CASE WHEN venue <> '' THEN 0.15::DOUBLE ELSE 0 END + 0.1::DOUBLE + 0.15::DOUBLE * least(n_ids / 5.0::DOUBLE, 1), 6) AS metadata FROM judged),
+final AS (SELECT *, round(({weights_sql(0)} * score + {weights_sql(1)} * authority + {weights_sql(2)} * timeliness + {weights_sql(3)} * metadata) * CASE category {' '.join(f"WHEN '{k}' THEN {m}::DOUBLE" for k, m in C.CATEGORY_MULTIPLIER.items())} END, 4) AS final FROM broken),
+reranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_position({TIERS}, category), final DESC, score DESC, citation_count DESC, year DESC, lower(title), sha256(doc::VARCHAR)) AS rank FROM final)"""
+
+
+@query(f"WITH {JUDGE}, {FINAL} SELECT query_id, doc, CAST(rank AS INTEGER) AS rank, category, score, authority, timeliness, metadata, final FROM reranked")
 def reranked(spark, sf_dir):
-    r = judgement.rerank(judgement.breakdown(judged(spark, sf_dir), judgement.Config(B.AS_OF)))
+    r = judgement.rerank(judgement.breakdown(judged(spark, sf_dir), CONFIG))
     return r.select("query_id", "doc", "rank", "category", "score", "authority", "timeliness", "metadata", "final")
 
 
-@query()
+@query(f"""WITH {JUDGE}, {FINAL}, q AS (SELECT query_id, doc, category, rank, final, ((CASE WHEN title <> '' THEN 1::DOUBLE ELSE 0 END + CASE WHEN abstract <> '' THEN 1::DOUBLE ELSE 0 END + 1 + CASE WHEN venue <> '' THEN 1::DOUBLE ELSE 0 END) / 4
+  + least(n_sources / 2.0::DOUBLE, 1) + least(n_ids / 3.0::DOUBLE, 1) + 0) / 4 AS quality FROM reranked)
+SELECT query_id, doc, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_position({TIERS}, category), round(final + 0.02::DOUBLE * quality, 6) DESC, rank) AS INTEGER) AS soft_rank, round(quality, 6) AS quality FROM q""")
 def quality_soft_rank(spark, sf_dir):
-    r = judgement.rerank(judgement.breakdown(judged(spark, sf_dir), judgement.Config(B.AS_OF)))
+    r = judgement.rerank(judgement.breakdown(judged(spark, sf_dir), CONFIG))
     q = judgement.quality(F.col("title"), F.col("abstract"), F.col("year"), F.col("venue"), F.col("n_sources"), F.col("n_ids"), F.lit(False))
     return judgement.soft_rank(r.withColumn("quality", q)).select("query_id", "doc", "rank", "soft_rank", F.round("quality", 6).alias("quality"))
 
 
-@query()
+@query(f"WITH {JUDGE}, x AS (SELECT category, round(least(greatest(score - s_topic, 0), 1), 4) AS ablated FROM judged) SELECT category, {category_sql('ablated')} AS ablated_category, count(*) AS n FROM x GROUP BY ALL")
 def rule_ablation(spark, sf_dir):
     return judgement.ablation(judged(spark, sf_dir), "topic").groupBy("category", "ablated_category").agg(F.count(F.lit(1)).alias("n"))
 
