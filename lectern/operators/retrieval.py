@@ -41,6 +41,32 @@ def bm25(queries: DataFrame, post: DataFrame, docs: DataFrame, k1: float = 1.2,
     return hit.groupBy("query_id", "doc").agg(F.sum(s).alias("score"))
 
 
+def hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, dl, term, tf) of the terms that any query (query_id, terms) asks for, over docs (doc, tokens): other terms are
+    dropped before anything is shuffled; dl is the number of all tokens of the document."""
+    asked = queries.select(F.explode("terms").alias("term")).distinct()
+    every = docs.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return every.join(asked, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, epsilon: float | None = None) -> DataFrame:
+    """What bm25 gives, from `hits` and docs (doc, tokens), so that no postings of terms that nobody asks for are made."""
+    n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    mean = total / n if n else 0.0
+    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if epsilon is None:
+        df, asked = df.withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))), asked.withColumn("qtf", F.lit(1))
+    else:
+        every = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        floor = every.agg(F.avg(raw)).first()[0] or 0.0
+        df = df.withColumn("idf", F.when(raw < 0, F.lit(epsilon * floor)).otherwise(raw))
+    weight = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    s = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
+    return hit.join(weight, "term").groupBy("query_id", "doc").agg(F.sum(s).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id", places: int = 6) -> DataFrame:
     """Adds rank: score rounded, ties to the smaller doc."""
     s = scored.withColumn("score", F.round("score", places))

@@ -46,9 +46,18 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries(spark, sf_dir).select("query_id", T.query_tokens(F.col("text")).alias("terms"))
 
 
-def ranked(spark: SparkSession, sf_dir: str, k: int = K, **kind) -> DataFrame:
-    post, docs = postings(spark, sf_dir)
-    return materialize(retrieval.top_k(retrieval.bm25(asked(spark, sf_dir), post, docs, **kind), k), "ranked")
+def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.tokens(F.col("text")).alias("tokens"))
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(retrieval.hits(asked(spark, sf_dir), tokenised(spark, sf_dir)), "hits")
+
+
+def ranked(spark: SparkSession, sf_dir: str, k: int = K, hit: DataFrame | None = None, **kind) -> DataFrame:
+    """The k best documents of every query; `hit`: hits that another ranking has made already."""
+    hit = hits(spark, sf_dir) if hit is None else hit
+    return materialize(retrieval.top_k(retrieval.bm25_over_hits(asked(spark, sf_dir), hit, tokenised(spark, sf_dir), **kind), k), "ranked")
 
 
 def sql_list(values) -> str:

@@ -87,7 +87,8 @@ LISTS = """lists AS (SELECT query_id, 'bm25' AS list, 0 AS place, doc, rank FROM
 
 
 def _lists(spark, sf_dir):
-    a, b = B.ranked(spark, sf_dir), B.ranked(spark, sf_dir, k1=1.5, b=0.75, epsilon=0.25)
+    hit = B.hits(spark, sf_dir)
+    a, b = B.ranked(spark, sf_dir, hit=hit), B.ranked(spark, sf_dir, hit=hit, k1=1.5, b=0.75, epsilon=0.25)
     return a, b, materialize(a.select("query_id", F.lit("bm25").alias("list"), F.lit(0).alias("place"), "doc", "rank").unionByName(b.select("query_id", F.lit("okapi").alias("list"), F.lit(1).alias("place"), "doc", "rank")), "lists")
 
 
