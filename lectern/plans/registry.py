@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, records, retrieval
+from . import analysis, diagnostics, records, retrieval
 
-MODULES = (retrieval, analysis, records)
+MODULES = (retrieval, analysis, records, diagnostics)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
