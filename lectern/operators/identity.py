@@ -59,14 +59,48 @@ def pairs(profiled: DataFrame) -> DataFrame:
     return j.select("left", "right", evidence("a", "b").alias("rule"))
 
 
-def clusters(papers: DataFrame) -> DataFrame:
-    """(paper_id, cluster): the smallest paper_id of those that equivalent pairs connect. Conflicting pairs give no
-    link; two papers of a cluster may still conflict, which `conflicts` reports."""
+def guarded(profiled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of clusters none of which has two values of one identifier field.
+
+    Field by field, in clusters that have several values: a paper without the field takes the value of the nearest papers
+    with it, step by step along the links, the least if several are as near; links between different values are
+    cut, and what stays connected is a cluster. This does not depend on the order of papers. Clusters without a
+    conflict are not touched.
+    """
+    for f in FIELDS:
+        nodes = roots.join(profiled.select(F.col("paper_id").alias("node"), F.col(f"n_{f}").alias("label")), "node")
+        bad = nodes.groupBy("root").agg(F.count_distinct("label").alias("n")).where("n > 1").select("root")
+        if bad.isEmpty():
+            continue
+        nodes = materialize(nodes.join(bad, "root", "left_semi"), "nodes")
+        inside = links.join(nodes.select(F.col("node").alias("left"), "root"), "left").select("left", "right")
+        inside = materialize(inside, "inside")
+        both = inside.unionByName(inside.select(F.col("right").alias("left"), F.col("left").alias("right")))
+        while True:
+            near = both.join(nodes.where("label is not null").select(F.col("node").alias("right"), "label"), "right").groupBy(F.col("left").alias("node")).agg(F.min("label").alias("_near"))
+            step = nodes.where("label is null").select("node").join(near, "node")
+            if step.isEmpty():
+                break
+            nodes = materialize(nodes.join(step, "node", "left").select("node", "root", F.coalesce("label", "_near").alias("label")), "nodes")
+        label = nodes.select("node", "label")
+        kept = inside.join(label.select(F.col("node").alias("left"), F.col("label").alias("a")), "left").join(label.select(F.col("node").alias("right"), F.col("label").alias("b")), "right").where(F.col("a").eqNullSafe(F.col("b"))).select("left", "right")
+        kept = materialize(kept, "kept")
+        links = materialize(links.join(inside, ["left", "right"], "left_anti").unionByName(kept), "links")
+        fresh = nodes.select("node").join(components(kept, "left", "right"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        roots = materialize(roots.join(fresh.select("node"), "node", "left_anti").select("node", "root").unionByName(fresh), "roots")
+    return roots
+
+
+def clusters(papers: DataFrame, guard: bool = True) -> DataFrame:
+    """(paper_id, cluster): the smallest paper_id of those that equivalent pairs connect. Conflicting pairs give no link, and
+    no cluster holds two values of one identifier; without `guard` it may, which `conflicts` reports."""
     p = materialize(profiles(papers), "profiles")
     own = materialize(classes(p), "classes")
     reps = materialize(p.join(own.select(F.col("rep").alias("paper_id")).distinct(), "paper_id"), "representatives")
-    found = pairs(reps).where(F.col("rule").isin("shared_stable_identifier", "exact_title_author_year"))
+    found = materialize(pairs(reps).where(F.col("rule").isin("shared_stable_identifier", "exact_title_author_year")).select("left", "right"), "links")
     roots = components(found, "left", "right")
+    if guard:
+        roots = guarded(reps, found, materialize(roots, "roots"))
     return own.join(roots, own.rep == roots.node, "left").select("paper_id", F.coalesce("root", "rep").alias("cluster"))
 
 

@@ -64,12 +64,32 @@ def merged_records(spark, sf_dir):
     return identity.merged(r, c).select("cluster", "members", "title", "year", "citation_count", "sources")
 
 
-@query()
+def disputed(spark, sf_dir):
+    """The records with a DOI for every third document of its own, so that copies without one link copies that conflict."""
+    r = records(spark, sf_dir)
+    return materialize(r.withColumn("doi", F.when(F.col("doi").isNotNull(), F.concat(F.lit("10.1/x"), F.col("paper_id").cast("string")))).drop("arxiv_id"), "disputed")
+
+
+DISPUTED = RECORDS.replace("'10.1/' || substr(md5(text), 1, 12)", "'10.1/x' || doc_id").replace("CASE WHEN doc_id % 3 <> 1 THEN substr(md5('a' || text), 1, 10) END AS arxiv", "NULL::VARCHAR AS arxiv")
+
+
+@query(f"WITH RECURSIVE {DISPUTED} SELECT cluster, 'doi' AS field, count(DISTINCT doi) AS \"values\" FROM clusters JOIN records ON id = paper_id GROUP BY cluster HAVING count(DISTINCT doi) > 1")
 def identity_conflicts(spark, sf_dir):
-    return identity.conflicts(*clustered(spark, sf_dir))
+    """What clusters would hold without their guard."""
+    r = disputed(spark, sf_dir)
+    return identity.conflicts(r, identity.clusters(r, guard=False))
 
 
 @query()
+def guarded_clusters(spark, sf_dir):
+    """(paper_id, cluster) of the disputed records, under the guard; tests hold it against its definition."""
+    return identity.clusters(disputed(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {RECORDS}, d AS (SELECT c.cluster, r.*, split_part(text, chr(10), 1) AS raw FROM clusters c JOIN records r ON r.id = c.paper_id),
+m AS (SELECT cluster, arg_max(raw, (CASE WHEN title LIKE 'untitled%' THEN 0 ELSE 1 END) * 1000000000000 + length(trim(raw)) * 100000000 - id) AS m_title, arg_max(text, length(trim(text)) * 100000000 - id) AS m_abstract,
+  min_by(year, id) FILTER (year IS NOT NULL) AS m_year, min_by(lang, id) FILTER (lang <> '') AS m_venue FROM d GROUP BY cluster)
+SELECT cluster, field, min(id) AS paper_id FROM (SELECT d.cluster, id, unnest([CASE WHEN raw = m_title THEN 'title' END, CASE WHEN text = m_abstract THEN 'abstract' END, CASE WHEN year = m_year THEN 'year' END, CASE WHEN lang = m_venue THEN 'venue' END]) AS field FROM d JOIN m USING (cluster)) WHERE field IS NOT NULL GROUP BY cluster, field""")
 def merge_lineage(spark, sf_dir):
     r, c = clustered(spark, sf_dir)
     return identity.lineage(r, c, materialize(identity.merged(r, c), "merged"))
@@ -331,7 +351,12 @@ def similar_queries(spark, sf_dir):
     return audit.similar_queries(_turns(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE q AS (SELECT conv_id * 1000 + turn AS id, {B.TOK.format('text')} AS w FROM conversations), s AS (SELECT id, array_to_string(w, ' ') AS key, list_sort(list_distinct(w)) AS s FROM q),
+reps AS (SELECT s, min(id) AS id FROM s WHERE len(s) >= 6 GROUP BY s),
+e AS (SELECT s.id AS l, m.id AS r FROM s JOIN (SELECT key, min(id) AS id FROM s GROUP BY key) m USING (key) UNION SELECT s.id, reps.id FROM s JOIN reps USING (s)
+  UNION SELECT a.id, b.id FROM reps a JOIN reps b ON a.id < b.id AND len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE >= 0.8),
+reach AS (SELECT id AS a, id AS b FROM s UNION SELECT reach.a, CASE WHEN e.l = reach.b THEN e.r ELSE e.l END FROM reach JOIN e ON e.l = reach.b OR e.r = reach.b)
+SELECT a AS query_id, min(b) AS component FROM reach GROUP BY a""")
 def query_independence(spark, sf_dir):
     return audit.independence(_turns(spark, sf_dir))
 

@@ -160,3 +160,44 @@ def test_graph_limits(spark):
     edges = spark.createDataFrame([(d, r) for d in (1, 2) for r in range(9)], "doc long, ref long")
     assert len(rows(graph.references(seeds, edges, per_seed=3, total=5))) == 5
     assert dict((d, k) for _, d, k in rows(graph.citation_nodes(seeds, graph.references(seeds, edges, 3, 5))))[2] == "ranked"
+
+
+def test_guard_of_clusters(spark):
+    """No cluster has two values of a field; clusters are connected; without conflicts nothing changes."""
+    import random
+
+    from lectern.operators import identity
+
+    rng = random.Random(9)
+    recs = []
+    for i in range(120):
+        t = rng.randrange(14)
+        recs.append((i, f"A title number {t}", [f"Author {t % 3}", f"Author {rng.randrange(6)}"], 2000 + t % 2, f"10.1/d{rng.randrange(40)}" if rng.random() < 0.4 else None, f"2001.{rng.randrange(30):05d}" if rng.random() < 0.3 else None))
+    df = spark.createDataFrame(recs, "paper_id long, title string, authors array<string>, year int, doi string, arxiv_id string")
+    got = {r["paper_id"]: r["cluster"] for r in identity.clusters(df).collect()}
+    loose = {r["paper_id"]: r["cluster"] for r in identity.clusters(df, guard=False).collect()}
+    members, ties = {}, {}
+    for i, c in got.items():
+        members.setdefault(c, set()).add(i)
+    for i, c in loose.items():
+        ties.setdefault(c, set()).add(i)
+    doi, arx = {r[0]: r[4] for r in recs}, {r[0]: r[5] for r in recs}
+    several = lambda m: any(len({v[i] for i in m if v[i]}) > 1 for v in (doi, arx))
+    assert any(several(m) for m in ties.values()) and not any(several(m) for m in members.values())
+    assert all(min(m) == c for c, m in members.items())
+    assert all(m in members.values() for m in ties.values() if not several(m))
+
+    def linked(a, b):
+        if any(v[a] and v[b] and v[a] != v[b] for v in (doi, arx)):
+            return False
+        same = recs[a][1] == recs[b][1] and recs[a][3] == recs[b][3] and set(recs[a][2]) & set(recs[b][2])
+        return bool(any(v[a] and v[a] == v[b] for v in (doi, arx)) or same)
+
+    for m in members.values():
+        seen, todo = set(), [min(m)]
+        while todo:
+            u = todo.pop()
+            if u not in seen:
+                seen.add(u)
+                todo += [v for v in m if linked(u, v)]
+        assert seen == m
