@@ -26,6 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
+def tok_sql(x: str) -> str:
+    return f"list_distinct({B.TOK.format(x)})"
+
+
 def title_sql(x: str) -> str:
     latex = r"\\[a-z]+\*?(?:\[[^\]]*\])?(?:\{([^{}]*)\})?"
     return rf"trim(regexp_replace(regexp_replace(lower({x}), '{latex}', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -106,26 +110,6 @@ def query_analysis(spark, sf_dir):
     return analysed(spark, sf_dir).select("query_id", F.array_join("keywords", " ").alias("keywords"), "domain", "intent")
 
 
-@query()
-def subqueries(spark, sf_dir):
-    return planning.subqueries(analysed(spark, sf_dir), planning.profile("high_recall", 20)[1])
-
-
-@query()
-def query_facets(spark, sf_dir):
-    return planning.facets(analysed(spark, sf_dir))
-
-
-@query()
-def adapted_queries(spark, sf_dir):
-    return planning.adapted(analysed(spark, sf_dir))
-
-
-@query()
-def relaxed_queries(spark, sf_dir):
-    return planning.relaxed(analysed(spark, sf_dir))
-
-
 @query(f"""WITH {B.BASE}, {B.bm25_sql('ranked', 5)}, {KEYWORDS}, seen AS (SELECT DISTINCT query_id, unnest({B.TOK.format('text')}) AS w FROM ranked JOIN documents ON doc = doc_id),
 a AS (SELECT query_id, unnest(keywords) AS term FROM keys)
 SELECT query_id, count(*) AS terms, count(s.w) AS covered, list_sort(coalesce(list(term) FILTER (s.w IS NULL), [])) AS missing FROM a LEFT JOIN seen s USING (query_id) WHERE false GROUP BY query_id""".replace("LEFT JOIN seen s USING (query_id) WHERE false", "LEFT JOIN seen s ON s.query_id = a.query_id AND s.w = lower(term)").replace("SELECT query_id, count(*) AS terms", "SELECT a.query_id, count(*) AS terms").replace("GROUP BY query_id\"", "GROUP BY a.query_id").rsplit("GROUP BY query_id", 1)[0] + "GROUP BY a.query_id")
@@ -212,6 +196,43 @@ c2 AS MATERIALIZED (SELECT * REPLACE (nx AS sc, CASE WHEN d THEN {worse_sql('ca'
 c3 AS MATERIALIZED (SELECT * EXCLUDE (nx) REPLACE (nx AS sc, CASE WHEN y THEN {worse_sql('ca', '(' + category_sql('nx') + ')')} ELSE ca END AS ca) FROM (SELECT * EXCLUDE (nx), CASE WHEN y THEN greatest(sc + {CONFIG.type_penalty}::DOUBLE, 0) ELSE sc END AS nx FROM (SELECT *, typed AND n_types = 0 AS y FROM c2))),
 c4 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN outside THEN least(sc, 0.7199::DOUBLE) ELSE sc END AS sc, CASE WHEN outside THEN {worse_sql('ca', "'partially_relevant'")} ELSE ca END AS ca) FROM c3),
 judged AS MATERIALIZED (SELECT *, len(list_filter(f_excludes, lambda x: x > 0)) > 0 AS ex, CASE WHEN len(list_filter(f_excludes, lambda x: x > 0)) > 0 THEN 0::DOUBLE ELSE round(least(greatest(sc, 0), 1), 4) END AS score, CASE WHEN len(list_filter(f_excludes, lambda x: x > 0)) > 0 THEN 'irrelevant' ELSE ca END AS category FROM c4)"""
+WANTS = f"{B.QUERIES}, {KEYWORDS}, {OWN}, {ASKED}"
+DEMANDS = f"""dem AS (SELECT query_id, wants.text, domain, coalesce(keywords, []) AS kw, methods, datasets, CASE WHEN placed THEN ['EN'] ELSE [] END AS venues, CASE WHEN typed THEN ['method', 'survey'] ELSE [] END AS types,
+  CASE WHEN start_year IS NOT NULL THEN [start_year || '-' || end_year] ELSE [] END AS years FROM wants LEFT JOIN keys USING (query_id)),
+fac AS (SELECT query_id, f.facet, f.priority, f.terms FROM (SELECT query_id, unnest([{', '.join(f"{{'facet': '{k}', 'priority': {v}, 'terms': {c}}}" for (k, v), c in zip(planning.FACETS.items(), ('methods', 'datasets', 'types', 'venues', 'years')))}]) AS f FROM dem) WHERE len(f.terms) > 0)"""
+TOPIC10 = "array_to_string(kw[1:10], ' ')"
+
+
+@query(f"""WITH {WANTS}, {DEMANDS}, o AS (SELECT query_id, unnest(['original', 'keywords', 'method', 'dataset', 'venue']) AS purpose, generate_subscripts(['original', 'keywords', 'method', 'dataset', 'venue'], 1) AS ord,
+  unnest([text, array_to_string(kw, ' '), {', '.join(f"CASE WHEN len({c}) > 0 THEN array_to_string(kw, ' ') || ' ' || array_to_string({c}, ' ') END" for c in ('methods', 'datasets', 'venues'))}]) AS q FROM dem),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(q) ORDER BY ord) AS n FROM o WHERE trim(coalesce(q, '')) <> ''), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS place FROM u WHERE n = 1)
+SELECT query_id, CAST(place AS INTEGER) AS place, purpose, lower(q) AS text FROM p WHERE place <= 5""")
+def subqueries(spark, sf_dir):
+    return planning.subqueries(constrained(spark, sf_dir), planning.profile("high_recall", 20)[1]).withColumn("text", F.lower("text"))
+
+
+@query(f"WITH {WANTS}, {DEMANDS} SELECT query_id, facet, priority, lower(array_to_string(terms, ' ')) AS terms FROM fac")
+def query_facets(spark, sf_dir):
+    return planning.facets(constrained(spark, sf_dir)).withColumn("terms", F.lower(F.array_join("terms", " ")))
+
+
+@query(rf"""WITH {WANTS}, {DEMANDS}, z AS (SELECT query_id, domain, trim(regexp_replace(regexp_replace(text, '[+\-&|!(){{}}\[\]^"~*?:\\/]+', ' ', 'g'), '\s+', ' ', 'g')) AS safe, array_to_string(kw[1:12], ' ') AS compact, {B.TOK.format('text')} AS tk FROM dem),
+y AS (SELECT *, CASE WHEN len(list_filter(tk, lambda w: w NOT IN ({B.sql_list(C.QUERY_STOPWORDS)}))) > 0 THEN list_filter(tk, lambda w: w NOT IN ({B.sql_list(C.QUERY_STOPWORDS)})) ELSE tk END AS qt, regexp_extract(substr(safe, 1, 200), '^(.*)\s\S*$', 1) AS whole FROM z),
+r AS (SELECT query_id, unnest(CASE WHEN domain = 'biomedical' THEN ['pubmed', 'openalex'] WHEN domain IN ('computer_science', 'machine_learning') THEN ['arxiv', 'openalex'] ELSE ['openalex', 'arxiv'] END) AS source, compact,
+  CASE WHEN length(safe) <= 200 THEN safe WHEN whole <> '' THEN rtrim(whole) ELSE substr(safe, 1, 200) END AS safe, round(CASE WHEN len(qt) = 0 THEN 1 ELSE len(list_intersect(list_distinct(qt), list_distinct({B.TOK.format('compact')}))) / len(list_distinct(qt))::DOUBLE END, 6) AS kept FROM y)
+SELECT query_id, source, 'safe_original' AS variant, safe AS text, 1.0::DOUBLE AS retention FROM r WHERE safe <> '' UNION ALL SELECT query_id, source, 'compact', compact, kept FROM r WHERE compact <> '' AND kept >= 0.5""".replace("\\\\", "\\"))
+def adapted_queries(spark, sf_dir):
+    return planning.adapted(constrained(spark, sf_dir))
+
+
+@query(f"""WITH {WANTS}, {DEMANDS}, best AS (SELECT query_id, arg_min(terms, priority) AS best FROM fac GROUP BY query_id),
+s AS (SELECT query_id, unnest([0, 1, 2]) AS step, unnest([text, {TOPIC10}, CASE WHEN best IS NOT NULL THEN {TOPIC10} || ' ' || array_to_string(best, ' ') END]) AS q FROM dem LEFT JOIN best USING (query_id)),
+k AS (SELECT *, {tok_sql('q')} AS w FROM s WHERE trim(coalesce(q, '')) <> '')
+SELECT query_id, step, lower(q) AS text FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.query_id = k.query_id AND o.step < k.step AND CASE WHEN len(o.w) + len(k.w) = 0 THEN 1 ELSE len(list_intersect(o.w, k.w)) / len(list_distinct(list_concat(o.w, k.w)))::DOUBLE END >= 0.8)""")
+def relaxed_queries(spark, sf_dir):
+    return planning.relaxed(constrained(spark, sf_dir)).withColumn("text", F.lower("text"))
+
+
 JUDGE = f"{B.BASE}, {B.PAPERS}, {B.bm25_sql('ranked')}, {KEYWORDS}, {OWN}, {ASKED}, {JUDGED}"
 
 
