@@ -241,9 +241,9 @@ def search(queries: DataFrame, shards: DataFrame, k: int = K, beam: int = BEAM,
     or one with a null or non-finite component gives no rows; an empty table gives none.
     """
     spark = queries.sparkSession
-    n, parts = queries.count(), shards.count()
+    n, parts, folder = queries.count(), shards.count(), common.scratch(spark, "queries")
     q = queries.withColumn("tag", F.xxhash64("e")).withColumn("block", F.pmod(F.xxhash64("vec_id", "tag"), F.lit(max(1, -(-n // block)))))
-    blocks = q.select(F.size("e").alias("dim"), F.col("block").cast("long").alias("part"), "vec_id", "tag", "e").groupBy("dim", "part").applyInArrow(_gather(common.scratch(spark, "queries")), _NAMES)
+    blocks = q.select(F.size("e").alias("dim"), F.col("block").cast("long").alias("part"), "vec_id", "tag", "e").groupBy("dim", "part").applyInArrow(_gather(folder), _NAMES)
     blocks = common.materialize(blocks, "blocks")
     groups = max(1, -(-parts // FAN))  # names of about FAN shards go together
     near = shards.groupBy("dim", F.pmod(F.xxhash64("part"), F.lit(groups)).alias("group")).agg(F.collect_list("path").alias("shards"))
@@ -251,6 +251,7 @@ def search(queries: DataFrame, shards: DataFrame, k: int = K, beam: int = BEAM,
     pairs = blocks.select("dim", F.col("path").alias("block"), every).join(near, ["dim", "group"]).select("dim", F.explode("shards").alias("shard"), "block")
     found = pairs.repartition(max(1, -(-parts * blocks.count() // 4)), "shard", "block").select("dim", "shard", "block").mapInArrow(_search(k, beam), "query_id long, tag long, vec_id long, score double")
     found = common.materialize(found, "found", rows=4)
+    common.remove(spark, folder)
     rank = F.row_number().over(Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -141,9 +141,9 @@ def _indexer(folder: str):
 NO_ID = (1 << 63) - 1
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """The shards' files and every term's document frequency in each shard."""
-    folder = common.scratch(docs.sparkSession, "index")
+def index(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The shards' files, written to a folder, and every term's document frequency in each shard."""
+    folder = folder or common.scratch(docs.sparkSession, "index")
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
     return common.materialize(d.mapInArrow(_indexer(folder), "kind int, term long, n long, words long, path string"), "index", rows=1000, mb=8)
 
@@ -363,8 +363,8 @@ def _search(k: int, mean: float, folder: str):
 _FOUND_DDL = "query_id long, doc_id long, score double, path string, theta string"
 
 
-def _blocks(terms: DataFrame, built: DataFrame, n: int) -> DataFrame:
-    """The files of the blocks of queries. Queries whose most widespread term is the same go together, which as a rule are
+def _blocks(terms: DataFrame, built: DataFrame, n: int, folder: str) -> DataFrame:
+    """The files of the blocks of queries, written to a folder. Queries whose most widespread term is the same go together, which as a rule are
     of one language, so that they ask for the same terms and blocks of documents; those of seldom leading terms are pooled."""
     df = built.where("kind = 1").groupBy("term").agg(F.sum("n").alias("df")).join(terms.select("term").distinct(), "term", "left_semi")
     weighed = common.materialize(terms.join(df, "term").select("query_id", "term", "df", (F.col("qtf") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")), "weighed")
@@ -375,7 +375,7 @@ def _blocks(terms: DataFrame, built: DataFrame, n: int) -> DataFrame:
     block = F.xxhash64("pool", F.pmod(F.xxhash64("query_id"), "parts")).alias("block")
     rows = weighed.join(led.join(parts, "pool").select("query_id", block), "query_id").select("block", "query_id", "term", "w", "df")
     rows = rows.repartition("block").sortWithinPartitions("block", "query_id", F.desc("df"), "term").drop("df")
-    return common.materialize(rows.mapInArrow(_block_writer(common.scratch(terms.sparkSession, "queries")), "block long, path string"), "blocks", rows=100_000)
+    return common.materialize(rows.mapInArrow(_block_writer(folder), "block long, path string"), "blocks", rows=100_000)
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
@@ -387,12 +387,12 @@ def search(queries: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
     null query id is no query; extra columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
-    built = index(docs)
+    shards_folder, blocks_folder, folder = (common.scratch(spark, x) for x in ("shards", "queries", "thresholds"))
+    built = index(docs, shards_folder)
     n, total, files = built.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count(F.lit(1))).first()
     q = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
     terms = common.materialize(q.mapInArrow(_query_terms, "query_id long, term long, qtf long").groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")), "terms", rows=1000, mb=8)
-    blocks = _blocks(terms, built, n)
-    folder = common.scratch(spark, "found")
+    blocks = _blocks(terms, built, n, blocks_folder)
     first = sorted(r[0] for r in built.where("kind = 0").select("path").orderBy("path").limit(FIRST).collect())
     run = _search(k, total / n if n else 0.0, folder)
     one = blocks.select(F.array("path").alias("blocks"), F.array(F.lit(None).cast("string")).alias("theta"), F.array(*map(F.lit, first)).cast("array<string>").alias("shards"))
@@ -407,6 +407,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
         pairs = pairs.repartitionById(chunks * groups, (F.col("chunk") * groups + F.col("part")).cast("int"))
         rest = common.materialize(pairs.select("b.path", "b.theta", "shards").mapInArrow(run, _FOUND_DDL), "found", rows=1)
         found = found.unionByName(rest)
+    common.remove(spark, shards_folder, blocks_folder, folder)  # all that was found is written
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "score")
 
