@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import constants as C
 from .text import title_key
 
 #: Identifier fields and the prefixes of their keys, in order of preference for a canonical id.
@@ -34,7 +35,7 @@ def simple(x: Column) -> Column:
 
 
 def s2orc(x: Column) -> Column:
-    return _set(F.regexp_replace(F.trim(x), r"(?i)^(?:s2orc(?:[_ -]?corpus)?[_ -]?id|corpus[_ -]?id)\s*:\s*", ""))
+    return _set(F.regexp_replace(F.trim(x), C.S2ORC_PATTERN, ""))
 
 
 def normalised(field: str, x: Column) -> Column:

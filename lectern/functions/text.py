@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import constants as C
 
 TOKEN = r"[\p{L}\p{N}_]+"
-YEAR = r"((?:19|20)\d{2})"
+YEAR = C.YEAR_PATTERN
 
 
 def words_of(values) -> Column:
@@ -100,7 +100,7 @@ def contains_sequence(observed: Column, expected: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """Lower-case, LaTeX commands replaced by their argument, punctuation to single spaces."""
-    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\\[a-z]+\*?(?:\[[^\]]*\])?(?:\{([^{}]*)\})?", " $1 ")
+    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), C.LATEX_PATTERN, " $1 ")
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -152,12 +152,12 @@ def time_range(text: Column, as_of_year: int) -> Column:
     now = lambda p: F.lit(as_of_year)
     recent = lambda cond, years: F.when(cond, F.struct(F.lit(as_of_year - years).cast("int").alias("start_year"), F.lit(as_of_year).cast("int").alias("end_year"), F.lit("recent").alias("label")))
     return F.coalesce(
-        got(YEAR + r"\s*[-–—~至到]\s*" + YEAR, "explicit_range", end=second),
-        got(r"from\s+" + YEAR + r"\s+(?:to|through|until)\s+" + YEAR, "from_to", end=second),
-        got(r"(?:since|from)\s+" + YEAR, "since"),
-        got(r"after\s+" + YEAR, "after", start=lambda y: y + 1),
-        got(r"last\s+(\d{1,2})\s+years?", "recent", start=lambda y: F.lit(as_of_year) - F.greatest(F.lit(1), y), end=now),
-        recent(F.contains(t, F.lit("近三年")), 3),
+        got(C.RANGE_PATTERN, "explicit_range", end=second),
+        got(C.FROM_TO_PATTERN, "from_to", end=second),
+        got(C.SINCE_PATTERN, "since"),
+        got(C.AFTER_PATTERN, "after", start=lambda y: y + 1),
+        got(C.LAST_YEARS_PATTERN, "recent", start=lambda y: F.lit(as_of_year) - F.greatest(F.lit(1), y), end=now),
+        recent(F.contains(t, F.lit(C.LAST_THREE_YEARS)), 3),
         recent(contains_any(t, C.RECENT_MARKERS), 3))
 
 
@@ -172,12 +172,12 @@ def known_terms(text: Column, values) -> Column:
 
 
 def dataset_terms(text: Column) -> Column:
-    named = F.regexp_extract_all(text, F.lit(r"(?i)\b([A-Za-z][A-Za-z0-9_.-]*)\s+(?:dataset|benchmark|corpus)\b"), F.lit(1))
-    return ordered_distinct(F.concat(known_terms(text, C.DATASET_TERMS), F.filter(named, lambda n: ~F.lower(n).isin("a", "the", "new", "public"))))
+    named = F.regexp_extract_all(text, F.lit(C.DATASET_PATTERN), F.lit(1))
+    return ordered_distinct(F.concat(known_terms(text, C.DATASET_TERMS), F.filter(named, lambda n: ~F.lower(n).isin(*C.DATASET_NO_NAMES))))
 
 
 def method_terms(text: Column) -> Column:
-    named = F.regexp_extract_all(text, F.lit(r"(?i)\b([A-Za-z][A-Za-z0-9+.#-]*(?:\s+[A-Za-z][A-Za-z0-9+.#-]*){0,2})\s+(?:methods?|approaches?)\b"), F.lit(1))
+    named = F.regexp_extract_all(text, F.lit(C.METHOD_PATTERN), F.lit(1))
     clean = F.transform(named, lambda p: F.array_join(F.filter(F.split(p, r"\s+"), lambda w: ~F.lower(w).isin(*C.ANALYSIS_STOPWORDS)), " "))
     return ordered_distinct(F.concat(known_terms(text, C.METHOD_TERMS), clean))
 
