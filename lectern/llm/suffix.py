@@ -294,17 +294,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Null texts and texts shorter than `length` have none. Null ids come last; different texts of one id are
     ordered by a hash of the text; rows that repeat both are one document.
     """
-    common.bounded_batches(docs.sparkSession)
     k = _keyed(docs)
     sent = k.where(F.octet_length("data") >= length).mapInArrow(_find_runs(length), _SENT)
-    common.bounded_batches(docs.sparkSession, rows=50_000)
     settled = sent.repartition("key").sortWithinPartitions("key", "f", "d", "at").mapInArrow(_settle(False), _SETTLED)
-    settled = common.materialize(settled, "runs")
+    settled = common.materialize(settled, "runs", rows=50_000)  # the MB bound texts
     left = settled.where("open").groupBy("d", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))  # of one document
-    common.bounded_batches(docs.sparkSession)
     joined = k.join(left.hint("shuffle_hash"), ["d", "tie"]).select("d", "tie", "data", "starts", "ns")
     windows = joined.mapInArrow(_find_windows(length), _SENT).repartition("key").sortWithinPartitions("key", "f", "d", "at")
-    exact = common.materialize(windows.mapInArrow(_settle(True), _SETTLED), "windows")
+    exact = common.materialize(windows.mapInArrow(_settle(True), _SETTLED), "windows", rows=1000)
     return settled.where("not open").unionByName(exact).select("d", "tie", "start", "n")
 
 
