@@ -80,3 +80,19 @@ def drop_reasons(gold: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFr
     for name, _ in reversed(stages):
         reason = F.when(F.col(name).isNull(), "lost_at_" + name).otherwise(reason)
     return g.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gold_duplicates(gold: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(query_id, cluster, doc, grade, members): gold of one identity is one, with its best grade and smallest doc; documents
+    that no cluster (paper_id, cluster) names are their own."""
+    g = gold.where("grade > 0").join(clusters.withColumnRenamed("paper_id", "doc"), "doc", "left").withColumn("cluster", F.coalesce("cluster", "doc"))
+    return g.groupBy("query_id", "cluster").agg(F.min("doc").alias("doc"), F.max("grade").alias("grade"), F.count_distinct("doc").alias("members"))
+
+
+def matched_by_identity(ranked: DataFrame, gold: DataFrame, clusters: DataFrame) -> DataFrame:
+    """ranked plus grade (null: no gold), one to one by identity: the first prediction of an identity takes its gold, with the
+    best grade of it; later predictions of the same identity keep their places and match nothing."""
+    r = ranked.join(clusters.withColumnRenamed("paper_id", "doc"), "doc", "left").withColumn("cluster", F.coalesce("cluster", "doc"))
+    first = F.row_number().over(Window.partitionBy("query_id", "cluster").orderBy("rank"))
+    j = r.withColumn("nth", first).join(gold_duplicates(gold, clusters).select("query_id", "cluster", "grade"), ["query_id", "cluster"], "left")
+    return j.withColumn("grade", F.when(F.col("nth") == 1, F.col("grade"))).drop("nth", "cluster")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,3 +251,23 @@ def micro(pred: DataFrame, gold: DataFrame, key: list[str]) -> DataFrame:
     """(tp, fp, fn) of two sets of keys."""
     j = pred.select(*key).distinct().withColumn("p", F.lit(1)).join(gold.select(*key).distinct().withColumn("g", F.lit(1)), key, "full_outer")
     return j.agg(F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("tp"), F.count(F.when(F.col("g").isNull(), 1)).alias("fp"), F.count(F.when(F.col("p").isNull(), 1)).alias("fn"))
+
+
+def clustered(df: DataFrame, a: str, b: str, component: str, by: list[str]) -> DataFrame:
+    """Paired statistics whose units are components: the mean of a and of b in each, every component of one weight."""
+    return paired(df.groupBy(*by, component).agg(F.avg(a).alias(a), F.avg(b).alias(b)), a, b, by)
+
+
+def power(sd: Column, lift: float, alpha: float = 0.05, target: float = 0.8, future: int = 1000) -> Column:
+    """struct(available, required, power): pairs needed to find a difference of `lift` with the target power, and the power that
+    `future` pairs have, by the normal approximation. Without a spread nothing can be said."""
+    z = NormalDist()
+    za, zp = z.inv_cdf(1 - alpha / 2), z.inv_cdf(target)
+    known = F.coalesce(sd > 0, F.lit(False))
+    shift = F.when(known, lift * math.sqrt(future) / sd)
+
+    @F.pandas_udf("double")
+    def tails(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: 1 - z.cdf(za - v) + z.cdf(-za - v), na_action="ignore")
+
+    return F.struct(known.alias("available"), F.when(known, F.greatest(F.lit(2).cast("long"), F.ceil(F.pow((za + zp) * sd / lift, 2)))).alias("required"), tails(shift).alias("power"))

@@ -95,6 +95,20 @@ def merge_lineage(spark, sf_dir):
     return identity.lineage(r, c, materialize(identity.merged(r, c), "merged"))
 
 
+IDENTITY = f"{RECORDS}, {B.BASE}, {B.bm25_sql('ranked')}, {B.GOLD}, own AS (SELECT query_id, cluster, min(doc) AS doc, max(grade) AS grade, count(DISTINCT doc) AS members FROM gold JOIN clusters ON doc = paper_id WHERE grade > 0 GROUP BY query_id, cluster)"
+
+
+@query(f"WITH RECURSIVE {IDENTITY} SELECT * FROM own")
+def gold_identities(spark, sf_dir):
+    return metrics.gold_duplicates(B.gold(spark, sf_dir), clustered(spark, sf_dir)[1])
+
+
+@query(f"""WITH RECURSIVE {IDENTITY}, r AS (SELECT query_id, doc, rank, cluster, row_number() OVER (PARTITION BY query_id, cluster ORDER BY rank) AS nth FROM ranked JOIN clusters ON doc = paper_id)
+SELECT r.query_id, r.doc, r.rank, CASE WHEN nth = 1 THEN own.grade END AS grade FROM r LEFT JOIN own ON own.query_id = r.query_id AND own.cluster = r.cluster""")
+def identity_matches(spark, sf_dir):
+    return metrics.matched_by_identity(B.ranked(spark, sf_dir).select("query_id", "doc", "rank"), B.gold(spark, sf_dir), clustered(spark, sf_dir)[1])
+
+
 # sources
 
 
@@ -207,6 +221,21 @@ def paired_statistics(spark, sf_dir):
     return stats.paired(paired_rows(spark, sf_dir), "a", "b", ["fam"])
 
 
+@query("""WITH c AS (SELECT c_mktsegment AS seg, c_nationkey AS component, avg(c_acctbal) AS a, avg(abs(c_acctbal)) AS b FROM customer GROUP BY ALL), d AS (SELECT *, b - a AS d FROM c)
+SELECT seg, count(*) AS n, round(avg(a), 6) AS baseline, round(avg(b), 6) AS experiment, round(avg(d), 6) AS difference, round(quantile_cont(d, 0.5), 6) AS median_difference, round(stddev_samp(d), 6) AS sd,
+  round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / stddev_samp(d) END, 6) AS dz, count(*) FILTER (d > 0) AS improved, count(*) FILTER (d = 0) AS tied, count(*) FILTER (d < 0) AS regressed FROM d GROUP BY seg""")
+def component_statistics(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("component"), F.col("c_acctbal").alias("a"), F.abs("c_acctbal").alias("b"))
+    return stats.clustered(c, "a", "b", "component", ["seg"])
+
+
+@query("""SELECT c_mktsegment AS seg, count(*) AS n, stddev_samp(c_acctbal) > 0 AS available, greatest(2, CAST(ceil(pow((1.959963984540054::DOUBLE + 0.8416212335729143::DOUBLE) * stddev_samp(c_acctbal) / 100, 2)) AS BIGINT)) AS required FROM customer GROUP BY c_mktsegment""")
+def power_planning(spark, sf_dir):
+    """Without the power itself, for which SQL has no normal distribution; a test holds it."""
+    c = B.table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("n"), F.stddev("c_acctbal").alias("sd"))
+    return c.select("seg", "n", stats.power(F.col("sd"), 100.0).alias("p")).select("seg", "n", "p.available", "p.required")
+
+
 def _events(spark, sf_dir):
     return B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 

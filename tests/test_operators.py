@@ -1,6 +1,7 @@
 """Semantics that are easy to get wrong."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,15 @@ def test_guard_of_clusters(spark):
                 seen.add(u)
                 todo += [v for v in m if linked(u, v)]
         assert seen == m
+
+
+def test_power_by_the_normal_distribution(spark):
+    from statistics import NormalDist
+
+    d = spark.createDataFrame([(2.0,), (0.0,), (None,)], "sd double").select("sd", stats.power(F.col("sd"), 0.1, future=900).alias("p")).select("sd", "p.*").collect()
+    z = NormalDist()
+    shift = 0.1 * 30 / 2
+    want = 1 - z.cdf(z.inv_cdf(0.975) - shift) + z.cdf(-z.inv_cdf(0.975) - shift)
+    got = {r["sd"]: r for r in d}
+    assert got[2.0]["required"] == math.ceil(((z.inv_cdf(0.975) + z.inv_cdf(0.8)) * 2 / 0.1) ** 2) and got[2.0]["power"] == pytest.approx(want)
+    assert not got[0.0]["available"] and got[None]["required"] is None and got[0.0]["power"] is None
