@@ -43,8 +43,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: that of the smallest doc_id.
 
-    Null, empty and blank texts are one group. Of rows that repeat an id one stays; a null doc_id stays only if its group has no other.
-    Long texts count whole; an empty table stays empty.
+    Null, empty and blank texts are one group. Of rows that repeat an id one stays; of rows without an id one of each fingerprint,
+    unless a row with an id has the same. Long texts count whole; an empty table stays empty.
     """
     return simhash.keep_one(docs)
 

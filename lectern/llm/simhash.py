@@ -171,8 +171,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
     Equal fingerprints collapse before any comparison, so a group of copies costs one fingerprint. The
     component id is the smallest doc_id reachable over links. Null texts count as empty, empty texts have
-    fingerprint zero and link like any other; a null doc_id keeps its row (its component id is the smallest
-    other id, or null); repeated rows and extra columns are allowed; an empty table gives no rows.
+    fingerprint zero and link like any other. A row with a null doc_id keeps its row and has the component of the
+    rows with an id that share its very fingerprint; if there are none it links to nothing, connects nothing, and its component
+    id is null. Repeated rows and extra columns are allowed; an empty table gives no rows.
     """
     fps = common.materialize(fingerprints(docs, words), "fps")
     return fps.join(_members(fps, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -187,8 +188,8 @@ def _members(fps: DataFrame, radius: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest doc_id, of equal ids the one whose
-    text has the smallest hash, of repeated rows one. Rows without an id are a group of their own unless they
-    link to one with an id."""
+    text has the smallest hash, of repeated rows one. Rows without an id are a group for each fingerprint, unless a row with
+    an id has the same one."""
     h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
     fps = common.materialize(_fingerprints(d, words, "h long, "), "fps")
