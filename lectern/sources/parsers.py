@@ -2,7 +2,8 @@
 
 Each gives title, authors, year, venue, abstract, doi, arxiv_id, openalex_id, semantic_scholar_id, pubmed_id, landing_page,
 citation_count and source. Text has single spaces; what is missing is null, a missing title is `Untitled`, a missing
-abstract empty, citations at least 0. A row that cannot be parsed has only the title and the source.
+abstract empty, citations at least 0. A null, or JSON that cannot be parsed, gives only the title and the source; XML that is
+not well-formed is an error of the job.
 """
 
 from __future__ import annotations
