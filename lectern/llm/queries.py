@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, lm, mixing, simhash, suffix, topk, toxicity, urls, warc
+from . import ann, bpe, lm, mixing, simhash, suffix, topk, toxicity, turns, urls, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_bm25": topk.op8_bm25,
     "op9_mixing": mixing.op9_mixing,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
+    "op11_turn_repair": turns.op11_turn_repair,
 }
-ORACLE: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op7_url_filter": urls.OP7_SQL, "op8_bm25": topk.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
+ORACLE: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op7_url_filter": urls.OP7_SQL, "op8_bm25": topk.OP8_SQL, "op9_mixing": mixing.OP9_SQL, "op11_turn_repair": turns.OP11_SQL}
