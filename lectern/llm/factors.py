@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .suffix import mix
+from .suffix import ids_repeat, keys, mix
 
 WINDOW = 50
 #: Words of one numpy pass at most (longer texts are parsed in overlapping pieces), and about as many as one has.
 PIECE, BUFFER = 1 << 18, 1 << 17
 #: Words whose hashes a task keeps.
 ROOM = 500_000
-NULL_ID = (1 << 63) - 1
 _U = np.uint64
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -201,17 +200,6 @@ def _parse(window: int):
     return run
 
 
-def repeats_ids(docs: DataFrame) -> bool:
-    """Whether two rows share an id, or lack one."""
-    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty()
-
-
-def _keys(repeats: bool) -> list:
-    """d orders documents, null ids last; t tells texts of one id apart by a hash, where ids repeat; data is the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), (F.xxhash64(text) if repeats else F.lit(0).cast("long")).alias("t"), text.cast("binary").alias("data")]
-
-
 def repeated(k: DataFrame, window: int = WINDOW) -> DataFrame:
     """(d, t, lo, n): windows lo to lo + n - 1 of the texts (d, t, data) that also start in a text with a smaller d."""
     found = common.materialize(k.where(F.octet_length("data") >= 2 * window - 1).mapInArrow(_find_runs(window), "seed long, f long, d long, t long, lo long, n long, place long"), "runs", rows=1000)
@@ -268,13 +256,13 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeat an id, so none of these is cut for another. Texts of any length are read whole. Every row stays; columns
     that clash with the new names are dropped; an empty table gives no rows.
     """
-    keys = _keys(repeats := repeats_ids(docs))
-    k = docs.select(*keys)
+    own = keys(repeats := ids_repeat(docs))
+    k = docs.select(*own)
     k = k.dropDuplicates(["d", "t"]) if repeats else k
     new = ("kept", "n_words", "n_removed", "_d", "_t", "_data", "_at", "_n")
     gone = repeated(k, window).groupBy("d", "t").agg(F.collect_list("lo").alias("_at"), F.collect_list("n").alias("_n"))  # of one document
     gone = gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "_at", "_n")
-    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*new, "text")], *[c.alias(f"_{x}") for c, x in zip(keys, ("d", "t", "data"))])
+    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*new, "text")], *[c.alias(f"_{x}") for c, x in zip(own, ("d", "t", "data"))])
     common.bounded_batches(docs.sparkSession)
     j = d.join(gone.hint("shuffle_hash"), ["_d", "_t"], "left").drop("_d", "_t")
     fields = [f for f in j.schema.fields if f.name not in ("_data", "_at", "_n")]

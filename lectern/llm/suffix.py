@@ -30,7 +30,7 @@ LENGTH = 100
 PIECE, BUFFER, UNIT = 1 << 20, 1 << 18, 2_000_000
 _POS = np.uint64(PIECE - 1)
 _U = np.uint64
-#: What `at` holds: text tie << 42 | start << 10 | windows of the run << 2 | kind.
+#: What `at` holds: start << 10 | windows of the run << 2 | kind.
 PLAIN, SURE, WITNESS, GONE = range(4)
 NULL_ID = (1 << 63) - 1
 
@@ -100,18 +100,18 @@ def runs(buf: np.ndarray, first: np.ndarray, size: np.ndarray, length: int):
 
 
 def _pieces(batches, length: int):
-    """(d, tie, bytes, offset in the text) of texts of at least `length` bytes, long ones cut with overlap."""
+    """(d, t, bytes, offset in the text) of texts of at least `length` bytes, long ones cut with overlap."""
     for b in batches:
-        for d, tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+        for d, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             data = text.as_buffer()
             n = 0 if data is None else data.size
             if n >= length:
                 for lo in range(0, max(1, n - length + 1), PIECE - length + 1):
-                    yield d, tie, np.frombuffer(data, np.uint8, min(PIECE, n - lo), lo), lo
+                    yield d, t, np.frombuffer(data, np.uint8, min(PIECE, n - lo), lo), lo
 
 
 def _buffers(batches, length: int):
-    """Pieces side by side: (buf, first, size, d, tie, offset)."""
+    """Pieces side by side: (buf, first, size, d, t, offset)."""
     held, total = [], 0
 
     def flush():
@@ -129,22 +129,22 @@ def _buffers(batches, length: int):
         yield flush()
 
 
-def _merged(d: np.ndarray, at: np.ndarray):
-    """Removed runs (d, at) as (d, tie and start, windows), runs that follow each other joined."""
-    order = np.lexsort((at, d))
-    d, start, n = d[order], at[order] >> 10, (at[order] >> 2) & 255
+def _merged(d: np.ndarray, t: np.ndarray, at: np.ndarray):
+    """Removed runs (d, t, at) as (d, t, start, windows), runs that follow each other joined."""
+    order = np.lexsort((at, t, d))
+    d, t, start, n = d[order], t[order], at[order] >> 10, (at[order] >> 2) & 255
     new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (start[1:] > start[:-1] + n[:-1])
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + n[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d)) - 1
-    return d[first], start[first], start[last] + n[last] - start[first]
+    return d[first], t[first], start[first], start[last] + n[last] - start[first]
 
 
-def _rows(key, f, d, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, f, d, at)], ["key", "f", "d", "at"])
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["key", "f", "d", "t", "at"])
 
 
-def _combined(key: np.ndarray, f: np.ndarray, d: np.ndarray, at: np.ndarray, last: bool):
+def _combined(key: np.ndarray, f: np.ndarray, d: np.ndarray, t: np.ndarray, at: np.ndarray, last: bool):
     """What one task sends on. Of equal (key, f) only the first; the others are gone already.
 
     last: the windows' own pass, where nothing but the first of each (key, f) matters. Before it, a key with
@@ -155,35 +155,35 @@ def _combined(key: np.ndarray, f: np.ndarray, d: np.ndarray, at: np.ndarray, las
     again = np.zeros(len(k) + 1, bool)
     again[1:-1] = k[1:] == k[:-1]
     lone = order[~(again[1:] | again[:-1])]
-    yield key[lone], f[lone], d[lone], at[lone]
+    yield key[lone], f[lone], d[lone], t[lone], at[lone]
     dup = order[again[1:] | again[:-1]]
     if not len(dup):
         return
-    dup = dup[np.lexsort((at[dup], d[dup], f[dup], key[dup]))]
-    k, v, e, a = key[dup], f[dup], d[dup], at[dup]
+    dup = dup[np.lexsort((at[dup], t[dup], d[dup], f[dup], key[dup]))]
+    k, v, e, o, a = key[dup], f[dup], d[dup], t[dup], at[dup]
     new_key = np.ones(len(k), bool)
     new_key[1:] = k[1:] != k[:-1]
     new = new_key.copy()
     new[1:] |= v[1:] != v[:-1]
     rep = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    gone = (e != e[rep]) | (a != a[rep])
+    gone = (e != e[rep]) | (o != o[rep]) | (a != a[rep])
     if gone.any():
-        x, start, n = _merged(e[gone], a[gone])
-        yield mix(x.view(np.uint64) + start.view(np.uint64)), n.view(np.uint64), x, (start << 10) | GONE
+        x, y, start, n = _merged(e[gone], o[gone], a[gone])
+        yield mix(x.view(np.uint64) + y.view(np.uint64) + start.view(np.uint64)), n.view(np.uint64), x, y, (start << 10) | GONE
     heads = np.flatnonzero(new_key)
     several = np.repeat(np.add.reduceat(new, heads, dtype=np.int64) > 1, np.diff(np.append(heads, len(k))))
     if last:
         several[:] = False
     one = new & ~several
-    yield k[one], v[one], e[one], a[one]
+    yield k[one], v[one], e[one], o[one], a[one]
     many = new & several
-    yield mix(v[many]), v[many], e[many], a[many] | SURE
+    yield mix(v[many]), v[many], e[many], o[many], a[many] | SURE
     seen = new_key & several
-    yield k[seen], v[seen], e[seen], a[seen] | WITNESS
+    yield k[seen], v[seen], e[seen], o[seen], a[seen] | WITNESS
 
 
 def _send(found, last: bool):
-    """found: arrays (key, f, d, at). Sorts units of rows and sends on what is left of each."""
+    """found: arrays (key, f, d, t, at). Sorts units of rows and sends on what is left of each."""
     held, total = [], 0
 
     def flush():
@@ -203,11 +203,10 @@ def _send(found, last: bool):
 
 def _find_runs(length: int):
     def found(batches):
-        for buf, first, size, d, tie, offset in _buffers(batches, length):
+        for buf, first, size, d, t, offset in _buffers(batches, length):
             lo, count, g, f = runs(buf, first, size, length)
             p = np.searchsorted(first, lo, "right") - 1
-            at = (tie[p] << 42) | ((lo - first[p] + offset[p]) << 10) | (count << 2)
-            yield g, f, d[p], at
+            yield g, f, d[p], t[p], ((lo - first[p] + offset[p]) << 10) | (count << 2)
 
     return lambda batches: _send(found(batches), False)
 
@@ -217,7 +216,7 @@ def _find_windows(length: int):
     def found(batches):
         for b in batches:
             starts, counts = b.column(3), b.column(4)
-            for i, (d, tie, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
+            for i, (d, t, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 lo, n = (np.asarray(c[i].values) for c in (starts, counts))
                 s = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
@@ -225,23 +224,22 @@ def _find_windows(length: int):
                     part = s[:np.searchsorted(s, s[0] + PIECE - length + 1)]
                     buf, at = data[part[0]:part[-1] + length], part - part[0]
                     keys = [mix(_slices(_sums(buf, k), at, at + length, k)) for k in (0, 1)]
-                    yield *keys, np.full(len(part), d, np.int64), (tie << 42) | (part << 10) | 4
+                    yield *keys, np.full(len(part), d, np.int64), np.full(len(part), t, np.int64), (part << 10) | 4
                     s = s[len(part):]
 
     return lambda batches: _send(found(batches), True)
 
 
 def _settle(last: bool):
-    """Over rows sorted by key, f and place: (d, tie, start, windows, open); open runs go on, others are removed."""
-    def out(d, at, n, is_open):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d), pa.array(at >> 42), pa.array((at >> 10) & ((1 << 32) - 1)), pa.array(n), pa.array(np.full(len(d), is_open))], ["d", "tie", "start", "n", "open"])
+    """Over rows sorted by key, f and place: (d, t, start, windows, open); open runs go on, others are removed."""
+    def out(d, t, at, n, is_open):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(at >> 10), pa.array(n), pa.array(np.full(len(d), is_open))], ["d", "t", "start", "n", "open"])
 
-    def judged(key, f, d, at):
+    def judged(key, f, d, t, at):
         kind = at & 3
         through = kind == GONE
-        yield out(d[through], at[through], f[through], False)
-        key, f, d, at, kind = (x[~through] for x in (key, f, d, at, kind))
+        yield out(d[through], t[through], at[through], f[through], False)
+        key, f, d, t, at, kind = (x[~through] for x in (key, f, d, t, at, kind))
         if not len(key):
             return
         new_key = np.ones(len(key), bool)
@@ -249,20 +247,20 @@ def _settle(last: bool):
         new = new_key.copy()
         new[1:] |= f[1:] != f[:-1]
         rep = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        gone = (d != d[rep]) | (at >> 2 != at[rep] >> 2)
-        yield out(d[gone], at[gone], (at[gone] >> 2) & 255, False)
+        gone = (d != d[rep]) | (t != t[rep]) | (at >> 2 != at[rep] >> 2)
+        yield out(d[gone], t[gone], at[gone], (at[gone] >> 2) & 255, False)
         if not last:
             heads = np.flatnonzero(new_key)
             known = (np.add.reduceat(new, heads, dtype=np.int64) > 1) | (np.maximum.reduceat(kind, heads) > 0)
             left = new & np.repeat(known, np.diff(np.append(heads, len(key)))) & (kind != WITNESS)
-            yield out(d[left], at[left], (at[left] >> 2) & 255, True)
+            yield out(d[left], t[left], at[left], (at[left] >> 2) & 255, True)
 
     def run(batches):
         carry = None
         for b in batches:
             if not b.num_rows:
                 continue
-            part = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            part = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if carry is not None:
                 part = [np.concatenate(x) for x in zip(carry, part)]
             cut = int(np.searchsorted(part[0], part[0][-1]))  # keys ascend: the last one may go on
@@ -275,34 +273,37 @@ def _settle(last: bool):
     return run
 
 
-_SENT = "key long, f long, d long, at long"
-_SETTLED = "d long, tie long, start long, n long, open boolean"
+_SENT = "key long, f long, d long, t long, at long"
+_SETTLED = "d long, t long, start long, n long, open boolean"
+_PLACE = ["key", "f", "d", "t", "at"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """d orders documents, null ids last; tie orders texts that share an id, and is equal for repeated rows."""
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether two rows share an id, or lack one."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty()
+
+
+def keys(repeats: bool) -> list:
+    """d orders documents, null ids last; t, a 64-bit hash of the text, orders texts that share an id and is equal for rows that
+    repeat both (0 where no two rows share an id); data is the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << 21) - 1)).alias("tie"), text.cast("binary").alias("data"))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), (F.xxhash64(text) if repeats else F.lit(0).cast("long")).alias("t"), text.cast("binary").alias("data")]
 
 
-def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(d, tie, start, n): every window of `length` bytes from start to start + n - 1 that also starts
+def repeated(k: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Of the texts (d, t, data), (d, t, start, n): every window of `length` bytes from start to start + n - 1 that also starts
     earlier (smaller doc_id, or the same document, earlier). Intervals may overlap or repeat.
 
-    Null texts and texts shorter than `length` have none. Null ids come last; different texts of one id are
-    ordered by a hash of the text; rows that repeat both are one document.
+    Texts shorter than `length` have none. Different texts of one d are ordered by t; rows that repeat both are one document.
     """
-    k = _keyed(docs)
     sent = k.where(F.octet_length("data") >= length).mapInArrow(_find_runs(length), _SENT)
-    settled = sent.repartition("key").sortWithinPartitions("key", "f", "d", "at").mapInArrow(_settle(False), _SETTLED)
+    settled = sent.repartition("key").sortWithinPartitions(*_PLACE).mapInArrow(_settle(False), _SETTLED)
     settled = common.materialize(settled, "runs", rows=50_000)  # the MB bound texts
-    left = settled.where("open").groupBy("d", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))  # of one document
-    joined = k.join(left.hint("shuffle_hash"), ["d", "tie"]).select("d", "tie", "data", "starts", "ns")
-    windows = joined.mapInArrow(_find_windows(length), _SENT).repartition("key").sortWithinPartitions("key", "f", "d", "at")
+    left = settled.where("open").groupBy("d", "t").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))  # of one document
+    joined = k.join(left.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "data", "starts", "ns")
+    windows = joined.mapInArrow(_find_windows(length), _SENT).repartition("key").sortWithinPartitions(*_PLACE)
     exact = common.materialize(windows.mapInArrow(_settle(True), _SETTLED), "windows", rows=1000)
-    return settled.where("not open").unionByName(exact).select("d", "tie", "start", "n")
+    return settled.where("not open").unionByName(exact).select("d", "t", "start", "n")
 
 
 def removed_bytes(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -347,14 +348,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, characters: bool = Fal
     count, and strings are judged on the input. characters: what is left of a cut character goes too. Null texts are empty; every row stays, repeated ones alike;
     columns that clash with the new names are dropped; an empty table gives no rows.
     """
-    gone = repeated(docs, length).groupBy("d", "tie").agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_ns"))  # of one document
-    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept", "n_removed", "n_spans", "_d", "_tie", "_data", "_starts", "_ns")])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = (d.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-         .withColumn("_tie", F.xxhash64(text).bitwiseAND(F.lit((1 << 21) - 1))).withColumn("_data", text.cast("binary")).drop("text"))
-    gone = gone.select(F.col("d").alias("_d"), F.col("tie").alias("_tie"), "_starts", "_ns")
+    new = ("kept", "n_removed", "n_spans", "_d", "_t", "_data", "_starts", "_ns")
+    own = keys(ids_repeat(docs))
+    gone = repeated(docs.select(*own), length).groupBy("d", "t").agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_ns"))  # of one document
+    gone = gone.withColumnsRenamed({"d": "_d", "t": "_t"})
+    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*new, "text")], *[c.alias(f"_{x}") for c, x in zip(own, ("d", "t", "data"))])
     common.bounded_batches(docs.sparkSession)
-    j = d.join(gone.hint("shuffle_hash"), ["_d", "_tie"], "left").drop("_d", "_tie")
+    j = d.join(gone.hint("shuffle_hash"), ["_d", "_t"], "left").drop("_d", "_t")
     fields = [f for f in j.schema.fields if f.name not in ("_data", "_starts", "_ns")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["kept binary", "n_removed long", "n_spans long"])
     return j.mapInArrow(_cutter(length, characters), schema)

@@ -60,9 +60,9 @@ def test_small_units_and_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 128)
     monkeypatch.setattr(suffix, "BUFFER", 64)
     monkeypatch.setattr(suffix, "_POS", np.uint64(127))
-    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([0] * len(docs)), pa.array([d[1] for d in docs], pa.binary())], ["d", "tie", "data"])
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([0] * len(docs)), pa.array([d[1] for d in docs], pa.binary())], ["d", "t", "data"])
     length = 10
-    sent = pa.Table.from_batches(list(suffix._find_runs(length)([batch]))).sort_by([(c, "ascending") for c in ("key", "f", "d", "at")])
+    sent = pa.Table.from_batches(list(suffix._find_runs(length)([batch]))).sort_by([(c, "ascending") for c in ("key", "f", "d", "t", "at")])
     settled = pa.Table.from_batches(list(suffix._settle(False)(sent.to_batches(max_chunksize=17)))).to_pylist()
     opened = {}
     for r in settled:
@@ -71,8 +71,8 @@ def test_small_units_and_pieces(spark, monkeypatch):
     texts = dict(docs)
     b2 = pa.RecordBatch.from_arrays([pa.array(list(opened)), pa.array([0] * len(opened)), pa.array([texts[d] for d in opened], pa.binary()),
                                      pa.array([[x[0] for x in v] for v in opened.values()], pa.list_(pa.int64())), pa.array([[x[1] for x in v] for v in opened.values()], pa.list_(pa.int64()))],
-                                    ["d", "tie", "data", "starts", "ns"])
-    sent = pa.Table.from_batches(list(suffix._find_windows(length)([b2]))).sort_by([(c, "ascending") for c in ("key", "f", "d", "at")])
+                                    ["d", "t", "data", "starts", "ns"])
+    sent = pa.Table.from_batches(list(suffix._find_windows(length)([b2]))).sort_by([(c, "ascending") for c in ("key", "f", "d", "t", "at")])
     settled += pa.Table.from_batches(list(suffix._settle(True)(sent.to_batches(max_chunksize=17)))).to_pylist()
     hit = {d: bytearray(len(t)) for d, t in docs}
     for r in settled:
@@ -92,3 +92,39 @@ def test_nulls_repeats_and_empty(spark):
     assert r[1] == [(0, 0)] and r[2] == [(0, 0)] and r[3] == [own, own]
     assert r[4] == [(len(t), 1)] and r[None] == [(len(t), 1)]
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 20).count() == 0
+
+
+def by_text_hash(spark, rows):
+    """The rows in the order that documents have: by id, null ids last, texts of one id by their hash."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    h = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).collect()}
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+
+
+def ordered_brute(rows, length):
+    first, out = {}, []
+    for order, (i, t) in enumerate(rows):
+        b = t.encode()
+        hit = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if first.setdefault(b[s:s + length], (order, s)) != (order, s):
+                hit[s:s + length] = b"\1" * length
+        kept = bytes(x for x, h in zip(b, hit) if not h)
+        spans = sum(1 for k, h in enumerate(hit) if h and (k == 0 or not hit[k - 1]))
+        out.append((i, len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_many_texts_of_one_id(spark):
+    """20,000 distinct texts without an id and 5,000 of one id, every second with a repeat of its own, some with shared ones."""
+    rng = random.Random(20)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(40))
+    shared = [word() + word() for _ in range(50)]
+    rows = []
+    for i in range(25_000):
+        own = word()
+        rows.append((None if i < 20_000 else 7, f"{i} {own} " + (own if i % 2 else word()) + (rng.choice(shared) if i % 5 == 0 else "") + "x" * (i % 3)))
+    rows += [(1, shared[0]), (9, shared[1] + shared[2])]
+    assert got(spark, rows, 36, 4) == ordered_brute(by_text_hash(spark, rows), 36)
