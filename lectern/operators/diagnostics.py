@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.shared import materialize
+
 from lectern.functions import text as T
 
 
@@ -189,9 +191,11 @@ def near_duplicate(a: Column, b: Column, at_least: float = 0.8) -> Column:
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """rows with their ordinal in the order of `key`, from 0: sorted parts are counted, and the counts before a part are added, so
-    that no task orders all rows."""
+    that no task orders all rows. Parts are written before they are counted: planned twice, a range exchange may
+    sample other bounds the second time."""
     d = rows.withColumn("_k", F.col(key)).repartitionByRange(F.col("_k")).withColumn("_p", F.spark_partition_id())
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_k")))
+    d = materialize(d, "numbered")
     part = d.groupBy("_p").agg(F.max("_n").alias("_c"))  # a row for each partition
     part = part.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     return d.join(F.broadcast(part), "_p").withColumn("ordinal", F.col("_n") - 1 + F.col("_before")).drop("_k", "_p", "_n", "_before")

@@ -203,9 +203,10 @@ def authority(citations: Column, sources: Column, identifiers: Column, venue: Co
 
 
 def timeliness(years: Column, year: Column, as_of_year: int) -> Column:
-    """Within a range from 0.7 to 1 by place in it, outside 0; without a range by age; a missing year is 0 with and .25 without."""
-    start, end = F.coalesce(years["start_year"], F.lit(1900)), F.coalesce(years["end_year"], F.lit(as_of_year))
-    inside = F.when(end > start, 0.7 + 0.3 * (year - start) / (end - start)).otherwise(1.0)
+    """Within a range of several years from 0.7 to 1 by place in it, 0.85 where the range has one end or one year, outside 0;
+    without a range by age; a missing year is 0 with and .25 without."""
+    start, end = years["start_year"], years["end_year"]
+    inside = F.when(end > start, 0.7 + 0.3 * (year - start) / (end - start)).otherwise(0.85)
     age = F.greatest(F.lit(0), F.lit(as_of_year) - year)
     return (F.when(years.isNotNull() & year.isNull(), 0.0).when(years.isNotNull() & ((year < start) | (year > end)), 0.0).when(years.isNotNull(), inside)
             .when(year.isNull(), 0.25).otherwise(1 - F.least(age, F.lit(12)) / 12.0))

@@ -31,12 +31,17 @@ def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
                                F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.sum(v), 4).alias("total"))
 
 
+def settled(c: Column, places: int = 6) -> Column:
+    """Rounded, with what stands on a half pushed off it: means of decimals often do, and the order of a sum must not decide."""
+    return F.round(c + 1e-9, places)
+
+
 def paired(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """b against a: means, mean and median difference, deviation, dz, and how many improved, tied, regressed."""
     d = F.col(b) - F.col(a)
     sd = F.stddev_samp(d)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(a), 6).alias("baseline"), F.round(F.avg(b), 6).alias("experiment"), F.round(F.avg(d), 6).alias("difference"),
-                               F.round(F.percentile(d, 0.5), 6).alias("median_difference"), F.round(sd, 6).alias("sd"), F.round(F.when(sd > 0, F.avg(d) / sd), 6).alias("dz"),
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), settled(F.avg(a)).alias("baseline"), settled(F.avg(b)).alias("experiment"), settled(F.avg(d)).alias("difference"),
+                               settled(F.percentile(d, 0.5)).alias("median_difference"), F.round(sd, 6).alias("sd"), F.round(F.when(sd > 0, F.avg(d) / sd), 6).alias("dz"),
                                F.count(F.when(d > 0, 1)).alias("improved"), F.count(F.when(d == 0, 1)).alias("tied"), F.count(F.when(d < 0, 1)).alias("regressed"))
 
 

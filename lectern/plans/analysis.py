@@ -124,7 +124,8 @@ def constrained(spark, sf_dir):
     j, i = T.judgement_terms(F.col("text")), F.col("query_id")
     some = lambda n, r, v: F.when(i % n == r, v)
     bare = q.withColumns({c: F.array().cast("array<string>") for c in ("methods", "datasets", "venues", "types")}).withColumn("years", F.lit(None).cast("struct<start_year:int,end_year:int,label:string>"))
-    wanted = F.struct(F.lit(2000).cast("int").alias("start_year"), F.lit(2015).cast("int").alias("end_year"), F.lit("explicit").alias("label"))
+    kind = F.floor(i / 7) % 3  # a range, an open one, one year
+    wanted = F.struct(F.when(kind == 0, 2000).when(kind == 1, 2005).otherwise(2010).cast("int").alias("start_year"), F.when(kind == 0, 2015).when(kind == 2, 2010).cast("int").alias("end_year"), F.lit("explicit").alias("label"))
     explicit = q.select("query_id", some(3, 0, F.slice(j, 1, 2)).alias("must"), some(5, 0, F.slice(j, 4, 2)).alias("methods"), some(4, 0, F.slice(j, 3, 1)).alias("datasets"),
                         some(6, 0, F.array(F.lit("method"), F.lit("survey"))).alias("types"), some(3, 1, F.array(F.lit("EN"))).alias("venues"), some(7, 0, wanted).alias("years"), some(11, 0, F.slice(j, 6, 1)).alias("excludes"))
     return materialize(judgement.overlay(bare, explicit), "constrained")
@@ -171,7 +172,7 @@ OWN = rf"""own AS (SELECT query_id, coalesce(list(w ORDER BY pos), []) AS own FR
   WHERE rtrim(w, '.') <> '' AND rtrim(w, '.') NOT IN ({B.sql_list(C.JUDGEMENT_STOPWORDS)}) AND (length(rtrim(w, '.')) > 2 OR rtrim(w, '.') IN ('ai', 'ml', 'cv'))) WHERE n = 1 GROUP BY query_id)"""
 ASKED = f"""wants AS (SELECT query_id, text, own, {DOMAIN} AS domain, ({INTENT}) AS intent, CASE WHEN query_id % 3 = 0 AND len(own) > 0 THEN own[1:2] ELSE list_distinct(list_transform(coalesce(keywords, []), lambda x: lower(x))) END AS must,
   query_id % 3 = 0 AND len(own) > 0 AS explicit_must, CASE WHEN query_id % 5 = 0 THEN own[4:5] ELSE [] END AS methods, CASE WHEN query_id % 4 = 0 THEN own[3:3] ELSE [] END AS datasets, query_id % 6 = 0 AS typed, query_id % 3 = 1 AS placed,
-  CASE WHEN query_id % 7 = 0 THEN 2000 END AS start_year, CASE WHEN query_id % 7 = 0 THEN 2015 END AS end_year, CASE WHEN query_id % 11 = 0 THEN own[6:6] ELSE [] END AS excludes
+  CASE WHEN query_id % 7 = 0 THEN [2000, 2005, 2010][query_id // 7 % 3 + 1] END AS start_year, CASE WHEN query_id % 7 = 0 THEN [2015, NULL, 2010][query_id // 7 % 3 + 1] END AS end_year, CASE WHEN query_id % 11 = 0 THEN own[6:6] ELSE [] END AS excludes
   FROM (SELECT *, ' ' || lower(text) || ' ' AS t FROM queries) LEFT JOIN own USING (query_id) LEFT JOIN keys USING (query_id))"""
 JUDGED = f"""cand AS (SELECT *, lower(title) AS t, lower(abstract) AS a, {padded('lower(title)')} AS t_p, {padded('lower(abstract)')} AS a_p FROM (SELECT query_id, doc FROM ranked) JOIN wants USING (query_id) JOIN papers USING (doc)),
 hits AS MATERIALIZED (SELECT *, {places_sql('list_distinct(list_concat(own, must, methods, datasets))')} AS f_topic, {places_sql('own')} AS f_own, {places_sql('must')} AS f_must, {places_sql('methods')} AS f_methods, {places_sql('datasets')} AS f_datasets,
@@ -198,7 +199,7 @@ c4 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN outside THEN least(sc, 0.7199::D
 judged AS MATERIALIZED (SELECT *, len(list_filter(f_excludes, lambda x: x > 0)) > 0 AS ex, CASE WHEN len(list_filter(f_excludes, lambda x: x > 0)) > 0 THEN 0::DOUBLE ELSE round(least(greatest(sc, 0), 1), 4) END AS score, CASE WHEN len(list_filter(f_excludes, lambda x: x > 0)) > 0 THEN 'irrelevant' ELSE ca END AS category FROM c4)"""
 WANTS = f"{B.QUERIES}, {KEYWORDS}, {OWN}, {ASKED}"
 DEMANDS = f"""dem AS (SELECT query_id, wants.text, domain, coalesce(keywords, []) AS kw, methods, datasets, CASE WHEN placed THEN ['EN'] ELSE [] END AS venues, CASE WHEN typed THEN ['method', 'survey'] ELSE [] END AS types,
-  CASE WHEN start_year IS NOT NULL THEN [start_year || '-' || end_year] ELSE [] END AS years FROM wants LEFT JOIN keys USING (query_id)),
+  CASE WHEN start_year IS NOT NULL THEN [concat_ws('-', start_year, end_year)] ELSE [] END AS years FROM wants LEFT JOIN keys USING (query_id)),
 fac AS (SELECT query_id, f.facet, f.priority, f.terms FROM (SELECT query_id, unnest([{', '.join(f"{{'facet': '{k}', 'priority': {v}, 'terms': {c}}}" for (k, v), c in zip(planning.FACETS.items(), ('methods', 'datasets', 'types', 'venues', 'years')))}]) AS f FROM dem) WHERE len(f.terms) > 0)"""
 TOPIC10 = "array_to_string(kw[1:10], ' ')"
 
@@ -262,7 +263,7 @@ def weights_sql(i: int) -> str:
 
 TIERS = f"[{B.sql_list(C.CATEGORY_MULTIPLIER)}]"
 FINAL = f"""broken AS MATERIALIZED (SELECT *, round(0.65::DOUBLE * least(log10(citation_count + 1.0::DOUBLE) / log10(1001.0::DOUBLE), 1) + 0.15::DOUBLE * least(n_sources / 3.0::DOUBLE, 1) + 0.12::DOUBLE * least(n_ids / 5.0::DOUBLE, 1) + CASE WHEN placed THEN CASE WHEN s_venue > 0 THEN 0.12::DOUBLE ELSE 0 END WHEN venue <> '' THEN 0.08::DOUBLE ELSE 0 END, 6) AS authority,
-  round(CASE WHEN start_year IS NOT NULL THEN CASE WHEN outside THEN 0 ELSE 0.7::DOUBLE + 0.3::DOUBLE * (year - start_year) / (end_year - start_year) END ELSE 1 - least(greatest(0, {B.AS_OF} - year), 12) / 12.0::DOUBLE END, 6) AS timeliness,
+  round(CASE WHEN start_year IS NOT NULL THEN CASE WHEN outside THEN 0 WHEN end_year > start_year THEN 0.7::DOUBLE + 0.3::DOUBLE * (year - start_year) / (end_year - start_year) ELSE 0.85::DOUBLE END ELSE 1 - least(greatest(0, {B.AS_OF} - year), 12) / 12.0::DOUBLE END, 6) AS timeliness,
   round(CASE WHEN title <> '' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN abstract <> '' THEN 0.25::DOUBLE ELSE 0 END + 0.15::DOUBLE + CASE WHEN venue <> '' THEN 0.15::DOUBLE ELSE 0 END + 0.1::DOUBLE + 0.15::DOUBLE * least(n_ids / 5.0::DOUBLE, 1), 6) AS metadata FROM judged),
 final AS (SELECT *, round(({weights_sql(0)} * score + {weights_sql(1)} * authority + {weights_sql(2)} * timeliness + {weights_sql(3)} * metadata) * CASE category {' '.join(f"WHEN '{k}' THEN {m}::DOUBLE" for k, m in C.CATEGORY_MULTIPLIER.items())} END, 4) AS final FROM broken),
 reranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_position({TIERS}, category), final DESC, score DESC, citation_count DESC, year DESC, lower(title), sha256(doc::VARCHAR)) AS rank FROM final)"""

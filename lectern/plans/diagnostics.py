@@ -219,8 +219,7 @@ ATTEMPTS = "SELECT o_custkey AS shard, o_orderkey AS attempt, CASE WHEN o_custke
 g AS (SELECT shard, count(*) AS attempts, count(*) FILTER (supersedes IS NULL) AS roots, count(*) FILTER (NOT later) AS tips, max(attempt) FILTER (NOT later) AS tip, bool_or(lost) AS gap, count(supersedes) > count(DISTINCT supersedes) AS branch FROM p GROUP BY shard),
 v AS (SELECT *, CASE WHEN gap THEN 'gap' WHEN branch THEN 'branch' WHEN tips = 0 OR roots = 0 THEN 'cycle' WHEN tips > 1 OR roots > 1 THEN 'several_chains' END AS violation FROM g) SELECT shard, attempts, CASE WHEN violation IS NULL THEN tip END AS tip, violation FROM v""")
 def shard_attempts(spark, sf_dir):
-    t(spark, sf_dir, "orders").createOrReplaceTempView("_attempt_orders")
-    return D.attempts(spark.sql(ATTEMPTS.replace("FROM orders", "FROM _attempt_orders")))
+    return D.attempts(spark.sql(ATTEMPTS.replace("FROM orders", "FROM {orders}"), orders=t(spark, sf_dir, "orders")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
@@ -313,10 +312,10 @@ def parsed_entries(spark, sf_dir):
     return _out(parsers.entries(_words(spark, sf_dir).withColumn("xml", xml), "xml", ["doc_id"]), "arxiv_id")
 
 
-@query(f"""WITH {SEEN} SELECT doc_id, CASE WHEN words = '' THEN 'Untitled' ELSE words END AS title, CASE WHEN n_chars % 2 = 0 THEN 'Ann ' ELSE 'A ' END || src AS first_author, 1990 + n_chars % 30 AS year, CASE WHEN n_chars % 3 > 0 THEN lang ELSE 'PubMed' END AS venue, trim(words || ' end') AS abstract, '10.3/z' || doc_id AS doi, doc_id::VARCHAR AS other_id,
+@query(f"""WITH {SEEN} SELECT doc_id, CASE WHEN words = '' THEN 'Untitled' ELSE words END AS title, ['Ann ', 'A ', ''][n_chars % 3 + 1] || src AS first_author, 1990 + n_chars % 30 AS year, CASE WHEN n_chars % 3 > 0 THEN lang ELSE 'PubMed' END AS venue, trim(words || ' n 2 end') AS abstract, '10.3/z' || doc_id AS doi, doc_id::VARCHAR AS other_id,
   'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS landing_page, 0 AS citation_count, 'pubmed' AS source FROM w""")
 def parsed_articles(spark, sf_dir):
     xml = x("""concat('<PubmedArticle><MedlineCitation><PMID>', doc_id, '</PMID><Article><Journal>', CASE WHEN n_chars % 3 > 0 THEN concat('<Title>', lang, '</Title>') ELSE '' END, '<JournalIssue><PubDate>', CASE WHEN n_chars % 2 = 0 THEN concat('<Year>', 1990 + n_chars % 30, '</Year>') ELSE concat('<MedlineDate>', 1990 + n_chars % 30, ' Jan</MedlineDate>') END,
-      '</PubDate></JournalIssue></Journal><ArticleTitle>', words, '</ArticleTitle><Abstract><AbstractText>', words, '</AbstractText><AbstractText>end</AbstractText></Abstract><AuthorList><Author><LastName>', src, '</LastName>', CASE WHEN n_chars % 2 = 0 THEN '<ForeName>Ann</ForeName>' ELSE '' END,
-      '<Initials>A</Initials></Author></AuthorList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.3/Z', doc_id, '</ArticleId></ArticleIdList></PubmedData></PubmedArticle>')""")
+      '</PubDate></JournalIssue></Journal><ArticleTitle>', words, '</ArticleTitle><Abstract><AbstractText>', words, ' n <sup>2</sup></AbstractText><AbstractText>end</AbstractText></Abstract><AuthorList><Author><LastName>', src, '</LastName>', CASE n_chars % 3 WHEN 0 THEN '<ForeName>Ann</ForeName><Initials>X</Initials>' WHEN 1 THEN '<Initials>A</Initials>' ELSE '' END,
+      '</Author><Author><LastName>Doe</LastName><ForeName>Jane</ForeName></Author></AuthorList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.3/Z', doc_id, '</ArticleId></ArticleIdList></PubmedData></PubmedArticle>')""")
     return _out(parsers.articles(_words(spark, sf_dir).withColumn("xml", xml), "xml", ["doc_id"]), "pubmed_id")

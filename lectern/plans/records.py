@@ -215,14 +215,14 @@ def paired_rows(spark, sf_dir):
     return materialize(x.join(y, "query_id").withColumn("fam", F.lit(1)).withColumn("d", F.col("b") - F.col("a")), "paired")
 
 
-@query(f"""WITH {PAIRED} SELECT fam, count(*) AS n, round(avg(a), 6) AS baseline, round(avg(b), 6) AS experiment, round(avg(d), 6) AS difference, round(quantile_cont(d, 0.5), 6) AS median_difference,
+@query(f"""WITH {PAIRED} SELECT fam, count(*) AS n, round(avg(a) + 1e-9, 6) AS baseline, round(avg(b) + 1e-9, 6) AS experiment, round(avg(d) + 1e-9, 6) AS difference, round(quantile_cont(d, 0.5) + 1e-9, 6) AS median_difference,
   round(stddev_samp(d), 6) AS sd, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / stddev_samp(d) END, 6) AS dz, count(*) FILTER (d > 0) AS improved, count(*) FILTER (d = 0) AS tied, count(*) FILTER (d < 0) AS regressed FROM paired GROUP BY fam""")
 def paired_statistics(spark, sf_dir):
     return stats.paired(paired_rows(spark, sf_dir), "a", "b", ["fam"])
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS seg, c_nationkey AS component, avg(c_acctbal) AS a, avg(abs(c_acctbal)) AS b FROM customer GROUP BY ALL), d AS (SELECT *, b - a AS d FROM c)
-SELECT seg, count(*) AS n, round(avg(a), 6) AS baseline, round(avg(b), 6) AS experiment, round(avg(d), 6) AS difference, round(quantile_cont(d, 0.5), 6) AS median_difference, round(stddev_samp(d), 6) AS sd,
+SELECT seg, count(*) AS n, round(avg(a) + 1e-9, 6) AS baseline, round(avg(b) + 1e-9, 6) AS experiment, round(avg(d) + 1e-9, 6) AS difference, round(quantile_cont(d, 0.5) + 1e-9, 6) AS median_difference, round(stddev_samp(d), 6) AS sd,
   round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / stddev_samp(d) END, 6) AS dz, count(*) FILTER (d > 0) AS improved, count(*) FILTER (d = 0) AS tied, count(*) FILTER (d < 0) AS regressed FROM d GROUP BY seg""")
 def component_statistics(spark, sf_dir):
     c = B.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("component"), F.col("c_acctbal").alias("a"), F.abs("c_acctbal").alias("b"))

@@ -2,16 +2,21 @@
 
 Each gives title, authors, year, venue, abstract, doi, arxiv_id, openalex_id, semantic_scholar_id, pubmed_id, landing_page,
 citation_count and source. Text has single spaces; what is missing is null, a missing title is `Untitled`, a missing
-abstract empty, citations at least 0. A null, or JSON that cannot be parsed, gives only the title and the source; XML that is
-not well-formed is an error of the job.
+abstract empty, citations at least 0. A null, or what cannot be parsed, gives only the title and the source; for XML that is
+not well-formed, `error` says why.
 """
 
 from __future__ import annotations
 
+import re
+import xml.etree.ElementTree as ET
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import ids
+from lectern.functions.constants import YEAR_PATTERN
 from lectern.functions.text import year_of
 
 from .corpora import inverted_abstract
@@ -31,7 +36,7 @@ def _shape(d: DataFrame, keep: list[str], source: str, **c: Column) -> DataFrame
     text = lambda k: _tidy(c.get(k, none))
     known = {f: ids.normalised(f, text(f)) for f in ("doi", "arxiv_id", "openalex_id", "semantic_scholar_id", "pubmed_id")}
     return d.select(*keep, F.coalesce(text("title"), F.lit("Untitled")).alias("title"), _names(c["authors"]).alias("authors"), c["year"].alias("year"), text("venue").alias("venue"), F.coalesce(text("abstract"), F.lit("")).alias("abstract"),
-                    *[v.alias(f) for f, v in known.items()], text("landing_page").alias("landing_page"), F.greatest(F.coalesce(c.get("citations", F.lit(0)).cast("int"), F.lit(0)), F.lit(0)).alias("citation_count"), F.lit(source).alias("source"))
+                    *[v.alias(f) for f, v in known.items()], text("landing_page").alias("landing_page"), F.greatest(F.coalesce(c.get("citations", F.lit(0)).cast("int"), F.lit(0)), F.lit(0)).alias("citation_count"), F.lit(source).alias("source"), *([c["error"].alias("error")] if "error" in c else []))
 
 
 WORK = """display_name string, publication_year int, cited_by_count int, id string, doi string, authorships array<struct<author: struct<display_name: string>>>,
@@ -59,25 +64,65 @@ def papers(d: DataFrame, json: str, keep: list[str]) -> DataFrame:
                   semantic_scholar_id=of("paperId"), pubmed_id=ext("PubMed"), landing_page=F.coalesce(F.nullif(F.trim(of("url")), F.lit("")), of("paperId")), citations=of("citationCount"))
 
 
+def _within(e: ET.Element, path: str) -> str | None:
+    """The text of the first element at the path, what is nested in it too."""
+    found = e.find(path)
+    return None if found is None else "".join(found.itertext())
+
+
+def _entry(e: ET.Element) -> dict:
+    link = _within(e, "{*}id")
+    return {"title": _within(e, "{*}title"), "authors": [_within(x, "{*}name") for x in e.findall("{*}author")], "year": _within(e, "{*}published") or _within(e, "{*}updated"), "venue": _within(e, "{*}journal_ref"),
+            "abstract": [_within(e, "{*}summary")], "doi": _within(e, "{*}doi"), "id": link}
+
+
+def _person(author: ET.Element) -> str | None:
+    group, last, first = (_within(author, p) for p in ("CollectiveName", "LastName", "ForeName"))
+    if group and group.strip():
+        return group
+    return " ".join(x for x in (first or _within(author, "Initials"), last) if x) if last and last.strip() else None
+
+
+def _article(e: ET.Element) -> dict:
+    years = [_within(e, f".//{p}") for p in ("ArticleDate/Year", "JournalIssue/PubDate/Year", "PubMedPubDate/Year", "JournalIssue/PubDate/MedlineDate")]
+    ids = [x for path, kind in ((".//ArticleIdList/ArticleId", "IdType"), (".//ELocationID", "EIdType")) for x in e.findall(path) if x.get(kind, "").lower() == "doi"]
+    venues = [v for p in ("Title", "ISOAbbreviation") if (v := _within(e, f".//Journal/{p}")) and v.strip()]
+    return {"title": _within(e, ".//Article/ArticleTitle"), "authors": [_person(a) for a in e.findall(".//AuthorList/Author")], "year": next((y for y in years if y and YEAR.search(y)), None), "venue": next(iter(venues), None),
+            "abstract": ["".join(a.itertext()) for a in e.findall(".//Abstract/AbstractText")], "doi": next(("".join(x.itertext()) for x in ids), None), "id": _within(e, ".//MedlineCitation/PMID")}
+
+
+YEAR = re.compile(YEAR_PATTERN)
+_FIELDS = "title string, authors array<string>, year string, venue string, abstract array<string>, doi string, id string, error string"
+
+
+def _read(xml: Column, of) -> Column:
+    """A struct of the fields that `of` takes from the root of each document, or of an error alone."""
+    def parsed(text: str | None) -> dict:
+        try:
+            return {} if text is None else of(ET.fromstring(text))
+        except ET.ParseError as e:
+            return {"error": str(e)}
+
+    @F.pandas_udf(_FIELDS)
+    def fields(texts: pd.Series) -> pd.DataFrame:
+        names = [f.split()[0] for f in _FIELDS.split(", ")]
+        return pd.DataFrame([[x.get(n) for n in names] for x in map(parsed, texts)], columns=names, dtype=object)
+
+    return fields(xml)
+
+
 def entries(d: DataFrame, xml: str, keep: list[str]) -> DataFrame:
     """Atom entries: the venue is the journal reference, else `arXiv`; the id's version goes."""
-    x = F.regexp_replace(xml, r"<(/?)arxiv:", "<$1")
-    x = F.regexp_replace(x, r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    one = lambda p: F.xpath_string(x, F.lit(f"entry/{p}"))
-    link = one("id")
-    return _shape(d, keep, "arxiv", title=one("title"), authors=F.xpath(x, F.lit("entry/author/name/text()")), year=year_of(F.coalesce(F.nullif(one("published"), F.lit("")), one("updated"))), venue=F.coalesce(_tidy(one("journal_ref")), F.lit("arXiv")),
-                  abstract=one("summary"), doi=one("doi"), arxiv_id=F.regexp_extract(link, r"abs/(.+)$", 1), landing_page=link)
+    of = lambda p: F.col(f"_x.{p}")
+    return _shape(d.withColumn("_x", _read(F.col(xml), _entry)), keep, "arxiv", title=of("title"), authors=of("authors"), year=year_of(of("year")), venue=F.coalesce(_tidy(of("venue")), F.when(of("error").isNull(), "arXiv")),
+                  abstract=F.array_join(of("abstract"), " "), doi=of("doi"), arxiv_id=F.regexp_extract(of("id"), r"abs/(.+)$", 1), landing_page=of("id"), error=of("error"))
 
 
 def articles(d: DataFrame, xml: str, keep: list[str]) -> DataFrame:
-    """Article XML: authors are fore name (else initials) and last name, or a collective name; the parts of an abstract are
-    joined; the journal's title or abbreviation, else `PubMed`; the year of the issue, else of the article, else of a date in words."""
-    x = F.col(xml)
-    one = lambda p: F.nullif(F.xpath_string(x, F.lit(p)), F.lit(""))
-    every = lambda p: F.xpath(x, F.lit(p))
-    last, fore = every("//AuthorList/Author/LastName/text()"), every("//AuthorList/Author/*[self::ForeName or (self::Initials and not(../ForeName))]/text()")
-    names = F.concat(F.zip_with(fore, last, lambda f, s: F.concat_ws(" ", f, s)), every("//AuthorList/Author/CollectiveName/text()"))
-    pmid = one("//MedlineCitation/PMID")
-    return _shape(d, keep, "pubmed", title=one("//Article/ArticleTitle"), authors=names, year=year_of(F.coalesce(one("//JournalIssue/PubDate/Year"), one("//Article/ArticleDate/Year"), one("//JournalIssue/PubDate/MedlineDate"))),
-                  venue=F.coalesce(_tidy(one("//Journal/Title")), _tidy(one("//Journal/ISOAbbreviation")), F.lit("PubMed")), abstract=F.array_join(_names(every("//Abstract/AbstractText/text()")), " "),
-                  doi=one('//ArticleId[@IdType="doi"]'), pubmed_id=pmid, landing_page=F.when(pmid.isNotNull(), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/"))))
+    """Article XML: an author is a collective name, or fore name (else initials) and last name, or the last name alone; the parts of
+    an abstract are joined, with the text of their markup; the journal's title or abbreviation, else `PubMed`; the year of
+    the article, else of the issue, of its history, of a date in words."""
+    of = lambda p: F.col(f"_x.{p}")
+    pmid = F.nullif(F.trim(of("id")), F.lit(""))
+    return _shape(d.withColumn("_x", _read(F.col(xml), _article)), keep, "pubmed", title=of("title"), authors=of("authors"), year=year_of(of("year")), venue=F.coalesce(_tidy(of("venue")), F.when(of("error").isNull(), "PubMed")),
+                  abstract=F.array_join(_names(of("abstract")), " "), doi=of("doi"), pubmed_id=pmid, landing_page=F.when(pmid.isNotNull(), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/"))), error=of("error"))

@@ -1,5 +1,3 @@
-import pytest
-
 from lectern.sources import parsers
 
 
@@ -24,7 +22,22 @@ def test_xml(spark):
     assert rows[2]["authors"] == ["Group"] and rows[2]["pubmed_id"] == "7" and rows[1]["title"] == "Untitled" and rows[1]["authors"] == []
 
 
-@pytest.mark.parametrize("bad", ["<entry>", "plain"])
-def test_malformed_xml_is_an_error(spark, bad):
-    with pytest.raises(Exception):
-        parsers.entries(spark.createDataFrame([(1, bad)], "id int, x string"), "x", ["id"]).collect()
+def test_malformed_xml_is_a_row_with_an_error(spark):
+    d = spark.createDataFrame([(1, "<entry>"), (2, "plain"), (3, "<entry><title>T</title></entry>"), (4, "")], "id int, x string")
+    for f in (parsers.entries, parsers.articles):
+        rows = {r["id"]: r for r in f(d, "x", ["id"]).collect()}
+        assert len(rows) == 4 and rows[3]["error"] is None
+        for i in (1, 2, 4):
+            assert rows[i]["error"] and rows[i]["title"] == "Untitled" and rows[i]["authors"] == [] and rows[i]["year"] is None
+
+
+def test_articles_keep_authors_whole_and_nested_text(spark):
+    people = "".join(f"<Author>{a}</Author>" for a in (
+        "<LastName>Solo</LastName>", "<LastName>Doe</LastName><ForeName>Jane</ForeName><Initials>J</Initials>", "<CollectiveName>The <i>Group</i></CollectiveName>",
+        "<LastName>Ray</LastName><Initials>B</Initials>", "<ForeName>Nobody</ForeName>", "<LastName> </LastName>"))
+    text = "<AbstractText>a <sup>2</sup> b</AbstractText><AbstractText Label='X'> \n </AbstractText><AbstractText>end</AbstractText>"
+    date = "<JournalIssue><PubDate><Year>n.d.</Year><MedlineDate>2001 Jan-Feb</MedlineDate></PubDate></JournalIssue>"
+    xml = f"<A><MedlineCitation><PMID> 7 </PMID><Article><Journal><Title/><ISOAbbreviation>J. X</ISOAbbreviation>{date}</Journal><ArticleTitle>On <i>E. coli</i> growth</ArticleTitle><Abstract>{text}</Abstract><AuthorList>{people}</AuthorList><ELocationID EIdType='DOI'>10.1/A</ELocationID></Article></MedlineCitation></A>"
+    r = parsers.articles(spark.createDataFrame([(xml,)], "x string"), "x", []).first()
+    assert r["authors"] == ["Solo", "Jane Doe", "The Group", "B Ray"]
+    assert (r["title"], r["abstract"], r["year"], r["venue"], r["doi"], r["pubmed_id"], r["error"]) == ("On E. coli growth", "a 2 b end", 2001, "J. X", "10.1/a", "7", None)

@@ -2,9 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.llm import ann
-from lectern.operators import fusion, retrieval, stats
+from lectern.operators import diagnostics, fusion, judgement, retrieval, stats
 
 
 def test_permutation_keeps_every_group(spark):
@@ -50,10 +50,22 @@ def test_interval_has_all_rounds(spark, monkeypatch):
     assert again["a"]["low"] == pytest.approx(got["a"]["low"], abs=1e-6)
 
 
-def test_hybrid_and_recall(spark):
+def test_hybrid(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2), (2, 10, 1)], "query_id long, doc long, rank int")
     got = [(r["query_id"], r["doc"], r["lists"]) for r in fusion.hybrid(a, b, top=2).orderBy("query_id", "rank").collect()]
     assert got == [(1, 11, 2), (1, 10, 1), (2, 10, 1)]
-    found = ann.ann_recall(spark, "/root/testdata/sf0.001").collect()
-    assert found and min(r["recall"] for r in found) >= 0.5
+
+
+def test_ordinals_of_wide_rows_are_distinct(spark):
+    """A range exchange that is planned twice samples twice: with more columns than the key, ordinals once collided."""
+    d = spark.range(3_000_000).select((F.hash("id") % 1_000_003).alias("k"), "id")
+    got = diagnostics.numbered(d, "k").agg(F.count_distinct("ordinal").alias("n"), F.min("ordinal").alias("least"), F.max("ordinal").alias("most")).first()
+    assert tuple(got) == (3_000_000, 0, 2_999_999)
+
+
+def test_timeliness_of_open_ranges(spark):
+    rows = [(2020, None, 2020), (2020, None, 2031), (2020, None, 2019), (None, 2010, 1990), (None, 2010, 2011), (2010, 2010, 2010), (2000, 2015, 2015), (2000, 2015, 2000), (2020, None, None)]
+    d = spark.createDataFrame(rows, "a int, b int, year int").withColumn("years", F.struct(F.col("a").alias("start_year"), F.col("b").alias("end_year")))
+    got = [r[0] for r in d.select(judgement.timeliness(F.col("years"), F.col("year"), 2025)).collect()]
+    assert got == [0.85, 0.85, 0.0, 0.85, 0.0, 0.85, 1.0, 0.7, 0.0]
