@@ -58,3 +58,8 @@ def test_few_candidates_and_empty(spark):
     assert [(q, r, v) for q, r, v, _ in run(spark, frame(spark, vectors))] == [(0, 1, 1), (0, 2, 2)]
     assert run(spark, frame(spark, [[1.0, 2.0]])) == []
     assert run(spark, frame(spark, [])) == []
+
+
+def test_recall_query(spark):
+    found = ann.ann_recall(spark, "/root/testdata/sf0.001").collect()
+    assert found and min(r["recall"] for r in found) >= 0.5
