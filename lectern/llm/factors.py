@@ -213,7 +213,9 @@ def repeated(k: DataFrame, window: int = WINDOW) -> DataFrame:
     of_text = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("seed", "lo", "n", "place", "role")).alias("parts"))  # of one document
     texts = k.join(of_text.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "data", "parts")
     cut = common.materialize(texts.mapInArrow(_cut_out(window), _CUT), "contexts", rows=1000)
+    # written, so that the join below has an exchange on either side and a seed of very many runs can be split
     reference = cut.where("role = 1").dropDuplicates(["seed"]).select("seed", F.col("d").alias("rd"), F.col("lo").alias("rlo"), F.col("place").alias("rplace"), F.col("words").alias("rwords"))
+    reference = common.materialize(reference, "reference", rows=1000)
     pairs = cut.where("role = 0").join(reference, "seed").select("d", "t", "lo", "place", "words", "rd", "rlo", "rplace", "rwords")
     parsed = common.materialize(pairs.mapInArrow(_parse(window), "h1 long, h2 long, d long, t long, lo long, n long"), "factors", rows=10_000)
     edge = parsed.where("h1 is not null")
