@@ -169,18 +169,6 @@ def selected(ranked: DataFrame, partial: bool = False) -> DataFrame:
     return ranked.where(F.col("category").isin(names)).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(tier, "rank", "doc")))
 
 
-def sufficiency(found: DataFrame, limit: int, at_least: int = 8) -> DataFrame:
-    """found (query_id, candidates, core_terms, core_matched, dimensions, dimensions_matched, with_metadata, succeeded): whether a first
-    search suffices, and why not, in order. Coverage counts only for queries of six core terms or two dimensions."""
-    need = min(at_least, max(1, round(limit * 0.5)))
-    n = F.col("candidates")
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
-    hard = (F.col("core_terms") >= 6) | (F.col("dimensions") >= 2)
-    reasons = F.array_compact(F.array(F.when(~F.col("succeeded"), "failed"), F.when(n == 0, "empty").when(n < need, "few_candidates"), F.when(hard & (share("core_matched", "core_terms") < 0.6), "low_core_coverage"),
-                                      F.when(hard & (share("dimensions_matched", "dimensions") < 0.5), "low_constraint_coverage"), F.when((n > 0) & (F.col("with_metadata") / n < 0.5), "low_metadata_coverage")))
-    return found.withColumn("reasons", reasons).withColumn("sufficient", F.size("reasons") == 0)
-
-
 def near_duplicate(a: Column, b: Column, at_least: float = 0.8) -> Column:
     """Titles whose tokens have a Jaccard similarity of at least 0.8; an empty one is no copy of anything."""
     return T.jaccard(F.array_distinct(T.tokens(a)), F.array_distinct(T.tokens(b))) >= at_least

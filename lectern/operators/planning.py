@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import constants as C
 from lectern.functions import text as T
 
 #: Priority of facets; those that a query requires come 10 earlier.
@@ -85,3 +86,35 @@ def coverage(analysed: DataFrame, found: DataFrame) -> DataFrame:
     asked = analysed.select("query_id", F.explode("keywords").alias("term")).withColumn("w", F.lower("term"))
     j = asked.join(seen.withColumn("hit", F.lit(1)), ["query_id", "w"], "left")
     return j.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"), F.count("hit").alias("covered"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("term")))).alias("missing"))  # of one query
+
+
+def _reliable(terms: Column, given: Column) -> Column:
+    """Terms that a query may be built of: not required ones, not names of paper types, and, if inferred, in the text itself."""
+    weak = T.words_of(C.UNRELIABLE_FACET_TERMS)
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_+.#-]+"), F.lit(0))
+    low, text = F.transform("must", lambda m: F.lower(m)), F.lower("text")
+    return T.ordered_distinct(F.filter(F.transform(terms, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: (F.length(t) <= 80) & ~(F.array_contains("explicit", "must") & F.array_contains(low, F.lower(t)))
+                                       & ~F.lower(t).isin(*C.GENERIC_PAPER_TERMS) & (F.size(F.array_except(words(t), weak)) > 0) & (given | T.contains_term(text, F.lower(t)))))
+
+
+def disjunctive(analysed: DataFrame) -> DataFrame:
+    """(query_id, alternatives, musts): for queries with enough reliable terms, eight alternatives at most, dealt out by topic, method,
+    data set and task in turn, and the musts that the user has set, which stay required."""
+    tasks = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t)), F.lit(t)) for t in C.TASK_TERMS]))
+    explicit = lambda x: F.array_contains("explicit", x)
+    structured = F.transform(F.flatten(F.array("methods", "datasets", "venues", "types", tasks)), lambda t: F.lower(t))
+    single = F.flatten(F.transform(structured, lambda t: F.regexp_extract_all(t, F.lit(r"[a-z][a-z0-9+.#-]*"), F.lit(0))))
+    topic = F.filter(F.col("own_terms"), lambda t: ~F.array_contains(structured, F.lower(t)) & ~F.array_contains(single, F.lower(t)) & ~F.lower(t).isin(*C.GENERIC_PAPER_TERMS))
+    no = F.lit(False)
+    d = analysed.select("query_id", F.when(explicit("must"), F.col("must")).otherwise(F.array().cast("array<string>")).alias("musts"), _reliable(F.slice(topic, 1, 12), no).alias("a"),
+                        _reliable(F.col("methods"), explicit("methods")).alias("b"), _reliable(F.col("datasets"), explicit("datasets")).alias("c"), _reliable(tasks, no).alias("d"))
+    turns = F.flatten(F.transform(F.arrays_zip("a", "b", "c", "d"), lambda x: F.array(x["a"], x["b"], x["c"], x["d"])))
+    d = d.select("query_id", "musts", F.slice(T.ordered_distinct(F.array_compact(turns)), 1, C.DISJUNCTIVE_TERMS).alias("alternatives"))
+    return d.where(F.size("alternatives") >= C.DISJUNCTIVE_LEAST)
+
+
+def clauses(disjunctive: DataFrame) -> DataFrame:
+    """(query_id, clause, alternative): the alternatives as one clause, and a clause for each must."""
+    every = F.concat(F.transform("alternatives", lambda a: F.struct(F.lit(0).alias("clause"), a.alias("alternative"))),
+                     F.transform("musts", lambda m, i: F.struct((i + 1).alias("clause"), m.alias("alternative"))))
+    return disjunctive.select("query_id", F.explode(every).alias("x")).select("query_id", "x.*")

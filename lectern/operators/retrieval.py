@@ -49,8 +49,9 @@ def hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return every.join(asked, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, epsilon: float | None = None) -> DataFrame:
-    """What bm25 gives, from `hits` and docs (doc, tokens), so that no postings of terms that nobody asks for are made."""
+def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, epsilon: float | None = None, only: DataFrame | None = None) -> DataFrame:
+    """What bm25 gives, from `hits` and docs (doc, tokens), so that no postings of terms that nobody asks for are made.
+    only: pairs (query_id, doc) that are scored, others leave before that."""
     n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
     mean = total / n if n else 0.0
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -64,7 +65,8 @@ def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: floa
         df = df.withColumn("idf", F.when(raw < 0, F.lit(epsilon * floor)).otherwise(raw))
     weight = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     s = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-    return hit.join(weight, "term").groupBy("query_id", "doc").agg(F.sum(s).alias("score"))
+    pairs = hit.join(weight, "term") if only is None else hit.join(only.select("query_id", "doc"), "doc").join(weight, ["query_id", "term"])
+    return pairs.groupBy("query_id", "doc").agg(F.sum(s).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", places: int = 6) -> DataFrame:

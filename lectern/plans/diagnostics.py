@@ -178,16 +178,6 @@ def selected_results(spark, sf_dir):
     return D.selected(c, partial=True).select("query_id", "doc", "place")
 
 
-@query("""WITH f AS (SELECT o_orderkey AS query_id, o_orderkey % 13 AS n, o_custkey % 9 AS ct, least(o_custkey % 9, o_custkey % 4) AS cm, o_custkey % 4 AS dt, least(o_custkey % 4, o_custkey % 3) AS dm, least(o_orderkey % 13, o_custkey % 13) AS md, o_custkey % 17 > 0 AS ok FROM orders),
-r AS (SELECT query_id, list_filter([CASE WHEN NOT ok THEN 'failed' END, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 THEN 'few_candidates' END, CASE WHEN (ct >= 6 OR dt >= 2) AND CASE WHEN ct > 0 THEN cm / ct::DOUBLE ELSE 1 END < 0.6 THEN 'low_core_coverage' END,
-  CASE WHEN (ct >= 6 OR dt >= 2) AND CASE WHEN dt > 0 THEN dm / dt::DOUBLE ELSE 1 END < 0.5 THEN 'low_constraint_coverage' END, CASE WHEN n > 0 AND md / n::DOUBLE < 0.5 THEN 'low_metadata_coverage' END], lambda y: y IS NOT NULL) AS why FROM f)
-SELECT array_to_string(why, ',') AS reasons, len(why) = 0 AS sufficient, count(*) AS n FROM r GROUP BY ALL""")
-def retrieval_sufficiency(spark, sf_dir):
-    f = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), x("o_orderkey % 13").alias("candidates"), x("o_custkey % 9").alias("core_terms"), x("least(o_custkey % 9, o_custkey % 4)").alias("core_matched"), x("o_custkey % 4").alias("dimensions"),
-                                          x("least(o_custkey % 4, o_custkey % 3)").alias("dimensions_matched"), x("least(o_orderkey % 13, o_custkey % 13)").alias("with_metadata"), x("o_custkey % 17 > 0").alias("succeeded"))
-    return D.sufficiency(f, 20).groupBy(F.array_join("reasons", ",").alias("reasons"), "sufficient").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH d AS (SELECT doc_id, {tok('substr(text, 1, 120)')} AS w FROM documents) SELECT a.doc_id, CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END >= 0.8 AS copy FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""")
 def near_duplicate_titles(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("a"))
