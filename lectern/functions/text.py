@@ -1,10 +1,14 @@
-"""Column functions over text: tokenizers, normalisers, containment, query features. No UDFs.
+"""Column functions over text: tokenizers, normalisers, containment, query features. No UDFs but one over Arrow batches (nfkc).
 
 `lower` stands for case folding; the two differ for the German eszett and the dotted capital I.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -283,3 +287,27 @@ def dcg_gain(grade: Column, rank: Column) -> Column:
 
 def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normalisation of Unicode (NFKC). Null stays null. Batches of ASCII pass as they are; other texts go through Python's
+    tables, as Arrow's own kernel takes texts apart but does not compose them again."""
+    @F.arrow_udf("string")
+    def normalised(a: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(a), min_count=0).as_py():
+            return a
+        return pa.array([None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x) for x in a.to_pylist()], pa.string())
+
+    return normalised(text.cast("string"))
+
+
+def visible_query(text: Column) -> Column:
+    """A query as a snapshot's key has it: NFKC, without control characters but line breaks and tabs, in single blanks. Syntax, quotes and
+    order of words stay."""
+    shown = F.regexp_replace(nfkc(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
+    return F.trim(F.regexp_replace(shown, r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+
+
+def academic_tokens(text: Column) -> Column:
+    """Latin words with their inner `-_+#.` and runs of Chinese signs, of the normalised text, in order."""
+    return F.regexp_extract_all(F.coalesce(nfkc(text), F.lit("")), F.lit(r"[A-Za-z0-9]+(?:[-_+#.][A-Za-z0-9]+)*|[\x{4e00}-\x{9fff}]+"), F.lit(0))

@@ -71,14 +71,14 @@ def sign_flip(df: DataFrame, value: str, by: list[str], key: str, rounds: int =
     return j.groupBy(*by).agg(F.round((F.count(F.when(F.col("s") >= F.col("own") - 1e-9, 1)) + 1) / (rounds + 1), 6).alias("p"))
 
 
-def _group(by: list[str]) -> Column:
+def group_name(by: list[str]) -> Column:
     """A group as one string that is never null, so that groups of null keys join too."""
     return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("{}")
 
 
 def _cases(df: DataFrame, value: str, by: list[str], key: str, seed: str) -> DataFrame:
     """(_g, by, _k, _v): the group, a hash of the case, its value."""
-    return df.select(_group(by).alias("_g"), *by, F.col(key).alias("_key"), F.col(value).cast("double").alias("_v")).select("_g", *by, F.xxhash64(F.lit(seed), "_g", "_key").alias("_k"), "_v")
+    return df.select(group_name(by).alias("_g"), *by, F.col(key).alias("_key"), F.col(value).cast("double").alias("_v")).select("_g", *by, F.xxhash64(F.lit(seed), "_g", "_key").alias("_k"), "_v")
 
 
 def _blocks(cases: DataFrame, groups: DataFrame, n: str) -> DataFrame:
@@ -153,11 +153,17 @@ def exact_sign_flip(df: DataFrame, value: str, by: list[str], key: str, most: in
     return permutation(df, value, by, key, most).select(*by, "p")
 
 
+def generator(seed: str):
+    """Makes the random generator of a key: the same in every run."""
+    def start(*key) -> np.random.Generator:
+        return np.random.default_rng(list(hashlib.sha256(repr((seed, *key)).encode()).digest()))
+    return start
+
+
 def _resampled(rounds: int, seed: str):
     """A block's sum of drawn values in every round. How many of a round's n draws fall into each block is one multinomial
     draw of the group, which all its blocks repeat; so blocks need not meet before their sums do."""
-    def start(*key) -> np.random.Generator:
-        return np.random.default_rng(list(hashlib.sha256(repr((seed, *key)).encode()).digest()))
+    start = generator(seed)
 
     def run(batches):
         for b in batches:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, diagnostics, planning, records, retrieval
+from . import analysis, diagnostics, experiments, planning, records, retrieval
 
-MODULES = (retrieval, analysis, records, diagnostics, planning)
+MODULES = (retrieval, analysis, records, diagnostics, planning, experiments)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
