@@ -67,11 +67,14 @@ def guarded(profiled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFram
     cut, and what stays connected is a cluster. This does not depend on the order of papers. Clusters without a
     conflict are not touched.
     """
+    ids_of = profiled.select(F.col("paper_id").alias("node"), *[f"n_{f}" for f in FIELDS])
+    spread = roots.join(ids_of, "node").groupBy("root").agg(*[(F.min(f"n_{f}") != F.max(f"n_{f}")).alias(f) for f in FIELDS])
+    found = spread.agg(*[F.coalesce(F.max(f), F.lit(False)).alias(f) for f in FIELDS]).first()  # cutting makes no new conflicts
     for f in FIELDS:
-        nodes = roots.join(profiled.select(F.col("paper_id").alias("node"), F.col(f"n_{f}").alias("label")), "node")
-        bad = nodes.groupBy("root").agg(F.count_distinct("label").alias("n")).where("n > 1").select("root")
-        if bad.isEmpty():
+        if not found[f]:
             continue
+        nodes = roots.join(ids_of.select("node", F.col(f"n_{f}").alias("label")), "node")
+        bad = nodes.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
         nodes = materialize(nodes.join(bad, "root", "left_semi"), "nodes")
         inside = links.join(nodes.select(F.col("node").alias("left"), "root"), "left").select("left", "right")
         inside = materialize(inside, "inside")

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from lectern.functions import constants as C
 from lectern.functions import text as T
 from lectern.operators import audit, retrieval
-from lectern.shared import materialize
+from lectern.shared import materialize, spread
 
 AS_OF, K = 2025, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,10 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None, mb: int = 16)
     with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (batches(rows, mb) if rows else {})):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over as many partitions as there are cores, where its files make fewer (a few row groups of long texts): what is done with
+    texts then runs on all of them. A scan of more partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
