@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from lectern.functions import constants as C
 from lectern.functions import text as T
+from lectern.shared import materialize
+
+from .retrieval import few
 
 
 def phrases(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(phrase, doc): documents (doc, tokens) that hold a phrase (phrase, words). Only words of phrases are kept with their
-    places; those of a longer phrase must start at one place."""
+    """(phrase, doc): documents (doc, tokens; a row each) that hold a phrase (phrase, words). Only words of phrases go on, those of longer ones with
+    their places, which must be those of one start."""
     parts = wanted.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    places = docs.select("doc", F.posexplode("tokens").alias("pos", "term")).join(parts.select("term").distinct(), "term", "left_semi")
-    single = places.join(parts.where("n = 1").select("phrase", "term"), "term").select("phrase", "doc").distinct()
-    longer = places.join(parts.where("n > 1"), "term").groupBy("phrase", "n", "doc", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("found"))
+    parts = materialize(parts, "parts")
+    near = F.broadcast if few(parts) else lambda d: d
+    single = docs.select("doc", F.explode(F.array_distinct("tokens")).alias("term")).join(near(parts.where("n = 1").select("phrase", "term")), "term").select("phrase", "doc")
+    longer = docs.select("doc", F.posexplode("tokens").alias("pos", "term")).join(near(parts.where("n > 1")), "term").groupBy("phrase", "n", "doc", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("found"))
     return single.unionByName(longer.where("found = n").select("phrase", "doc").distinct())
 
 

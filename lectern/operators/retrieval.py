@@ -41,10 +41,21 @@ def bm25(queries: DataFrame, post: DataFrame, docs: DataFrame, k1: float = 1.2,
     return hit.groupBy("query_id", "doc").agg(F.sum(s).alias("score"))
 
 
+#: Rows, and bytes of terms, up to which what queries ask for is broadcast; beyond, it is joined by shuffles.
+ASKED_ROWS, ASKED_BYTES = 200_000, 8 << 20
+
+
+def few(asked: DataFrame) -> bool:
+    """Whether rows with a `term` are small enough to be broadcast."""
+    rows, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return rows <= ASKED_ROWS and size <= ASKED_BYTES
+
+
 def hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, dl, term, tf) of the terms that any query (query_id, terms) asks for, over docs (doc, tokens): other terms are
     dropped before anything is shuffled; dl is the number of all tokens of the document."""
     asked = queries.select(F.explode("terms").alias("term")).distinct()
+    asked = F.broadcast(asked) if few(asked) else asked
     every = docs.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     return every.join(asked, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -65,7 +76,12 @@ def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: floa
         df = df.withColumn("idf", F.when(raw < 0, F.lit(epsilon * floor)).otherwise(raw))
     weight = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     s = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-    pairs = hit.join(weight, "term") if only is None else hit.join(only.select("query_id", "doc"), "doc").join(weight, ["query_id", "term"])
+    if only is not None:
+        pairs = hit.join(only.select("query_id", "doc"), "doc").join(weight, ["query_id", "term"])
+    elif few(asked):  # a document's hits meet before queries multiply them: sums need no shuffle, and a limit by rank works in each task
+        pairs = hit.repartition("doc").join(F.broadcast(weight), "term")
+    else:
+        pairs = hit.join(weight, "term")
     return pairs.groupBy("query_id", "doc").agg(F.sum(s).alias("score"))
 
 
