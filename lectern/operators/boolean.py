@@ -1,8 +1,7 @@
 """Boolean retrieval: documents that satisfy every clause of a query, a clause being alternatives of which one is enough.
 
 An alternative is a term or a phrase, whose words must follow each other. Clauses of one alternative are musts: they are never
-relaxed, and pairs of a query and a document that fail them leave before any other clause is looked at. Nothing is scored
-before the last clause.
+relaxed. Nothing is scored before the last clause.
 """
 
 from __future__ import annotations
@@ -18,33 +17,27 @@ from .retrieval import few
 
 
 def phrases(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(phrase, doc): documents (doc, tokens; a row each) that hold a phrase (phrase, words). Only words of phrases go on, those of longer ones with
-    their places, which must be those of one start."""
-    parts = wanted.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    parts = materialize(parts, "parts")
-    near = F.broadcast if few(parts) else lambda d: d
-    single = docs.select("doc", F.explode(F.array_distinct("tokens")).alias("term")).join(near(parts.where("n = 1").select("phrase", "term")), "term").select("phrase", "doc")
-    longer = docs.select("doc", F.posexplode("tokens").alias("pos", "term")).join(near(parts.where("n > 1")), "term").groupBy("phrase", "n", "doc", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("found"))
-    return single.unionByName(longer.where("found = n").select("phrase", "doc").distinct())
+    """(phrase, doc): documents (doc, tokens) that hold a phrase (phrase, words), each pair once. One pass over the texts: only words of phrases
+    go on, those of longer ones with their places, which must be those of one start."""
+    parts = materialize(wanted.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term")), "parts")
+    near = F.broadcast(parts) if few(parts) else parts
+    start = F.when(F.col("n") > 1, F.col("pos") - F.col("offset"))
+    said = docs.select("doc", F.posexplode("tokens").alias("pos", "term")).join(near, "term").groupBy("doc", "phrase", "n", start.alias("start"))
+    return said.agg(F.count(F.lit(1)).alias("found")).where("n = 1 OR found = n").select("doc", "phrase").distinct()
 
 
 def matching(clauses: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc, alternatives): documents (doc, tokens) that satisfy all clauses (query_id, clause, alternative) of a query, and how
-    many different alternatives each holds. An alternative without words is never found; a clause of such alone fails."""
+    many different alternatives each holds. An alternative without words is never found; a clause of such alone fails. Documents without
+    an id match nothing. What a document holds is gathered once; which queries it satisfies is then counted in the same task."""
     c = clauses.withColumn("words", T.tokens(F.col("alternative"))).withColumn("phrase", F.array_join("words", " "))
-    shape = c.groupBy("query_id", "clause").agg(F.count_distinct("phrase").alias("options"))
-    need = shape.groupBy("query_id").agg(F.count(F.lit(1)).alias("clauses"), F.count(F.when(F.col("options") == 1, 1)).alias("musts"))
-    found = phrases(docs, c.where("phrase <> ''").select("phrase", "words").distinct())
-    asked = c.select("query_id", "clause", "phrase").distinct().join(shape, ["query_id", "clause"])
-    must = asked.where("options = 1").join(found, "phrase").groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("met"))
-    must = must.join(need, "query_id").where("met = musts").select("query_id", "doc", "met", "clauses")
-    other = asked.where("options > 1").join(need, "query_id")
-    after = must.where("met < clauses").select("query_id", "doc").join(other.where("musts > 0").select("query_id", "clause", "phrase"), "query_id").join(found, ["phrase", "doc"], "left_semi")
-    free = other.where("musts = 0").select("query_id", "clause", "phrase").join(found, "phrase")
-    any_ = after.select("query_id", "doc", "clause", "phrase").unionByName(free.select("query_id", "doc", "clause", "phrase"))
-    any_ = any_.groupBy("query_id", "doc").agg(F.count_distinct("clause").alias("any"), F.count(F.lit(1)).alias("held"))
-    both = must.select("query_id", "doc", F.col("met").alias("any"), F.col("met").alias("held")).unionByName(any_).groupBy("query_id", "doc").agg(F.sum("any").alias("any"), F.sum("held").alias("alternatives"))
-    return both.join(need, "query_id").where("any = clauses").select("query_id", "doc", "alternatives")
+    asked = c.select("query_id", "clause", "phrase").distinct().join(c.groupBy("query_id").agg(F.count_distinct("clause").alias("clauses")), "query_id")
+    asked = materialize(asked.withColumn("term", F.col("phrase")), "clauses")
+    found = materialize(phrases(docs.where(F.col("doc").isNotNull()), c.where("phrase <> ''").select("phrase", "words").distinct()), "phrases")
+    near = F.broadcast(asked.drop("term")) if few(asked) else asked.drop("term")
+    held = found.repartition("doc").join(near, "phrase").groupBy("query_id", "doc", "clauses", "clause").agg(F.count(F.lit(1)).alias("held"))
+    both = held.groupBy("query_id", "doc", "clauses").agg(F.count(F.lit(1)).alias("met"), F.sum("held").alias("alternatives"))
+    return both.where("met = clauses").select("query_id", "doc", "alternatives")
 
 
 def _plain(c: Column) -> Column:

@@ -43,6 +43,8 @@ def bm25(queries: DataFrame, post: DataFrame, docs: DataFrame, k1: float = 1.2,
 
 #: Rows, and bytes of terms, up to which what queries ask for is broadcast; beyond, it is joined by shuffles.
 ASKED_ROWS, ASKED_BYTES = 200_000, 8 << 20
+#: Scores (documents by queries) and products that a task holds at a time.
+CELLS, PRODUCTS = 1 << 20, 1 << 21
 
 
 def few(asked: DataFrame) -> bool:
@@ -53,20 +55,22 @@ def few(asked: DataFrame) -> bool:
 
 def hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, dl, term, tf) of the terms that any query (query_id, terms) asks for, over docs (doc, tokens): other terms are
-    dropped before anything is shuffled; dl is the number of all tokens of the document."""
-    asked = queries.select(F.explode("terms").alias("term")).distinct()
+    dropped before anything is shuffled; dl is the number of all tokens of the document. Every document has a row of the empty
+    term besides, so that totals need no second pass over the texts."""
+    asked = queries.select(F.explode(F.array_append("terms", F.lit(""))).alias("term")).distinct()
     asked = F.broadcast(asked) if few(asked) else asked
-    every = docs.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    every = docs.select("doc", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
     return every.join(asked, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, epsilon: float | None = None, only: DataFrame | None = None) -> DataFrame:
-    """What bm25 gives, from `hits` and docs (doc, tokens), so that no postings of terms that nobody asks for are made.
-    only: pairs (query_id, doc) that are scored, others leave before that."""
-    n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
-    mean = total / n if n else 0.0
-    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _weighted(asked: DataFrame, hit: DataFrame, docs: DataFrame, epsilon: float | None) -> tuple[DataFrame, float]:
+    """(query_id, term, w) of the terms that documents hold, and the mean length of a document."""
+    n, total = hit.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("tf") * F.col("dl")), F.lit(0))).first()
+    df = hit.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if epsilon is None:
         df, asked = df.withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))), asked.withColumn("qtf", F.lit(1))
@@ -74,17 +78,107 @@ def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: floa
         every = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         floor = every.agg(F.avg(raw)).first()[0] or 0.0
         df = df.withColumn("idf", F.when(raw < 0, F.lit(epsilon * floor)).otherwise(raw))
-    weight = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    s = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
+    return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")), total / n if n else 0.0
+
+
+def _frequency(k1: float, b: float, mean: float) -> Column:
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
+
+
+def bm25_over_hits(queries: DataFrame, hit: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, epsilon: float | None = None, only: DataFrame | None = None) -> DataFrame:
+    """What bm25 gives, from `hits` and docs (doc, tokens), so that no postings of terms that nobody asks for are made.
+    only: pairs (query_id, doc) that are scored, others leave before that."""
+    weight, mean = _weighted(_asked(queries), hit, docs, epsilon)
+    s = F.col("w") * _frequency(k1, b, mean)
     if only is not None:
         pairs = hit.join(only.select("query_id", "doc"), "doc").join(weight, ["query_id", "term"])
-    elif few(asked):  # a document's hits meet before queries multiply them: sums need no shuffle, and a limit by rank works in each task
-        pairs = hit.repartition("doc").join(F.broadcast(weight), "term")
     else:
         pairs = hit.join(weight, "term")
     return pairs.groupBy("query_id", "doc").agg(F.sum(s).alias("score"))
 
 
+def _blocks(shared, k: int, marked: bool):
+    """The k best of a block of documents for every query, in top_k's order, from rows (doc, terms, frequencies[, queries, marks])."""
+    def run(batches):
+        start, query, weight, ids = shared.value
+        wide, signed = len(ids), bool((weight <= 0).any())
+        step = max(1, CELLS // max(1, wide))
+        for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))])
+            term, x = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            if marked:
+                own = np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))])
+                asked, mark = np.searchsorted(ids, batch.column(3).flatten().to_numpy()), batch.column(4).flatten().to_numpy()
+            for i in range(0, len(doc), step):
+                j = min(i + step, len(doc))
+                score, seen = np.zeros((j - i) * wide), np.zeros((j - i) * wide, dtype=bool)
+                t, v, row = term[ends[i]:ends[j]], x[ends[i]:ends[j]], np.repeat(np.arange(j - i), np.diff(ends[i:j + 1]))
+                many = start[t + 1] - start[t]
+                upto = np.concatenate([[0], np.cumsum(many)])
+                a = 0
+                while a < len(t):
+                    z = max(a + 1, int(np.searchsorted(upto, upto[a] + PRODUCTS, side="right")) - 1)
+                    n = many[a:z]
+                    at = np.repeat(start[t[a:z]] - (upto[a:z] - upto[a]), n) + np.arange(upto[z] - upto[a])
+                    cell = np.repeat(row[a:z] * wide, n) + query[at]
+                    score += np.bincount(cell, np.repeat(v[a:z], n) * weight[at], minlength=len(score))
+                    if signed:
+                        seen[cell] = True
+                    a = z
+                held = (seen if signed else score > 0).reshape(j - i, wide)
+                marks = np.zeros((j - i, wide), dtype=np.int64)
+                if marked:
+                    place = np.repeat(np.arange(j - i), np.diff(own[i:j + 1])), asked[own[i]:own[j]]
+                    allowed = np.zeros((j - i, wide), dtype=bool)
+                    allowed[place], marks[place] = True, mark[own[i]:own[j]]
+                    held = held & allowed
+                by_id = np.argsort(doc[i:j], kind="stable")
+                s = np.where(held, _rounded(score.reshape(j - i, wide)), -np.inf)[by_id].T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(wide), top.shape[1])
+                keep = np.isfinite(s[q, top.ravel()])
+                q, d = q[keep], top.ravel()[keep]
+                out = [pa.array(ids[q]), pa.array(doc[i:j][by_id[d]]), pa.array(s[q, d])] + ([pa.array(marks[by_id[d], q])] if marked else [])
+                yield pa.RecordBatch.from_arrays(out, ["query_id", "doc", "score"] + ["mark"] * marked)
+    return run
+
+
+def best(queries: DataFrame, hit: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, epsilon: float | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc, score, rank): the k best of bm25_over_hits by top_k, ties to the smaller doc.
+
+    only: pairs (query_id, doc, mark) that are scored, each once; the mark is a number that stays with the pair. Where the queries'
+    terms are few enough to be broadcast and ids are whole numbers, a task sums all queries' scores of a block of documents
+    as arrays and sends on k of a query; no pair of a query and a document is shuffled. Beyond, pairs are joined and grouped.
+    Documents and queries without an id are not ranked.
+    """
+    hit, queries = hit.where("doc IS NOT NULL"), queries.where("query_id IS NOT NULL")
+    asked = _asked(queries)
+    whole = all(f.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for f, c in ((hit, "doc"), (queries, "query_id")))
+    if not whole or not few(asked):
+        scored = bm25_over_hits(queries, hit, docs, k1, b, epsilon, only)
+        return top_k(scored if only is None else scored.join(only, ["query_id", "doc"]), k)
+    weight, mean = _weighted(asked, hit, docs, epsilon)
+    found = weight.select("query_id", "term", "w").toArrow().combine_chunks()  # at most ASKED_ROWS, of the queries alone
+    ids, query = np.unique(found["query_id"].to_numpy().astype(np.int64), return_inverse=True)
+    code = found["term"].combine_chunks().dictionary_encode()
+    term = code.indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((query, term))
+    start = np.searchsorted(term[order], np.arange(len(code.dictionary) + 1))
+    spark = hit.sparkSession
+    shared = spark.sparkContext.broadcast((start, query[order], found["w"].to_numpy()[order], ids))
+    terms = spark.createDataFrame(pa.table({"term": code.dictionary, "t": np.arange(len(code.dictionary), dtype=np.int32)}))
+    near = hit.join(F.broadcast(terms), "term").select(F.col("doc").cast("long").alias("doc"), "t", _frequency(k1, b, mean).alias("x"))
+    rows = near.groupBy("doc").agg(F.collect_list(F.struct("t", "x")).alias("h")).select("doc", "h.t", "h.x")  # asked terms of one document
+    if only is not None:
+        known = only.where(F.col("doc").isNotNull()).join(F.broadcast(weight.select("query_id").distinct()), "query_id", "left_semi")
+        pairs = known.groupBy(F.col("doc").cast("long").alias("doc")).agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("q"), F.col("mark").cast("long").alias("m"))).alias("p"))  # queries of one document
+        rows = rows.join(pairs, "doc").select("doc", "t", "x", "p.q", "p.m")
+    scored = rows.mapInArrow(_blocks(shared, k, only is not None), "query_id long, doc long, score double" + (", mark long" if only is not None else ""))
+    types = {"query_id": queries.schema["query_id"].dataType, "doc": hit.schema["doc"].dataType}
+    return top_k(scored.withColumns({c: F.col(c).cast(t) for c, t in types.items()}), k)
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id", places: int = 6) -> DataFrame:
     """Adds rank: score rounded, ties to the smaller doc."""
     s = scored.withColumn("score", F.round("score", places))
