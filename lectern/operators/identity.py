@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +81,16 @@ def guarded(profiled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFram
         inside = links.join(nodes.select(F.col("node").alias("left"), "root"), "left").select("left", "right")
         inside = materialize(inside, "inside")
         both = inside.unionByName(inside.select(F.col("right").alias("left"), F.col("left").alias("right")))
-        while True:
-            near = both.join(nodes.where("label is not null").select(F.col("node").alias("right"), "label"), "right").groupBy(F.col("left").alias("node")).agg(F.min("label").alias("_near"))
-            step = nodes.where("label is null").select("node").join(near, "node")
-            if step.isEmpty():
+        known = nodes.where("label is not null").select("node", "label")
+        free, front, steps = nodes.where("label is null").select("node"), known, [known]
+        while not free.isEmpty():  # only papers that the last step labelled can label others
+            near = both.join(front.select(F.col("node").alias("right"), "label"), "right").groupBy(F.col("left").alias("node")).agg(F.min("label").alias("label"))
+            front = materialize(free.join(near, "node"), "front")
+            if front.isEmpty():
                 break
-            nodes = materialize(nodes.join(step, "node", "left").select("node", "root", F.coalesce("label", "_near").alias("label")), "nodes")
+            steps.append(front)
+            free = materialize(free.join(front, "node", "left_anti"), "free")
+        nodes = nodes.drop("label").join(reduce(DataFrame.unionByName, steps), "node", "left")
         label = nodes.select("node", "label")
         kept = inside.join(label.select(F.col("node").alias("left"), F.col("label").alias("a")), "left").join(label.select(F.col("node").alias("right"), F.col("label").alias("b")), "right").where(F.col("a").eqNullSafe(F.col("b"))).select("left", "right")
         kept = materialize(kept, "kept")
