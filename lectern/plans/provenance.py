@@ -31,7 +31,7 @@ NAMED = f"named AS (SELECT *, list_filter([CASE WHEN arxiv IS NOT NULL THEN 'arx
 
 
 def _profiles(spark, sf_dir):
-    r = materialize(E.records(spark, sf_dir), "records")
+    r = E.records(spark, sf_dir)
     return r, materialize(identity.profiles(r), "profiles")
 
 
@@ -127,7 +127,7 @@ def rank_provenance(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir):
-    r = materialize(E.records(spark, sf_dir), "records")
+    r = E.records(spark, sf_dir)
     s2 = F.concat(F.lit("s2:"), F.substring(F.md5("abstract"), 9, 10))
     own = materialize(identity.profiles(r.withColumn("semantic_scholar_id", F.when(F.col("year") % 4 == 0, s2))), "profiles")
     found = materialize(identity.profiles(r.where("year % 2 = 0 OR year % 3 = 0").withColumn("semantic_scholar_id", F.when(F.col("year") % 2 == 0, s2))), "found")

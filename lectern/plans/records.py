@@ -31,12 +31,11 @@ def query(sql: str | None = None):
 
 
 def records(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents")
     p = B.papers(spark, sf_dir).withColumnRenamed("doc", "paper_id").drop("n_sources", "n_ids")
-    own = d.select(F.col("doc_id").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), F.upper(F.substring(F.md5("text"), 1, 12)))).alias("doi"),
-                   F.when(F.col("doc_id") % 3 != 1, F.concat(F.lit("arXiv:"), F.substring(F.md5(F.concat(F.lit("a"), "text")), 1, 10), F.lit("v"), (F.col("doc_id") % 4).cast("string"))).alias("arxiv_id"),
-                   F.array(F.concat(F.lit("Author "), F.substring(F.md5("text"), 1, 6)), "source").alias("authors"))
-    return p.join(own, "paper_id")
+    n, text = F.col("paper_id"), F.col("abstract")
+    return p.withColumns({"doi": F.when(n % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), F.upper(F.substring(F.md5(text), 1, 12)))),
+                          "arxiv_id": F.when(n % 3 != 1, F.concat(F.lit("arXiv:"), F.substring(F.md5(F.concat(F.lit("a"), text)), 1, 10), F.lit("v"), (n % 4).cast("string"))),
+                          "authors": F.array(F.concat(F.lit("Author "), F.substring(F.md5(text), 1, 6)), "source")})
 
 
 RECORDS = """records AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || substr(md5(text), 1, 12) END AS doi, CASE WHEN doc_id % 3 <> 1 THEN substr(md5('a' || text), 1, 10) END AS arxiv,
