@@ -1,5 +1,7 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,26 @@ def test_dense_ties_go_to_the_smallest_ids(spark):
     assert retrieval._rounded(np.array([0.0078125, -0.0078125, 2.5e-7])).tolist() == [0.007813, -0.007813, 0.0]
 
 
+def test_bootstrap_draws_are_no_rows(spark, monkeypatch):
+    """The draws of SQL in one block and in many, with unknown values, and no draw is a row that a join could broadcast."""
+    monkeypatch.setattr(stats, "ROUNDS", 16)
+    cases = {"a": [float(i * i % 31) for i in range(40)], "b": [1.5, None, 4.0], "c": [2.0], "d": [None]}
+    d = spark.createDataFrame([(g, i, v) for g, vs in cases.items() for i, v in enumerate(vs)], "g string, i int, v double").repartition(3)
+    want = {}
+    for g, vs in cases.items():
+        means = []
+        for r in range(40):
+            x = [vs[int(hashlib.md5(f"boot:{r}:{i}".encode()).hexdigest()[:8], 16) % len(vs)] for i in range(len(vs))]
+            x = [v for v in x if v is not None]
+            means += [sum(x) / len(x)] if x else []
+        want[g] = (pytest.approx(np.percentile(means, 2.5), abs=2e-6), pytest.approx(np.percentile(means, 97.5), abs=2e-6), 40) if means else (None, None, 40)
+    for block in (7, 16384):
+        monkeypatch.setattr(stats, "BLOCK", block)
+        got = stats.bootstrap(d, "v", ["g"], "i", 40)
+        assert {r["g"]: (r["low"], r["high"], r["rounds"]) for r in got.collect()} == want
+        assert "Generate" not in got._jdf.queryExecution().toString()
+
+
 def test_interval_has_all_rounds(spark, monkeypatch):
     """Bounds of 20,000 rounds lie close to those of another generator, in one block and in many."""
     rng = np.random.default_rng(4)
