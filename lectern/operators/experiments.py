@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import constants as C
-from lectern.shared import materialize
+from lectern.shared import batches, materialize, settings
 
 from . import stats
 
@@ -203,15 +203,124 @@ def permuted_labels(df: DataFrame, component: str, key: str, label: str, rounds:
     return pair.join(cases.select(component, key, "_i"), component).join(donor, ["_donor", "_i"]).select("round", component, key, F.col("_label").alias(label))
 
 
+#: Cases that a block of components holds, about, and rounds that a packed row holds.
+CASES, ROUNDS = 1 << 16, 64
+
+
+def _patterns(labels: np.ndarray) -> np.ndarray:
+    """Bits of the labels of components of one size: those that are 1, then those that are neither 1 nor 0."""
+    return np.concatenate((np.packbits(labels == 1, axis=1), np.packbits((labels != 1) & (labels != 0), axis=1)), axis=1)
+
+
+def _packed(batches):
+    """The patterns of a block of components, and their hashes in every round, by the range of hashes that they fall into."""
+    for b in batches:
+        for size, parts, lo, hashes, labels in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), b.column(4)):
+            ls = labels.values.fill_null(-1).to_numpy(zero_copy_only=False).reshape(-1, size)
+            u = hashes.values.flatten().to_numpy().reshape(len(ls), -1).T
+            rounds, pattern = len(u), _patterns(ls)
+            u = u.ravel()
+            to = np.minimum(np.floor((u / 2.0**64 + 0.5) * parts).astype(np.int64), parts - 1)
+            order = np.argsort(to, kind="stable")  # within a range, by round
+            ends = np.cumsum(np.bincount(to))
+            rows = []
+            for k, (i, j) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+                if j > i:
+                    at = order[i:j]
+                    rows.append((size, lo, k, np.bincount(at // len(ls), minlength=rounds).astype("<i4").tobytes(), u[at].astype("<i8").tobytes(), pattern[at % len(ls)].tobytes()))
+            yield pa.RecordBatch.from_pylist([dict(zip(_SENT.names, r)) for r in rows], _SENT)
+
+
+_SENT = pa.schema([("_size", pa.int32()), ("_lo", pa.int32()), ("_at", pa.int64()), ("_many", pa.binary()), ("_u", pa.binary()), ("_p", pa.binary())])
+
+
+def _sorted(batches):
+    """A range of hashes: the patterns of each round in the order of their hashes, and how many."""
+    for b in batches:
+        for size, lo, at, parts in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+            parts = parts.values.to_pylist()
+            many = np.stack([np.frombuffer(x["_many"], "<i4") for x in parts])
+            of = np.concatenate([np.repeat(np.arange(many.shape[1]), m) for m in many])
+            u = np.concatenate([np.frombuffer(x["_u"], "<i8") for x in parts])
+            pattern = np.concatenate([np.frombuffer(x["_p"], np.uint8) for x in parts]).reshape(len(u), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([lo], pa.int32()), pa.array([at], pa.int64()), pa.array([many.sum(axis=0).tolist()], pa.list_(pa.int64())), pa.array([pattern[np.lexsort((u, of))].tobytes()], pa.binary())], ["_size", "_lo", "_at", "_n", "_p"])
+
+
+_CUT = pa.schema([("_size", pa.int32()), ("_lo", pa.int32()), ("_at", pa.int64()), ("_round", pa.list_(pa.int32())), ("_off", pa.list_(pa.int64())), ("_len", pa.list_(pa.int64())), ("_p", pa.binary())])
+
+
+def _cut(batches):
+    """The sorted patterns of a range, in each round cut at the ends of the blocks of components whose places they take."""
+    for b in batches:
+        for size, lo, counts, starts, of, raw in zip(*(b.column(i).to_pylist() for i in range(6))):
+            bound = np.r_[0, np.cumsum([x["_n"] for x in of])]
+            pattern = np.frombuffer(raw, np.uint8).reshape(-1, 2 * -(-size // 8))
+            out, used = {}, 0
+            for r, (c, at) in enumerate(zip(counts, starts)):
+                while c:
+                    k = int(np.searchsorted(bound, at, side="right")) - 1
+                    n = int(min(c, bound[k + 1] - at))
+                    x = out.setdefault(of[k]["_at"], ([], [], [], []))
+                    x[0].append(r), x[1].append(int(at - bound[k])), x[2].append(n), x[3].append(pattern[used:used + n].tobytes())
+                    at, c, used = at + n, c - n, used + n
+            yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, (size, lo, k, *x[:3], b"".join(x[3])))) for k, x in out.items()], _CUT)
+
+
+def _met(batches):
+    """Sums and numbers of a block's known values under label 1 and under label 0, in every round."""
+    for b in batches:
+        for size, lo, pieces, values in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2), b.column(3)):
+            v = values.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            known = values.values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size)
+            v = np.where(known, v, 0.0)
+            out = np.zeros((ROUNDS, 4))
+            for x in pieces.values.to_pylist():
+                bits = np.unpackbits(np.frombuffer(x["_p"], np.uint8).reshape(-1, 2, -(-size // 8)), axis=2, count=size).astype(bool)
+                used = 0
+                for r, off, n in zip(x["_round"], x["_off"], x["_len"]):
+                    one, rest = bits[used:used + n, 0], bits[used:used + n, 1]
+                    own, has = v[off:off + n], known[off:off + n]
+                    none = has & ~one & ~rest
+                    out[r] += (own[one].sum(), (has & one).sum(), own[none].sum(), none.sum())
+                    used += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + ROUNDS), pa.int32()), *(pa.array(c) for c in out.T)], ["round", "_s1", "_c1", "_s0", "_c0"])
+
+
 def component_permutation(df: DataFrame, component: str, key: str, label: str, value: str, rounds: int = 1000, seed: str = "components") -> DataFrame:
     """(n, labelled, difference, p, rounds): how far the mean of value differs between labels, and how often labels permuted as whole patterns of
-    components give as much: p = (extreme + 1) / (rounds + 1). A round is summed before rounds meet."""
+    components give as much: p = (extreme + 1) / (rounds + 1). The permutations are those of permuted_labels.
+
+    Components of one size stand in blocks, by hash. In every round their patterns go, as bits, to ranges of the round's hashes, are sorted there,
+    and go on to the blocks whose places they take, which sum. So neither a case nor a component is a row in any round, and no task holds a whole size.
+    """
     d = materialize(df.select(component, key, F.col(label).cast("int").alias(label), F.col(value).cast("double").alias(value)), "labelled")
     gap = F.abs(F.avg(F.when(F.col(label) == 1, F.col(value))) - F.avg(F.when(F.col(label) == 0, F.col(value))))
     own = d.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("labelled"), gap.alias("_own"))
-    drawn = permuted_labels(d, component, key, label, rounds, seed).join(d.select(component, key, value), [component, key]).groupBy("round").agg(gap.alias("_gap"))
-    j = drawn.join(F.broadcast(own))  # one row
-    return j.groupBy("n", "labelled").agg(stats.settled(F.max("_own")).alias("difference"), F.round((F.count(F.when(F.col("_gap") >= F.col("_own") - 1e-12, 1)) + 1) / (F.lit(rounds) + 1), 6).alias("p"), F.count(F.lit(1)).alias("rounds"))
+    h = lambda *c: F.xxhash64(F.lit(seed), *c)
+    units = d.groupBy(component).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(label).alias("l"), F.col(value).alias("v")))).alias("_c"))  # cases of a component
+    units = units.select(F.size("_c").alias("_size"), h(component).alias("_h"), F.col(component).alias("_k"), F.col("_c.l").alias("_l"), F.col("_c.v").alias("_v"))
+    units = materialize(units, "units")
+    sizes = units.groupBy("_size").agg(F.ceil(F.count(F.lit(1)) * F.col("_size") / CASES).alias("_m"))
+    at = F.least(F.col("_m") - 1, F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_m")))
+    blocks = units.join(sizes, "_size").groupBy("_size", "_m", at.alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_h", "_k", "_l", "_v"))).alias("_c"))  # about CASES
+    blocks = materialize(blocks.select("_size", "_m", "_at", F.size("_c").cast("long").alias("_n"), F.col("_c._k").alias("_ks"), F.flatten("_c._l").alias("_ls"), F.flatten("_c._v").alias("_vs")), "blocks")
+    every = stats.dealt_out(blocks.select("_size", "_m", "_ks", "_ls", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(ROUNDS))).alias("_lo")))
+    drawn = F.transform("_ks", lambda k: F.transform(F.sequence(F.col("_lo"), F.least(F.col("_lo") + ROUNDS, F.lit(rounds)) - 1), lambda r: h(r, k)))
+    with settings(df.sparkSession, batches(4, 16)):
+        sent = every.select("_size", "_m", "_lo", drawn, "_ls").mapInArrow(_packed, "_size int, _lo int, _at long, _many binary, _u binary, _p binary")
+        gathered = sent.groupBy("_size", "_lo", "_at").agg(F.collect_list(F.struct("_many", "_u", "_p")).alias("_x"))  # ROUNDS rounds of about CASES cases
+        donors = materialize(gathered.mapInArrow(_sorted, "_size int, _lo int, _at long, _n array<long>, _p binary"), "donors", rows=4)
+        counts = donors.select("_size", "_lo", "_at", F.posexplode("_n").alias("r", "c"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("_size", "_lo", "r").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.withColumn("s", before).groupBy("_size", "_lo", "_at").agg(F.sort_array(F.collect_list(F.struct("r", "s"))).alias("_s")).select("_size", "_lo", "_at", F.col("_s.s").alias("_s"))
+        of = blocks.groupBy("_size").agg(F.sort_array(F.collect_list(F.struct("_at", "_n"))).alias("_of"))  # a size's blocks
+        cut = donors.join(starts, ["_size", "_lo", "_at"]).join(of, "_size").select("_size", "_lo", "_n", "_s", "_of", "_p").mapInArrow(_cut, "_size int, _lo int, _at long, _round array<int>, _off array<long>, _len array<long>, _p binary")
+        pieces = cut.groupBy("_size", "_lo", "_at").agg(F.collect_list(F.struct("_round", "_off", "_len", "_p")).alias("_x"))  # ROUNDS rounds of a block
+        met = pieces.join(blocks.select("_size", "_at", "_vs"), ["_size", "_at"]).select("_size", "_lo", "_x", "_vs").mapInArrow(_met, "round int, _s1 double, _c1 double, _s0 double, _c0 double")
+        sums = materialize(met.where(F.col("round") < rounds).groupBy("round").agg(*[F.sum(c).alias(c) for c in ("_s1", "_c1", "_s0", "_c0")]), "sums", rows=4)
+    mean = lambda i: F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}") / F.col(f"_c{i}"))
+    j = sums.select(F.abs(mean(1) - mean(0)).alias("_gap")).join(F.broadcast(own))  # one row
+    return j.groupBy("n", "labelled").agg(stats.settled(F.max("_own")).alias("difference"), F.round((F.count(F.when(F.col("_gap") >= F.col("_own") - 1e-9 * F.greatest(F.lit(1.0), F.col("_own")), 1)) + 1) / (F.lit(rounds) + 1), 6).alias("p"), F.count(F.lit(1)).alias("rounds"))
 
 
 # logistic diagnostic

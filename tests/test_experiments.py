@@ -98,6 +98,26 @@ def test_labels_move_as_patterns(spark):
     assert t["p"] == pytest.approx(p, abs=0.12)
 
 
+def test_component_permutation_in_blocks(spark, monkeypatch):
+    """The rounds of permuted_labels, in one block and in many, with unknown labels and values; components of ten cases take more than a byte."""
+    rng = np.random.default_rng(12)
+    rows = [(c, i, None if rng.random() < 0.1 else int(rng.random() < 0.4), None if rng.random() < 0.1 else float(rng.normal())) for c in range(90) for i in range((1, 3, 10)[c % 3])]
+    d = spark.createDataFrame(rows, "c int, k int, label int, v double").repartition(3)
+    v = {(c, k): x for c, k, _, x in rows}
+    gap = lambda y: abs(np.mean([v[k] for k, x in y.items() if x == 1 and v[k] is not None]) - np.mean([v[k] for k, x in y.items() if x == 0 and v[k] is not None]))
+    own, drawn = gap({(c, k): x for c, k, x, _ in rows}), {}
+    for r in X.permuted_labels(d, "c", "k", "label", 30).collect():
+        drawn.setdefault(r["round"], {})[r["c"], r["k"]] = r["label"]
+    p = round((sum(gap(y) >= own - 1e-9 for y in drawn.values()) + 1) / 31, 6)
+    monkeypatch.setattr(X, "ROUNDS", 8)
+    for cases in (20, 1 << 16):
+        monkeypatch.setattr(X, "CASES", cases)
+        t = X.component_permutation(d, "c", "k", "label", "v", rounds=30).first()
+        assert (t["p"], t["rounds"]) == (p, 30) and t["difference"] == pytest.approx(own, abs=2e-6)
+    monkeypatch.setattr(X, "permuted_labels", None)  # no row for each case and round
+    assert X.component_permutation(d, "c", "k", "label", "v", rounds=8).first()["rounds"] == 8
+
+
 def test_logistic_equals_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, [1, 50, 0.01], (240, 3)) + [0, 1000, 0]
