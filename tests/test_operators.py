@@ -137,6 +137,29 @@ def test_similar_queries_lose_nothing(spark):
     assert all(comp[a] == comp[b] for a, b in want)
 
 
+def test_similar_queries_write_few_candidates(spark, monkeypatch):
+    """Sets that share a rare token but little else are ruled out in the join, in long sets too; what is written holds every pair."""
+    import random
+
+    rng, sets = random.Random(8), []
+    for i in range(120):
+        own = {f"c{i % 6}", *(f"w{x}" for x in rng.sample(range(3000), rng.choice([12, 40, 150])))}
+        sets += [own, own - set(rng.sample(sorted(own), len(own) // 10)) | {f"n{i}"}]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "query_id long, text string")
+    kept, write = {}, audit.materialize
+    monkeypatch.setattr(audit, "materialize", lambda d, tag, **kind: kept.setdefault(tag, write(d, tag, **kind)))
+    got = {(a, b) for a, b, _ in rows(audit.similar_queries(df))}
+    assert got == {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert len(got) > 60 and kept["candidates"].count() < 2 * len(got)
+
+
+def test_inverted_in_the_row(spark):
+    texts = [(1, "b a b c a b".split()), (2, []), (3, None), (4, ["x"])]
+    d = spark.createDataFrame(texts, "i int, t array<string>").select("i", corpora.inverted(F.col("t")).alias("m"))
+    assert {r["i"]: r["m"] for r in d.collect()} == {1: {"a": [1, 4], "b": [0, 2, 5], "c": [3]}, 2: None, 3: None, 4: {"x": [0]}}
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(x) for x in [{"_id": "1", "title": " T ", "authors": "A, B,A", "update_date": "2019-03-02"}, {"paper_id": "1", "Title": "Z"}, {"id": "2"}, {"title": "x"}]) + "\n\n")
     got, report = corpora.convert(corpora.read_records(spark, str(tmp_path / "a.jsonl")))
