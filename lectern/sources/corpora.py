@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import year_of
+from lectern.functions.text import let, year_of
 
 
 def path_value(json: Column, path: str) -> Column:
@@ -122,6 +122,17 @@ def replay(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("digest").isNull(), "missing").when(F.sha2("content", 256) != F.col("digest"), "corrupt").otherwise("hit"))
 
 
+def inverted(tokens: Column) -> Column:
+    """A map of words to their positions from 0, made in the row: sorted pairs are cut where the word changes."""
+    pairs = F.array_sort(F.transform(tokens, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+
+    def entries(x):
+        first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["w"] != F.get(x, i - 1)["w"]))
+        return let(first, lambda f: F.transform(f, lambda a, k: F.struct(F.get(x, a)["w"].alias("w"), F.transform(F.slice(x, a + 1, F.coalesce(F.get(f, k + 1), F.size(x)) - a), lambda e: e["p"]).alias("ps"))))
+
+    return F.when(F.size(tokens) > 0, F.map_from_entries(let(pairs, entries)))
+
+
 def inverted_abstract(index: Column) -> Column:
     """Text of an abstract that is given as a map of words to positions: by position, then word."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
