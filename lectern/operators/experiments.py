@@ -149,19 +149,14 @@ def _ratios(rounds: int, seed: str):
     def run(batches):
         for b in batches:
             for g, at, vs, ws, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist()):
-                v = np.stack((np.array(vs.values), np.array(ws.values)))
+                v = np.array(vs.values) + 1j * np.array(ws.values)  # both sums of one look-up
                 size = np.array([x["n"] for x in of], np.int64)
                 place = [x["_b"] for x in of].index(at)
-                dealing, drawing, out = start(g), start(g, at), np.zeros((2, rounds))
+                dealing, drawing, out = start(g), start(g, at), np.zeros(rounds, complex)
                 for lo in range(0, rounds, 1024):
                     count = dealing.multinomial(size.sum(), size / size.sum(), size=min(1024, rounds - lo))[:, place]
-                    step = max(1, 2_000_000 // v.shape[1])
-                    for i in range(0, len(count), step):
-                        c = count[i:i + step]
-                        drawn, row = drawing.integers(0, v.shape[1], c.sum()), np.repeat(np.arange(len(c)), c)
-                        for k in (0, 1):
-                            out[k, lo + i:lo + i + len(c)] = np.bincount(row, v[k, drawn], len(c))
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([out[0]], pa.list_(pa.float64())), pa.array([out[1]], pa.list_(pa.float64()))], ["_g", "_a", "_c"])
+                    out[lo:lo + len(count)] = stats.drawn_sums(v, count, drawing)
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([out.real], pa.list_(pa.float64())), pa.array([out.imag], pa.list_(pa.float64()))], ["_g", "_a", "_c"])
     return run
 
 
@@ -179,7 +174,7 @@ def ratio_interval(df: DataFrame, numerator: str, denominator: str, component: s
     blocks = units.where("_n > 0").join(many, "_g").groupBy("_g", F.pmod(h, "_m").alias("_b")).agg(F.sort_array(F.collect_list(F.struct(h.alias("_h"), "_v", "_w"))).alias("_c"))  # a block
     blocks = materialize(blocks.select("_g", "_b", F.col("_c._v").alias("_vs"), F.col("_c._w").alias("_ws")), "blocks")
     of = blocks.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_b", F.size("_vs").alias("n")))).alias("_of"))  # 256 at most
-    sums = blocks.join(of, "_g").select("_g", "_b", "_vs", "_ws", "_of").mapInArrow(_ratios(rounds, seed), "_g string, _a array<double>, _c array<double>")
+    sums = stats.dealt_out(blocks.join(of, "_g").select("_g", "_b", "_vs", "_ws", "_of")).mapInArrow(_ratios(rounds, seed), "_g string, _a array<double>, _c array<double>")
     sums = sums.select("_g", F.posexplode(F.arrays_zip("_a", "_c")).alias("round", "x")).groupBy("_g", "round").agg(F.sum("x._a").alias("a"), F.sum("x._c").alias("c"))
     r = F.when(F.col("c") != 0, F.col("a") / F.col("c"))
     bounds = sums.groupBy("_g").agg(F.round(F.percentile(r, 0.025), 6).alias("low"), F.round(F.percentile(r, 0.975), 6).alias("high"))
