@@ -57,6 +57,31 @@ def test_bootstrap_draws_are_no_rows(spark, monkeypatch):
         assert "Generate" not in got._jdf.queryExecution().toString()
 
 
+def test_draws_in_pairs(monkeypatch):
+    """Sums of paired draws are those of single ones: exact counts, mean and spread, in whole cells, a short one and one of a single value."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 255, 256, 700):
+        v = rng.normal(2, 1, n) + 1j
+        many = rng.integers(0, 2 * n + 2, 4000)
+        got = stats.drawn_sums(v, many, rng)
+        assert np.array_equal(got.imag, many)  # every draw is made once
+        z = (got.real - many * v.real.mean())[many > 0] / np.sqrt(many[many > 0])
+        assert abs(z.mean()) < 0.08 and z.std() == pytest.approx(v.real.std(), abs=0.06)
+    each = stats.drawn_sums(np.eye(3)[:, 1] + 0j, np.full(30000, 2), rng).real
+    assert np.bincount(each.astype(int)) / 30000 == pytest.approx([4 / 9, 4 / 9, 1 / 9], abs=0.015)
+
+
+def test_dense_broadcasts_no_block(spark, monkeypatch):
+    """Blocks meet by shuffles, and Python workers get few pairs at once."""
+    kept, write = {}, retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda d, tag, **kind: kept.setdefault((tag, len(kept)), (d._jdf.queryExecution().executedPlan().toString(), kind)) and write(d, tag, **kind))
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)] + [(60, None)], "doc long, vec array<double>")
+    got = retrieval.dense(v.where("doc < 3").withColumnRenamed("doc", "query_id"), v, 2, 16).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc"]) for r in got) == [(q, i + 1, d) for q in range(3) for i, d in enumerate(sorted([d for d in range(60) if d != q], key=lambda d: (-(q % 7) * (d % 7), d))[:2])]
+    plan, kind = next(x for (tag, _), x in kept.items() if tag == "near")
+    assert "Broadcast" not in plan and kind == {"rows": 4}
+
+
 def test_interval_has_all_rounds(spark, monkeypatch):
     """Bounds of 20,000 rounds lie close to those of another generator, in one block and in many."""
     rng = np.random.default_rng(4)
