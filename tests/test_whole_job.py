@@ -91,6 +91,14 @@ def test_padded_makes_no_postings_of_unasked_terms(spark, monkeypatch):
     assert sorted(r["rank"] for r in got) == list(range(1, 21)) and {r["score"] for r in got} == {0.0}
 
 
+def test_hybrid_makes_no_postings_of_unasked_terms(spark, monkeypatch):
+    from lectern.plans import binding
+    from lectern.plans import retrieval as plans
+
+    monkeypatch.setattr(binding, "postings", None)
+    assert plans.hybrid_topk(spark, "/root/testdata/sf0.001").where("rank = 1").count() > 0
+
+
 def test_interval_has_all_rounds(spark, monkeypatch):
     """Bounds of 20,000 rounds lie close to those of another generator, in one block and in many."""
     rng = np.random.default_rng(4)
