@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import diagnostics, fusion, judgement, retrieval, stats
+from lectern.operators import audit, diagnostics, fusion, judgement, retrieval, stats
 
 
 def test_permutation_keeps_every_group(spark):
@@ -133,3 +133,19 @@ def test_timeliness_of_open_ranges(spark):
     d = spark.createDataFrame(rows, "a int, b int, year int").withColumn("years", F.struct(F.col("a").alias("start_year"), F.col("b").alias("end_year")))
     got = [r[0] for r in d.select(judgement.timeliness(F.col("years"), F.col("year"), 2025)).collect()]
     assert got == [0.85, 0.85, 0.0, 0.85, 0.0, 0.85, 1.0, 0.7, 0.0]
+
+
+def test_grams_of_passages_are_hashed_once(spark):
+    """Against plain sets of n-grams, with short and empty texts, nulls and rows that share an id; no n-gram is made as text."""
+    said = {1: ["a b c d e f a b c"], 2: ["b c d", "b c d x"], 3: ["a b"], 4: [None], 5: ["", "c d e f"], 6: ["A  B, c"]}
+    asked = {"p": "a b c d e f", "q": "b c d", "r": "a b", "s": "", "t": "d e f a b c q", "u": None}
+    d = spark.createDataFrame([(k, x) for k, xs in said.items() for x in xs], "doc long, text string").repartition(3)
+    p = spark.createDataFrame(list(asked.items()), "passage string, text string")
+
+    def grams(text):
+        w = (text or "").lower().replace(",", " ").split()
+        return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+
+    want = {(k, a): (len(grams(t) & set().union(*map(grams, xs))), len(grams(t))) for k, xs in said.items() for a, t in asked.items()}
+    got = audit.passage_containment(d, p, 3)
+    assert {(r["doc"], r["passage"]): (r["hits"], r["total"]) for r in got.collect()} == {k: v for k, v in want.items() if v[0]}
