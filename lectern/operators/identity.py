@@ -53,7 +53,7 @@ def classes(profiled: DataFrame) -> DataFrame:
 
 
 def pairs(profiled: DataFrame) -> DataFrame:
-    """(left, right, rule) of representatives that share a key, or title and year, left < right."""
+    """(left, right, rule) of representatives that share a key, or title and year, left < right: each pair, as many as the square of a group. Clusters use `meetings`."""
     blocks = profiled.select("paper_id", F.explode("keys").alias("block")).unionByName(
         profiled.where((F.col("title_key") != "") & F.col("year").isNotNull()).select("paper_id", F.concat_ws(":", F.lit("t"), "title_key", F.col("year").cast("string")).alias("block")))
     met = blocks.alias("a").join(blocks.alias("b"), F.expr("a.block = b.block and a.paper_id < b.paper_id")).select(F.col("a.paper_id").alias("left"), F.col("b.paper_id").alias("right")).distinct()
@@ -61,13 +61,48 @@ def pairs(profiled: DataFrame) -> DataFrame:
     return j.select("left", "right", evidence("a", "b").alias("rule"))
 
 
-def guarded(profiled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+def meetings(profiled: DataFrame) -> DataFrame:
+    """(group, side, node): all links of `pairs`, without a row for a link. Every paper of side 0 of a group links to every paper of side 1, and
+    all papers of side 2 to each other.
+
+    Papers meet under a key, or under title, year and an author where they have no S2ORC id. Two that meet do not conflict if they agree in
+    the identifier fields that both have, so under each pair of sets of known fields those that agree there are one group. A paper has a
+    row for each meeting and set of known fields (64 at most) that others have there.
+    """
+    known = sum((F.when(F.col(f"n_{f}").isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(FIELDS)), F.lit(0))
+    at = profiled.withColumn("known", known)
+    title = F.md5(F.concat_ws(":", "title_key", F.col("year").cast("string"), "author"))
+    titled = at.where((F.col("title_key") != "") & F.col("year").isNotNull() & F.col("n_s2orc_corpus_id").isNull()).withColumn("author", F.explode("author_keys"))
+    values = ["known", *[f"n_{f}" for f in FIELDS]]
+    here = at.select(F.col("paper_id").alias("node"), *values, F.explode("keys").alias("hub")).withColumn("hub", F.concat(F.lit("k:"), "hub"))
+    here = materialize(here.unionByName(titled.select(F.col("paper_id").alias("node"), *values, F.concat(F.lit("t:"), title).alias("hub"))), "hubs")
+    several = here.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.collect_set("known").alias("others")).where("n > 1")  # 64 at most
+    d = here.join(several.select("hub", "others"), "hub").withColumn("other", F.explode("others"))
+    both = F.array(*[F.when(F.col("known").bitwiseAND(F.col("other")).bitwiseAND(1 << i) != 0, F.col(f"n_{f}")) for i, f in enumerate(FIELDS)])
+    group = F.md5(F.to_json(F.struct("hub", F.least("known", "other").alias("a"), F.greatest("known", "other").alias("b"), both.alias("v"))))
+    side = F.when(F.col("known") == F.col("other"), 2).when(F.col("known") < F.col("other"), 0).otherwise(1)
+    return _faced(materialize(d.select(group.alias("group"), side.alias("side"), "node"), "meetings"))
+
+
+def _faced(met: DataFrame) -> DataFrame:
+    """Groups that make a link: of two sides, or of two papers of side 2."""
+    whole = met.groupBy("group").agg(F.min("side").alias("a"), F.max("side").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b OR (a = 2 AND n > 1)")
+    return materialize(met.join(whole.select("group"), "group", "left_semi"), "groups")
+
+
+def _roots(met: DataFrame) -> DataFrame:
+    """(node, root) of what groups connect: a group is connected, so each of its papers is tied to its smallest."""
+    least = met.groupBy("group").agg(F.min("node").alias("least"))
+    return components(met.join(least, "group"), "least", "node")
+
+
+def guarded(profiled: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, root) of clusters none of which has two values of one identifier field.
 
     Field by field, in clusters that have several values: a paper without the field takes the value of the nearest papers
     with it, step by step along the links, the least if several are as near; links between different values are
     cut, and what stays connected is a cluster. This does not depend on the order of papers. Clusters without a
-    conflict are not touched.
+    conflict are not touched. Links are those of `meetings`: a side passes its least value on to the side it faces.
     """
     ids_of = profiled.select(F.col("paper_id").alias("node"), *[f"n_{f}" for f in FIELDS])
     spread = roots.join(ids_of, "node").groupBy("root").agg(*[(F.min(f"n_{f}") != F.max(f"n_{f}")).alias(f) for f in FIELDS])
@@ -78,24 +113,23 @@ def guarded(profiled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFram
         nodes = roots.join(ids_of.select("node", F.col(f"n_{f}").alias("label")), "node")
         bad = nodes.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
         nodes = materialize(nodes.join(bad, "root", "left_semi"), "nodes")
-        inside = links.join(nodes.select(F.col("node").alias("left"), "root"), "left").select("left", "right")
-        inside = materialize(inside, "inside")
-        both = inside.unionByName(inside.select(F.col("right").alias("left"), F.col("left").alias("right")))
+        inside = materialize(met.join(nodes.select("node"), "node", "left_semi"), "inside")
+        facing = F.when(F.col("side") == 2, 2).otherwise(1 - F.col("side"))
         known = nodes.where("label is not null").select("node", "label")
         free, front, steps = nodes.where("label is null").select("node"), known, [known]
         while not free.isEmpty():  # only papers that the last step labelled can label others
-            near = both.join(front.select(F.col("node").alias("right"), "label"), "right").groupBy(F.col("left").alias("node")).agg(F.min("label").alias("label"))
+            sent = inside.join(front, "node").groupBy("group", facing.alias("side")).agg(F.min("label").alias("label"))
+            near = inside.join(sent, ["group", "side"]).groupBy("node").agg(F.min("label").alias("label"))
             front = materialize(free.join(near, "node"), "front")
             if front.isEmpty():
                 break
             steps.append(front)
             free = materialize(free.join(front, "node", "left_anti"), "free")
         nodes = nodes.drop("label").join(reduce(DataFrame.unionByName, steps), "node", "left")
-        label = nodes.select("node", "label")
-        kept = inside.join(label.select(F.col("node").alias("left"), F.col("label").alias("a")), "left").join(label.select(F.col("node").alias("right"), F.col("label").alias("b")), "right").where(F.col("a").eqNullSafe(F.col("b"))).select("left", "right")
-        kept = materialize(kept, "kept")
-        links = materialize(links.join(inside, ["left", "right"], "left_anti").unionByName(kept), "links")
-        fresh = nodes.select("node").join(components(kept, "left", "right"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        kept = inside.join(nodes.select("node", "label"), "node").select(F.md5(F.concat_ws(":", "group", F.coalesce("label", F.lit("")))).alias("group"), "side", "node")
+        kept = _faced(materialize(kept, "kept"))
+        met = materialize(met.join(nodes.select("node"), "node", "left_anti").unionByName(kept.select(*met.columns)), "groups")
+        fresh = nodes.select("node").join(_roots(kept), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         roots = materialize(roots.join(fresh.select("node"), "node", "left_anti").select("node", "root").unionByName(fresh), "roots")
     return roots
 
@@ -106,8 +140,8 @@ def clusters(papers: DataFrame, guard: bool = True) -> DataFrame:
     p = materialize(profiles(papers), "profiles")
     own = materialize(classes(p), "classes")
     reps = materialize(p.join(own.select(F.col("rep").alias("paper_id")).distinct(), "paper_id"), "representatives")
-    found = materialize(pairs(reps).where(F.col("rule").isin("shared_stable_identifier", "exact_title_author_year")).select("left", "right"), "links")
-    roots = components(found, "left", "right")
+    found = meetings(reps)
+    roots = _roots(found)
     if guard:
         roots = guarded(reps, found, materialize(roots, "roots"))
     return own.join(roots, own.rep == roots.node, "left").select("paper_id", F.coalesce("root", "rep").alias("cluster"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import audit, diagnostics, fusion, judgement, retrieval, stats
+from lectern.operators import audit, diagnostics, fusion, identity, judgement, retrieval, stats
+from lectern.shared import materialize
 
 
 def test_permutation_keeps_every_group(spark):
@@ -149,3 +150,20 @@ def test_grams_of_passages_are_hashed_once(spark):
     want = {(k, a): (len(grams(t) & set().union(*map(grams, xs))), len(grams(t))) for k, xs in said.items() for a, t in asked.items()}
     got = audit.passage_containment(d, p, 3)
     assert {(r["doc"], r["passage"]): (r["hits"], r["total"]) for r in got.collect()} == {k: v for k, v in want.items() if v[0]}
+
+
+def test_meetings_hold_every_link_and_no_pairs(spark):
+    """The groups stand for just those links that the rule gives pair by pair, and 600 papers of one title make a few rows each."""
+    rng = np.random.default_rng(4)
+    some = lambda p, k, n: f"{p}{rng.integers(n)}" if rng.random() < k else None
+    rows = [(i, f"T {rng.integers(6)}" if i % 9 else "", [f"A {x}" for x in rng.integers(4, size=rng.integers(3))], 2000 + int(rng.integers(2)) if i % 11 else None, some("10.1/d", 0.4, 30), some("a", 0.4, 30), some("", 0.1, 9), some("p", 0.3, 20)) for i in range(150)]
+    kind = "paper_id long, title string, authors array<string>, year int, doi string, arxiv_id string, s2orc_corpus_id string, pubmed_id string"
+    p = materialize(identity.profiles(spark.createDataFrame(rows, kind)), "profiles")
+    got = {}
+    for r in identity.meetings(p).collect():
+        got.setdefault(r["group"], {}).setdefault(r["side"], []).append(r["node"])
+    links = {tuple(sorted((a, b))) for g in got.values() for a in g.get(0, g.get(2, [])) for b in g.get(1, g.get(2, [])) if a != b}
+    want = {(r["left"], r["right"]) for r in identity.pairs(p).collect() if r["rule"] in ("shared_stable_identifier", "exact_title_author_year")}
+    assert links == want and len(want) > 100
+    big = spark.createDataFrame([(i, "One title", ["A"], 2000, f"10.1/x{i}" if i % 3 == 0 else None) for i in range(600)], "paper_id long, title string, authors array<string>, year int, doi string")
+    assert identity.meetings(materialize(identity.profiles(big), "profiles")).count() <= 1200
