@@ -99,7 +99,7 @@ def minimum_covers(spark, sf_dir):
     parts = materialize(asks.withColumn("own", F.col("query_id")).withColumn("query_id", F.col("query_id") * 10 + number), "parts")
     asked = parts.select("query_id", T.query_tokens(F.col("text")).alias("terms"))
     docs = B.tokenised(spark, sf_dir)
-    got = retrieval.best(asked, materialize(retrieval.hits(asked, docs), "hits"), docs, B.K).join(parts, "query_id")
+    got = retrieval.best(asked, materialize(retrieval.hits(asked, docs), "hits", rows=1024, mb=4), docs, B.K).join(parts, "query_id")
     options = got.select(F.col("own").alias("query_id"), F.col("purpose").alias("option"), F.col("doc").alias("item"), F.size(T.tokens(F.col("text"))).alias("requests"), (F.length("text") / 1000.0).alias("latency"))
     c = X.minimum_cover(options, B.gold(spark, sf_dir).select("query_id", F.col("doc").alias("item")), "query_id")
     return c.withColumn("latency", F.round("latency", 6)).withColumn("options", F.array_join("options", ","))

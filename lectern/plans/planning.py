@@ -86,9 +86,9 @@ best AS (SELECT query_id, doc, score, alternatives, row_number() OVER (PARTITION
 SELECT query_id, doc, score, alternatives, rank FROM best WHERE rank <= 20""")
 def disjunctive_topk(spark, sf_dir):
     """BM25 of the query over documents that satisfy its Boolean form."""
-    found = _matches(spark, sf_dir).withColumnRenamed("alternatives", "mark")
+    found = boolean.matching_by_doc(planning.clauses(demands(spark, sf_dir)), B.tokenised(spark, sf_dir))
     best = retrieval.best(B.asked(spark, sf_dir), B.hits(spark, sf_dir), B.tokenised(spark, sf_dir), B.K, only=found)
-    return materialize(best.select("query_id", "doc", "score", F.col("mark").alias("alternatives"), "rank"), "ranked", rows=4096)
+    return materialize(best.select("query_id", "doc", "score", F.col("mark").alias("alternatives"), "rank"), "ranked", rows=1024, mb=4)
 
 
 # adaptive retrieval
@@ -146,7 +146,7 @@ def adaptive_topk(spark, sf_dir):
     def search(q):
         asked = materialize(q.select("query_id", T.query_tokens(F.col("text")).alias("terms")), "asked")
         docs = B.tokenised(spark, sf_dir)
-        return retrieval.best(asked, materialize(retrieval.hits(asked, docs), "hits"), docs, FIRST)
+        return retrieval.best(asked, materialize(retrieval.hits(asked, docs), "hits", rows=1024, mb=4), docs, FIRST)
 
     return adaptive.second_pass(first, decided, search, 15)
 
@@ -248,7 +248,7 @@ def evolved_candidates(spark, sf_dir):
     e = _evolved(spark, sf_dir, j, g)
     asked = materialize(e.select((F.col("query_id") * 10 + F.col("place")).alias("query_id"), T.query_tokens(F.col("text")).alias("terms")), "asked")
     docs = B.tokenised(spark, sf_dir)
-    found = retrieval.best(asked, materialize(retrieval.hits(asked, docs), "hits"), docs, 10)
+    found = retrieval.best(asked, materialize(retrieval.hits(asked, docs), "hits", rows=1024, mb=4), docs, 10)
     found = found.select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), "doc").distinct().join(B.papers(spark, sf_dir), "doc")
     gated = evolution.quality_gate(g, j.select("query_id", "doc"), found)
     return gated.select("query_id", "doc", F.coalesce("reason", F.lit("accepted")).alias("reason"))

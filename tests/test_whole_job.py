@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import audit, diagnostics, fusion, identity, judgement, retrieval, stats
+from lectern.operators import audit, boolean, diagnostics, fusion, identity, judgement, retrieval, stats
 from lectern.shared import materialize
 
 
@@ -167,3 +167,27 @@ def test_meetings_hold_every_link_and_no_pairs(spark):
     assert links == want and len(want) > 100
     big = spark.createDataFrame([(i, "One title", ["A"], 2000, f"10.1/x{i}" if i % 3 == 0 else None) for i in range(600)], "paper_id long, title string, authors array<string>, year int, doi string")
     assert identity.meetings(materialize(identity.profiles(big), "profiles")).count() <= 1200
+
+
+def test_boolean_matches_need_no_table_of_pairs(spark):
+    """Both ways agree, also for repeated ids and queries without an answer, and neither counts nor hits are grouped before a shuffle."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(int(i), [f"w{x}" for x in rng.integers(9, size=rng.integers(30))]) for i in range(300)] + [(None, ["w1"]), (7, ["w1", "w2"]), (8, [])], "doc long, tokens array<string>").repartition(3)
+    rows = [(q, c, " ".join(f"w{x}" for x in rng.integers(9, size=rng.integers(1, 4)))) for q in range(12) for c in range(2) for _ in range(3)] + [(20, 0, "..."), (21, 0, "zz"), (None, 0, "w1")]
+    clauses = spark.createDataFrame(rows, "query_id int, clause int, alternative string")
+    key = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc", "alternatives").collect())
+    got = boolean.matching(clauses, docs)
+    assert "HashAggregate" not in got._jdf.queryExecution().toString()
+    own, q = key(got), spark.createDataFrame([(i, ["w1", "w2", f"w{i}"]) for i in range(5)], "query_id long, terms array<string>")
+    packed = [(i, r["doc"], m) for r in boolean.matching_by_doc(clauses, docs).collect() for i, m in zip(r["q"], r["m"])]
+    hit = sorted(tuple(r) for r in retrieval.hits(q, docs).collect() if r["doc"] is not None)
+    assert own == sorted(packed) and len(own) > 100
+    only = boolean.matching_by_doc(clauses, docs)
+    pairs = only.select("doc", F.explode(F.arrays_zip("q", "m")).alias("x")).select(F.col("x.q").alias("query_id"), "doc", F.col("x.m").alias("mark"))
+    best = [sorted(tuple(r) for r in retrieval.best(q, materialize(retrieval.hits(q, docs), "hits"), docs, 5, only=o).select("query_id", "doc", "score", "rank", "mark").collect()) for o in (only, pairs)]
+    assert best[0] == best[1] and best[0]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval, "few", lambda asked: False)
+        m.setattr(boolean, "few", lambda asked: False)
+        assert hit == sorted(tuple(r) for r in retrieval.hits(q, docs).collect() if r["doc"] is not None)
+        assert [r for r in key(boolean.matching(clauses, docs)) if r[1] != 7] == [r for r in own if r[1] != 7]
