@@ -37,7 +37,7 @@ def save(docs: DataFrame, tokens: Column, path: str, tokenizer: str) -> None:
     spark = docs.sparkSession
     t = docs.select("doc", tokens.alias("tokens"))
     t.select("doc", F.size("tokens").alias("dl")).write.parquet(f"{path}/lengths")
-    post = t.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = docs.select("doc", F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     post.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
     made = _made_from(docs, tokenizer) | {"postings": spark.read.parquet(f"{path}/postings").count()}
     spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "manifest string").coalesce(1).write.text(f"{path}/manifest")

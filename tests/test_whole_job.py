@@ -191,3 +191,15 @@ def test_boolean_matches_need_no_table_of_pairs(spark):
         m.setattr(boolean, "few", lambda asked: False)
         assert hit == sorted(tuple(r) for r in retrieval.hits(q, docs).collect() if r["doc"] is not None)
         assert [r for r in key(boolean.matching(clauses, docs)) if r[1] != 7] == [r for r in own if r[1] != 7]
+
+
+def test_hits_of_a_saved_index(spark):
+    """Stored postings give the hits that the texts give, and the ranking that scoring pair by pair gives."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(int(i), [f"w{x}" for x in rng.integers(40, size=rng.integers(30))]) for i in range(200)] + [(900, [])], "doc long, tokens array<string>").repartition(3)
+    post, lengths = retrieval.postings(docs, "doc", F.col("tokens")), docs.select("doc", F.size("tokens").alias("dl"))
+    q = spark.createDataFrame([(i, [f"w{i}", "w3", "never"]) for i in range(9)], "query_id long, terms array<string>")
+    hit = materialize(retrieval.hits_of_index(q, post, lengths), "hits")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(hit.select("doc", "dl", "term", "tf")) == rows(retrieval.hits(q, docs).select("doc", "dl", "term", "tf"))
+    assert rows(retrieval.best(q, hit, docs, 7).select("query_id", "doc", "score", "rank")) == rows(retrieval.top_k(retrieval.bm25(q, post, lengths.select("doc")), 7).select("query_id", "doc", "score", "rank"))
