@@ -203,3 +203,8 @@ def test_hits_of_a_saved_index(spark):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(hit.select("doc", "dl", "term", "tf")) == rows(retrieval.hits(q, docs).select("doc", "dl", "term", "tf"))
     assert rows(retrieval.best(q, hit, docs, 7).select("query_id", "doc", "score", "rank")) == rows(retrieval.top_k(retrieval.bm25(q, post, lengths.select("doc")), 7).select("query_id", "doc", "score", "rank"))
+
+
+def test_blocks_of_scores_stay_small():
+    """What a Python task holds for a block of documents does not grow with the corpus: a few arrays of at most 4 MB."""
+    assert 8 * max(retrieval.CELLS, retrieval.PRODUCTS) <= 4 << 20
