@@ -199,7 +199,7 @@ def indexed_topk(spark, sf_dir):
     post, lengths, _ = index.load_or_save(docs, T.tokens(F.col("text")), path, scratch(spark, "index"), "words-1")
     asked = B.asked(spark, sf_dir)
     hit = materialize(retrieval.hits_of_index(asked, post, lengths), "hits")
-    return materialize(retrieval.best(asked, hit, B.tokenised(spark, sf_dir), B.K), "ranked", rows=1024, mb=4).select("query_id", "doc", "score", "rank")
+    return retrieval.best(asked, hit, B.tokenised(spark, sf_dir), B.K).select("query_id", "doc", "score", "rank")
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(nfc_normalize(text), '[A-Za-z0-9]+(?:[-_+#.][A-Za-z0-9]+)*|[\x{4e00}-\x{9fff}]+') AS t FROM documents)

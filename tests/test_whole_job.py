@@ -1,8 +1,10 @@
 """Inputs on which an operator once did less than the whole job."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +210,50 @@ def test_hits_of_a_saved_index(spark):
 def test_blocks_of_scores_stay_small():
     """What a Python task holds for a block of documents does not grow with the corpus: a few arrays of at most 4 MB."""
     assert 8 * max(retrieval.CELLS, retrieval.PRODUCTS) <= 4 << 20
+
+
+def test_workers_hold_the_same_of_more_documents():
+    """Five times the batches take no more memory at once, also where a block holds few documents for many queries, and less than blocks once did."""
+    rng = np.random.default_rng(9)
+
+    class Shared:
+        def __init__(self, wide):
+            per = min(wide, 40)
+            self.value = np.arange(0, 2001 * per, per), np.concatenate([rng.choice(wide, per, replace=False) for _ in range(2000)]), rng.random(2000 * per), np.arange(wide)
+
+    def batch(i, docs=1024, terms=300):
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * terms, pa.int32()), pa.array(x)) for x in (rng.integers(2000, size=docs * terms).astype(np.int32), rng.random(docs * terms))]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(docs) + i * docs), *lists], ["doc", "t", "x"])
+
+    def peak(shared, n):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in retrieval._blocks(shared, 20, False)(batch(i) for i in range(n)))
+        most = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        return most, rows
+
+    for wide in (200, 1000):
+        few, many = peak(Shared(wide), 2), peak(Shared(wide), 10)
+        assert many[1] > 4 * few[1] > 0 and many[0] < 1.1 * few[0] and many[0] < 50
+
+
+def test_whoever_ranks_gives_python_small_batches(spark, monkeypatch):
+    """The ranking itself sets the limits of its batches, so queries that do not write it have them too."""
+    seen = []
+    blocks = retrieval._blocks
+
+    def noted(*args):
+        run = blocks(*args)
+
+        def counted(batches):
+            for b in batches:
+                assert b.num_rows <= 1024
+                yield from run([b])
+        return counted
+
+    monkeypatch.setattr(retrieval, "_blocks", lambda *args: seen.append(args) or noted(*args))
+    docs = spark.range(5000).select(F.col("id").alias("doc"), F.array(F.lit("a"), F.concat(F.lit("w"), F.col("id") % 3)).alias("tokens")).coalesce(1)
+    q = spark.createDataFrame([(1, ["a", "w1"])], "query_id long, terms array<string>")
+    hit = materialize(retrieval.hits(q, docs), "hits").coalesce(1)
+    got = retrieval.best(q, hit, docs, 3).orderBy("rank").collect()
+    assert [r["doc"] for r in got] == [1, 4, 7] and len(seen) == 1
