@@ -3,12 +3,14 @@
 import hashlib
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import audit, boolean, diagnostics, fusion, identity, judgement, retrieval, stats
+from lectern.plans import registry
 from lectern.shared import materialize
 
 
@@ -28,6 +30,34 @@ def test_permutation_keeps_every_group(spark):
     assert {r["g"] for r in stats.exact_sign_flip(d, "d", ["g"], "i").collect()} == set(got)
 
 
+def test_exact_sign_flip_goes_on_where_its_sql_ends(spark, tmp_path):
+    """The SQL has no row for a nation of more than 12 suppliers; the query equals it below and every sign pattern above."""
+    rng = np.random.default_rng(12)
+    sizes = [1, 5, 11, 12, 13, 17, 20, 26]
+    values = {n: [round(float(x), 2) for x in rng.normal(1500, 4000, n)] for n in sizes}
+    rows = [(100 * n + i, n, x) for n in sizes for i, x in enumerate(values[n])]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["seg"]: r["p"] for r in registry.QUERIES["exact_sign_flip_test"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    sql = dict(con.execute(registry.ORACLE["exact_sign_flip_test"]).fetchall())
+    assert sorted(got) == sizes and sorted(sql) == sizes[:4]
+    assert {n: got[n] for n in sql} == sql
+    for n in (13, 17, 20):
+        sums = np.zeros(1)
+        for x in values[n]:
+            sums = np.concatenate((sums + x, sums - x))
+        assert got[n] == pytest.approx(np.mean(np.abs(sums) >= abs(sum(values[n])) - 1e-6), abs=1e-6)
+    cents = [round(100 * abs(x)) for x in values[26]]
+    share = np.zeros(sum(cents) + 1)  # of the patterns, by the sum of the values with a plus
+    share[0] = 1.0
+    for x in cents:
+        share[x:] = (share[x:] + share[:-x]) / 2
+        share[:x] /= 2
+    p = share[np.abs(2 * np.arange(len(share)) - sum(cents)) >= abs(round(100 * sum(values[26])))].sum()
+    assert got[26] == pytest.approx(p, abs=5 * (p * (1 - p) / 100000) ** 0.5 + 1e-5)
+
+
 def test_dense_ties_go_to_the_smallest_ids(spark):
     """A hundred copies of one vector, in descending order of their ids."""
     v = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(100, 0, -1)] + [(500, [0.9, 0.5]), (501, [0.1, 0.2])], "doc long, vec array<double>").coalesce(1)
