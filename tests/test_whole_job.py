@@ -115,6 +115,30 @@ def test_dense_broadcasts_no_block(spark, monkeypatch):
     assert "Broadcast" not in plan and kind == {"rows": 4}
 
 
+def test_nearest_equals_dense_with_every_vector_asked(spark, monkeypatch):
+    """Groups and tiles of few vectors, copies, negative scores, a vector that is not finite, rows without an id or a vector."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(150, 0, -1)] + [(200 + i, [1.0, -0.5, 0.25, 0.0]) for i in range(40, 0, -1)]
+    rows += [(300, [float("nan"), 0.0, 0.0, 1.0]), (None, [1.0] * 4), (301, None)]
+    v = spark.createDataFrame(rows, "doc long, vec array<float>").repartition(3)
+    q = v.withColumnRenamed("doc", "query_id")
+    told = lambda d: sorted((r["query_id"], r["rank"], r["doc"], round(r["score"], 6)) for r in d.collect())
+    want = told(retrieval.dense(q, v, 7))
+    assert len(want) == 190 * 7 and told(retrieval.nearest(q, v, 7)) == want
+    monkeypatch.setattr(retrieval, "SIDE", 60)
+    monkeypatch.setattr(retrieval, "TILE", 9)
+    assert told(retrieval.nearest(q, v, 7)) == want
+    assert told(retrieval.nearest(q.where("query_id % 50 = 0"), v, 7)) == [r for r in want if r[0] % 50 == 0]
+    assert retrieval.nearest(q.limit(0), v, 7).count() == 0
+
+
+def test_label_agreement_asks_every_vector(spark):
+    from lectern.plans import retrieval as plans
+
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert plans.knn_label_agreement(spark, "/root/testdata/sf0.001").count() == v.count() == 500
+
+
 def test_padded_makes_no_postings_of_unasked_terms(spark, monkeypatch):
     from lectern.plans import binding
     from lectern.plans import retrieval as plans
