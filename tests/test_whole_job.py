@@ -139,6 +139,33 @@ def test_label_agreement_asks_every_vector(spark):
     assert plans.knn_label_agreement(spark, "/root/testdata/sf0.001").count() == v.count() == 500
 
 
+def test_hybrid_reads_whole_texts_and_every_id(spark, tmp_path):
+    """Words behind the twelfth are asked for, once each; a document without a vector and a vector without a document are asked too."""
+    from lectern.plans import retrieval as plans
+
+    fill = " ".join(f"f{i}" for i in range(14))
+    docs = [(0, f"{fill} Éclair"), (50, f"{fill} rare, rare rare other"), (7, "rare"), (8, "other words"), (9, "éclair éclair"), (51, None), (52, ""), (100, "")] + [(10 + i, f"f{i} x{i}") for i in range(14)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in (0, 7, 8, 100, 150)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cols = ["query_id", "doc", "score", "lists", "rank"]
+    got = [tuple(r[c] for c in cols) for r in plans.hybrid_topk(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.ORACLE['hybrid_topk']})").fetchall()
+    assert sorted(got) == sorted(want)
+    assert {r[0] for r in got} == {0, 50, 100, 150} and {7, 8} <= {r[1] for r in got if r[0] == 50} and 9 in {r[1] for r in got if r[0] == 0}
+
+
+def test_hybrid_makes_no_row_for_a_pair(spark, monkeypatch):
+    """No join of queries and postings: bm25_over_hits and hits are not called."""
+    from lectern.plans import retrieval as plans
+
+    monkeypatch.setattr(retrieval, "bm25_over_hits", None)
+    monkeypatch.setattr(retrieval, "hits", None)
+    assert plans.hybrid_topk(spark, "/root/testdata/sf0.001").where("rank = 1").count() == 10
+
+
 def test_padded_makes_no_postings_of_unasked_terms(spark, monkeypatch):
     from lectern.plans import binding
     from lectern.plans import retrieval as plans
